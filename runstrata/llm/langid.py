@@ -26,7 +26,7 @@ UNDETERMINED = "und"
 class Learning:
     """``sample`` bounds the training rows (those of least hash); every fifth of them is kept back for the temperature."""
 
-    sample: int = 4000
+    sample: int = 3000
     longest: int = 3
     bits: int = 16
     epochs: int = 3
@@ -85,7 +85,7 @@ def grams_of(col: pa.Array, p: Learning):
     buf, off = utf8(col)
     table = _lowered()
     mask = np.uint64((1 << p.bits) - 1)
-    for lo, hi in chunks(off, 1 << 20):
+    for lo, hi in chunks(off, 1 << 19):
         n = hi - lo
         raw = buf[off[lo] : off[hi]]
         cp = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)

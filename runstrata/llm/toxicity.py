@@ -29,8 +29,8 @@ from ._text import LETTERS, LOWER, U, chunks, mix, utf8, word_hashes, words
 class Learning:
     """``positives`` and ``unlabelled`` bound the training sample: the rows of least hash. ``seen``: documents of the sample that hold a feature, at least; ``z``: the least |z| that passes the screen."""
 
-    positives: int = 2000
-    unlabelled: int = 6000
+    positives: int = 1200
+    unlabelled: int = 3600
     seen: int = 4
     z: float = 3.0
     steps: int = 350
@@ -42,6 +42,7 @@ class Learning:
 
 _LOW = U((1 << 16) - 1)
 BEGINNINGS = (4, 5, 6, 7, 8)
+_PARTS = 16
 
 
 def density(count, of):
@@ -112,22 +113,26 @@ def fit(positives: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[n
     if not positives or not unlabelled:
         return Model(np.zeros(0, U), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -30.0)
     n_p, n_u = len(positives), len(unlabelled)
-    every, which = np.unique(np.concatenate([x for x, _ in positives + unlabelled]), return_inverse=True)
-    value = np.concatenate([x for _, x in positives + unlabelled]).astype(np.float64)
-    who = np.repeat(np.arange(n_p + n_u), [len(x) for x, _ in positives + unlabelled])
-    cut = sum(len(x) for x, _ in positives)
-    total = lambda v, k: np.bincount(which[k], v[k], len(every))
-    pos, un = slice(0, cut), slice(cut, None)
-    mean_p, mean_u = total(value, pos) / n_p, total(value, un) / n_u
-    spread = total(value * value, pos) / n_p - mean_p**2, total(value * value, un) / n_u - mean_u**2
-    z = (mean_p - mean_u) / np.sqrt(spread[0] / n_p + spread[1] / n_u + 1e-9)
-    keep = (np.bincount(which, minlength=len(every)) >= p.seen) & (np.abs(z) >= p.z)
-    vocabulary, place = every[keep], np.cumsum(keep) - 1
-    used = keep[which]
-    first = used & (who < n_p)
-    rest = used & (who >= n_p)
-    pw, pc, px = who[first], place[which[first]], value[first]
-    uw, uc, ux = who[rest] - n_p, place[which[rest]], value[rest]
+    docs, kept = positives + unlabelled, []
+    for part in range(_PARTS):  # of the features, to bound memory
+        own = [(x & U(_PARTS - 1)) == part for x, _ in docs]
+        x = np.concatenate([d[0][o] for d, o in zip(docs, own)])
+        value = np.concatenate([d[1][o] for d, o in zip(docs, own)]).astype(np.float64)
+        who = np.repeat(np.arange(n_p + n_u, dtype=np.int32), [int(o.sum()) for o in own])
+        every, which = np.unique(x, return_inverse=True)
+        total = lambda v, k: np.bincount(which[k], v[k], len(every))
+        pos, un = who < n_p, who >= n_p
+        mean_p, mean_u = total(value, pos) / n_p, total(value, un) / n_u
+        spread = total(value * value, pos) / n_p - mean_p**2, total(value * value, un) / n_u - mean_u**2
+        z = (mean_p - mean_u) / np.sqrt(spread[0] / n_p + spread[1] / n_u + 1e-9)
+        use = (np.bincount(which, minlength=len(every)) >= p.seen) & (np.abs(z) >= p.z)
+        at = use[which]
+        kept.append((x[at], value[at], who[at]))
+    x, value, who = (np.concatenate(c) for c in zip(*kept))
+    vocabulary, place = np.unique(x, return_inverse=True)
+    first, rest = who < n_p, who >= n_p
+    pw, pc, px = who[first], place[first], value[first]
+    uw, uc, ux = who[rest] - n_p, place[rest], value[rest]
     w, b = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -156,6 +161,11 @@ def fit(positives: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[n
     return Model(vocabulary[keep], w[keep], b)
 
 
+def _cells(col: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """The arrays in a binary column, without copies."""
+    return [np.frombuffer(x.as_buffer(), kind) for chunk in col.chunks for x in chunk]
+
+
 def train(docs: DataFrame, labels: DataFrame, learns, p: Learning = Learning(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit to rows of ``docs`` for which ``learns`` (a column of the id) holds. Only a 1 in ``labels`` is read as a confirmation; the prior is the share of 1 among labelled rows unless it is given."""
     spark = docs.sparkSession
@@ -169,8 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, learns, p: Learning = Learning(),
     rest = base.select(F.col(id_col).alias("id")).distinct().orderBy(order).limit(p.unlabelled).select("id", F.lit(0).alias("kind"))
     picked = scratch.put(one.unionByName(rest), "picked")  # at most positives + unlabelled rows
     sample = base.withColumnRenamed(id_col, "id").join(F.broadcast(picked), "id").select("kind", "text")
-    got = sample.mapInArrow(_features, "kind int, words binary, density binary").collect()
-    pick = lambda k: [(np.frombuffer(r.words, U), np.frombuffer(r.density, np.float32)) for r in got if r.kind == k]
+    got = sample.mapInArrow(_features, "kind int, words binary, density binary").toArrow()
+    kind, cells = got["kind"].to_numpy(), list(zip(_cells(got["words"], U), _cells(got["density"], np.float32)))
+    pick = lambda k: [cells[i] for i in np.flatnonzero(kind == k)]
     return fit(pick(1), pick(0), prior, p)
 
 
