@@ -1,4 +1,467 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each beside its SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import paths as P
+from ..operators import content, events, ingest, maintenance, namespace, retention
+from . import testviews as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def hexed(df: DataFrame) -> DataFrame:
+    return df.withColumn("sha", F.lower(F.hex("sha")))
+
+
+FILE_COLS = ["path", "dir", "name", "kind", "size", "sha", "batch"]
+F_COLS = "path, dir, name, kind::SMALLINT AS kind, size, sha, batch"
+
+
+# catalog: scans, paths, listings ---------------------------------------------------------------
+
+
+@query(f"WITH {V.FILES} SELECT lang, count(*) AS paths, count(DISTINCT sha) AS contents, sum(size)::BIGINT AS bytes FROM files GROUP BY lang")
+def attr_summary(s, d):
+    """Paths, distinct contents and bytes for each value of an attribute."""
+    f = V.files(s, d)
+    return f.groupBy(F.col("attrs")["lang"].alias("lang")).agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("sha").alias("contents"), F.sum("size").alias("bytes"))
+
+
+@query(f"WITH {V.FILES} SELECT path, array_to_string(string_split(path, '/')[1:-2], '/') AS parent, string_split(path, '/')[-1] AS base, (len(string_split(path, '/')) - 1)::INTEGER AS depth, regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1) AS ext FROM files")
+def paths_parent_basename(s, d):
+    p = F.col("path")
+    return V.files(s, d).select("path", P.parent(p).alias("parent"), P.basename(p).alias("base"), P.depth(P.parent(p)).alias("depth"), P.extension(P.basename(p)).alias("ext"))
+
+
+@query(f"WITH {V.FILES} SELECT array_to_string(string_split(path, '/')[1:i], '/') AS dir, count(*) AS n FROM files, range(0, 10) t(i) WHERE i < len(string_split(path, '/')) GROUP BY 1")
+def path_ancestors(s, d):
+    return V.files(s, d).select(F.explode(P.ancestors(F.col("path"))).alias("dir")).groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ROLL = "dir, parent, name, depth, n_files, n_dirs, bytes"
+
+
+@query(f"WITH {V.FILES}, r AS (SELECT path, size FROM files), {V.ROLLUP} SELECT {_ROLL} FROM rollup_")
+def dir_rollup(s, d):
+    return namespace.rollup(V.files(s, d))
+
+
+@query(f"WITH {V.VISIBLE}, r AS (SELECT path, size FROM visible), {V.ROLLUP} SELECT {_ROLL} FROM rollup_")
+def dir_rollup_visible(s, d):
+    return namespace.rollup(namespace.visible(V.history(s, d)))
+
+
+@query(f"WITH {V.FILES}, r AS (SELECT path, size FROM files), {V.ROLLUP} SELECT true AS is_dir, name, dir AS path, n_files, n_dirs, bytes AS size FROM rollup_ WHERE parent = 'src3' UNION ALL SELECT false, name, path, NULL, NULL, size FROM files WHERE dir = 'src3'")
+def dir_children(s, d):
+    return namespace.children(V.files(s, d), "src3")
+
+
+@query(f"WITH {V.FILES}, r AS (SELECT path, size FROM files), {V.ROLLUP} SELECT true AS is_dir, name, dir AS path, n_files, n_dirs, bytes AS size FROM rollup_ WHERE parent = '' AND dir <> ''")
+def ls_dirs_first(s, d):
+    return namespace.children(V.files(s, d), "")
+
+
+@query(f"WITH {V.FILES}, r AS (SELECT path, size FROM files), {V.ROLLUP} SELECT dir AS path, true AS is_dir, depth, n_files, bytes AS size FROM rollup_ WHERE depth BETWEEN 1 AND 2 UNION ALL SELECT path, false, 3, NULL, size FROM files WHERE false")
+def tree_depth2(s, d):
+    return namespace.tree(V.files(s, d), "", 2)
+
+
+@query(f"WITH {V.FILES} SELECT dir, count(*) AS n, min(name) AS first_name, max(name) AS last_name FROM files WHERE starts_with(path, 'src1/') GROUP BY dir")
+def listings_prefetch(s, d):
+    e = namespace.listings(V.files(s, d), "src1").where(F.col("dir") != "src1").where("dir <> ''")
+    return e.select("dir", F.size("entries").cast("long").alias("n"), F.col("entries")[0]["name"].alias("first_name"), F.element_at("entries", -1)["name"].alias("last_name"))
+
+
+@query(f"WITH {V.FILES} SELECT {F_COLS} FROM files WHERE regexp_full_match(name, 'doc-.*7\\.txt')")
+def find_name_glob(s, d):
+    return hexed(namespace.find(V.files(s, d), name="doc-*7.txt")).select(FILE_COLS)
+
+
+@query(f"WITH {V.FILES} SELECT {F_COLS} FROM files WHERE regexp_full_match(path, 'src[0-2]/.*(1|2)\\.txt')")
+def find_path_glob(s, d):
+    return hexed(namespace.find(V.files(s, d), path="src[0-2]/*{1,2}.txt")).select(FILE_COLS)
+
+
+@query(f"WITH {V.FILES} SELECT {F_COLS} FROM files WHERE size > 8192")
+def find_size_gt(s, d):
+    return hexed(namespace.find(V.files(s, d), size="+8K")).select(FILE_COLS)
+
+
+@query(f"WITH {V.FILES} SELECT {F_COLS} FROM files WHERE size < 512 AND starts_with(path, 'src0/')")
+def find_size_lt(s, d):
+    return hexed(namespace.find(V.files(s, d), "src0", size="-512")).select(FILE_COLS)
+
+
+@query(f"WITH {V.FILES} SELECT kind::SMALLINT AS kind, count(*) AS n FROM files WHERE kind = 2 GROUP BY kind")
+def find_kind_empty(s, d):
+    return namespace.find(V.files(s, d), kind="e").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {V.FILES} SELECT {F_COLS} FROM files WHERE lang = 'fr' AND source = 'src2'")
+def find_attr(s, d):
+    return hexed(namespace.find(V.files(s, d), attrs={"lang": "fr", "source": "src2"})).select(FILE_COLS)
+
+
+@query(f"WITH {V.FILES} SELECT path, '-rw-r--r--' AS mode_text, 'lang=' || lang || ',source=' || source AS attrs_text, size, sha FROM files WHERE doc_id = 3")
+def stat_point(s, d):
+    f = V.files(s, d)
+    one = V.table(s, d, "documents").where("doc_id = 3").select("source", "lang").first()
+    return hexed(namespace.stat(f, f"{one.source}/{one.lang}/doc-00000003.txt")).select("path", "mode_text", "attrs_text", "size", "sha")
+
+
+@query(f"WITH {V.FILES} SELECT path, size FROM files WHERE path >= 'src1/' AND path < 'src10'")
+def subtree_range(s, d):
+    return namespace.files_under(V.files(s, d), "src1").select("path", "size")
+
+
+@query(f"WITH {V.FILES} SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(DISTINCT sha) FILTER (size > 0) AS blobs, (SELECT sum(b)::BIGINT FROM (SELECT any_value(size) AS b FROM files GROUP BY sha)) AS blob_bytes FROM files")
+def du_dedup(s, d):
+    return namespace.du(V.files(s, d))
+
+
+@query(f"WITH {V.FILES}, r AS (SELECT path, size FROM files), {V.ROLLUP} SELECT dir, n_files, n_dirs, bytes FROM rollup_ WHERE depth <= 1")
+def du_depth1(s, d):
+    return namespace.du_depth(V.files(s, d), "", 1)
+
+
+@query(f"WITH {V.FILES} SELECT path, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{{:.1f}} KB', size / 1024.0::DOUBLE) ELSE format('{{:.1f}} MB', size / 1048576.0::DOUBLE) END AS shown FROM files WHERE size % 1024 % 51 <> 25")
+def human_sizes(s, d):
+    return V.files(s, d).where("size % 1024 % 51 <> 25").select("path", P.human(F.col("size")).alias("shown"))
+
+
+# history and visibility ------------------------------------------------------------------------
+
+
+@query(f"WITH {V.VISIBLE} SELECT path, batch, size, sha FROM latest")
+def latest_per_path(s, d):
+    return hexed(namespace.latest(V.history(s, d))).select("path", "batch", "size", "sha")
+
+
+@query(f"WITH {V.VISIBLE} SELECT path, batch, size, sha FROM visible")
+def visible_namespace(s, d):
+    return hexed(namespace.visible(V.history(s, d))).select("path", "batch", "size", "sha")
+
+
+@query(f"WITH {V.VISIBLE} SELECT count(*) - (SELECT count(*) FROM visible) AS n FROM history")
+def shadowed_count(s, d):
+    return namespace.shadowed(V.history(s, d)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {V.HISTORY} SELECT path, batch, size, sha FROM history WHERE path = 'd1/e1/f1.txt' AND batch = 2")
+def stat_version(s, d):
+    return hexed(namespace.stat_version(V.history(s, d), "d1/e1/f1.txt", 2)).select("path", "batch", "size", "sha")
+
+
+@query(f"WITH {V.HISTORY} SELECT batch, count(*) AS paths, sum(size)::BIGINT AS bytes, count(DISTINCT sha) AS contents FROM history GROUP BY batch")
+def batch_totals(s, d):
+    return V.history(s, d).groupBy("batch").agg(F.count(F.lit(1)).alias("paths"), F.sum("size").alias("bytes"), F.count_distinct("sha").alias("contents"))
+
+
+@query(f"WITH {V.VISIBLE} SELECT split_part(path, '/', 1) AS top, count(*) AS n FROM visible WHERE regexp_full_match(path, '.*/f.*5\\.txt') GROUP BY 1")
+def find_visible(s, d):
+    """The name test stands above the shadowing."""
+    return namespace.find(namespace.visible(V.history(s, d)), name="f*5.txt").groupBy(F.split("path", "/")[0].alias("top")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# contents --------------------------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS sha, octet_length(encode(any_value(text)))::BIGINT AS size FROM documents WHERE text <> '' GROUP BY 1")
+def blobs_distinct(s, d):
+    return hexed(V.blobs(s, d)).select("sha", "size")
+
+
+@query(f"WITH {V.FILES} SELECT sha, list(path ORDER BY path) AS paths FROM files WHERE size > 0 GROUP BY sha HAVING count(*) > 1")
+def paths_by_sha(s, d):
+    return hexed(namespace.paths_by_sha(V.files(s, d))).where(F.size("paths") > 1)
+
+
+@query(f"WITH {V.HISTORY} SELECT DISTINCT sha, size FROM history WHERE size > 0 AND batch = 3 AND sha NOT IN (SELECT sha FROM history WHERE batch < 3)")
+def new_blobs_anti(s, d):
+    h = V.history(s, d, content=True)
+    return hexed(ingest.new_blobs(h.where("batch = 3"), h.where("batch < 3").select("sha"))).select("sha", F.octet_length("content").cast("long").alias("size"))
+
+
+@query(f"WITH {V.FILES}, base AS (SELECT *, doc_id % 3 AS m FROM files) SELECT path, sha FROM base WHERE m <> 0")
+def unchanged_skip(s, d):
+    """A third of the tree is as stored; a third has another mode, a third another attribute."""
+    f = V.files(s, d)
+    third = F.pmod(F.regexp_extract("name", r"(\d+)", 1).cast("long"), F.lit(3))
+    seen = f.withColumn("mode", F.when(third == 1, 0o755).otherwise(F.col("mode"))).withColumn("attrs", F.when(third == 2, F.create_map(F.lit("lang"), F.lit("zz"))).otherwise(F.col("attrs")))
+    return hexed(ingest.changed(f, seen)).select("path", "sha")
+
+
+@query("SELECT sha, part::INTEGER AS part, n_parts::INTEGER AS n_parts, (CASE WHEN part = n_parts - 1 THEN size - part * 4096 ELSE 4096 END)::BIGINT AS size FROM (SELECT sha256(text) AS sha, octet_length(encode(text)) AS size, greatest(1, ceil(octet_length(encode(text)) / 4096.0)::BIGINT) AS n_parts FROM (SELECT DISTINCT text FROM documents) WHERE text <> ''), range(0, 100000) t(part) WHERE part < n_parts")
+def blob_parts(s, d):
+    return hexed(ingest.as_parts(V.blobs(s, d).select("sha", "content"), 4096)).select("sha", "part", "n_parts", "size")
+
+
+@query(f"WITH {V.FILES}, l AS (SELECT path, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS line_no FROM files WHERE size > 0) SELECT path, line_no::INTEGER AS line_no, line FROM l WHERE regexp_matches(line, 'license|(?:^The )')")
+def grep_lines(s, d):
+    return content.grep(V.files(s, d), V.blobs(s, d), ["license", "^The "])
+
+
+@query(f"WITH {V.FILES}, l AS (SELECT path, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM files WHERE size > 0 AND starts_with(path, 'src0/')) SELECT path, count(*) AS n_lines FROM l WHERE regexp_matches(line, '[0-9]{{3}}') GROUP BY path")
+def grep_count(s, d):
+    return content.grep_count(content.grep(V.files(s, d), V.blobs(s, d), ["[0-9]{3}"], "src0"))
+
+
+@query(f"WITH {V.FILES} SELECT path FROM files WHERE contains(text, 'token') AND regexp_full_match(name, '.*[05]\\.txt')")
+def grep_files(s, d):
+    return content.grep(V.files(s, d), V.blobs(s, d), ["token"], name="*[05].txt").select("path").distinct()
+
+
+@query(f"WITH {V.FILES}, l AS (SELECT path, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM files WHERE size > 0) SELECT path, count(*) AS n_lines FROM l WHERE regexp_matches(line, 'RELEASED', 'i') GROUP BY path")
+def grep_ignorecase(s, d):
+    return content.grep_count(content.grep(V.files(s, d), V.blobs(s, d), ["RELEASED"], ignore_case=True))
+
+
+@query("SELECT item_id, sha256(text) AS sha, text, octet_length(encode(text))::BIGINT AS n FROM benchmark")
+def text_lookup(s, d):
+    keys = V.table(s, d, "benchmark").select("item_id", F.sha2("text", 256).alias("sha"))
+    return content.lookup(keys, [V.blobs(s, d, "benchmark")]).select("item_id", "sha", "text", F.octet_length("blob").cast("long").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('unknown', NULL, true), ('malformed', NULL, true), ('null', NULL, true), ('empty', '', false)) t(kind, text, missing)")
+def blob_lookup_unknown_null(s, d):
+    rows = s.range(1).select(F.explode(F.array(F.struct(F.lit("unknown").alias("kind"), F.lit("0" * 64).alias("sha")), F.struct(F.lit("malformed"), F.lit("xyz")), F.struct(F.lit("null"), F.lit(None).cast("string")), F.struct(F.lit("empty"), F.lit(content.EMPTY_SHA)))).alias("x")).select("x.kind", "x.sha")
+    return content.lookup(rows, [V.blobs(s, d)]).select("kind", "text", F.col("blob").isNull().alias("missing"))
+
+
+@query("SELECT store, count(*) AS n FROM (SELECT 'docs' AS store FROM documents UNION ALL SELECT 'bench' FROM benchmark) GROUP BY store")
+def union_stores(s, d):
+    a = V.files(s, d).select(F.lit("docs").alias("store"), "path", "size")
+    b = V.table(s, d, "benchmark").select(F.lit("bench").alias("store"), F.col("item_id").cast("string").alias("path"))
+    return a.unionByName(b, allowMissingColumns=True).groupBy("store").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT item_id, sha256(text) AS sha, CASE WHEN item_id % 2 = 0 THEN 'first' ELSE 'second' END AS found FROM benchmark")
+def first_store_wins(s, d):
+    b = V.table(s, d, "benchmark")
+    first = b.where("item_id % 2 = 0").select(F.sha2("text", 256).alias("sha"), F.lit("first").alias("found"), F.lit(0).alias("rank"))
+    second = b.select(F.sha2("text", 256).alias("sha"), F.lit("second").alias("found"), F.lit(1).alias("rank"))
+    best = first.unionByName(second).groupBy("sha").agg(F.min_by("found", "rank").alias("found"))
+    return b.select("item_id", F.sha2("text", 256).alias("sha")).join(best, "sha").select("item_id", "sha", "found")
+
+
+# retention -------------------------------------------------------------------------------------
+
+PROFILE = retention.Profile("pages", exclude_dirs=("de",), exclude_ext=("pyc",), max_bytes=40000, exclude_under=((("f",), ("so",), 6000),), always_exclude=("*/p1*7*",), always_keep=("*/p2*.pyc",))
+_RULE = """CASE WHEN regexp_full_match(path, '.*/p1.*7.*') THEN 'always_exclude' WHEN regexp_full_match(path, '.*/p2.*\\.pyc') THEN NULL WHEN list_contains(dirs, 'de') THEN 'exclude_dirs' WHEN kind = 1 THEN NULL
+ WHEN ext = 'pyc' THEN 'exclude_ext' WHEN size > 40000 THEN 'max_bytes' WHEN under AND ext = 'so' THEN 'exclude_under.ext' WHEN under AND size > 6000 THEN 'exclude_under.max_bytes' END"""
+_DECIDED = f"{V.ENTRIES}, e AS (SELECT *, string_split(path, '/')[1:-2] AS dirs, regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1) AS ext FROM entries), u AS (SELECT *, len(list_filter(dirs, lambda x: starts_with(x, 'f'))) > 0 AS under FROM e)"
+
+
+@query(f"WITH {_DECIDED} SELECT page_id, path, {_RULE} AS rule FROM u")
+def retention_decision(s, d):
+    return retention.decide(V.entries(s, d), PROFILE).select("page_id", "path", "rule")
+
+
+@query(f"WITH {_DECIDED}, x AS (SELECT size, {_RULE} AS rule FROM u) SELECT rule, count(*) AS n, sum(size)::BIGINT AS bytes FROM x WHERE rule IS NOT NULL GROUP BY rule")
+def excluded_by_rule(s, d):
+    return retention.excluded(retention.decide(V.entries(s, d), PROFILE)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@query(f"WITH {V.ENTRIES}, x AS (SELECT path, size, string_split(path, '/') AS p FROM entries), t AS (SELECT *, list_position(p[1:-2], 'de') AS i FROM x) SELECT CASE WHEN i > 0 THEN array_to_string(p[1:i], '/') ELSE path END AS path, CASE WHEN i > 0 THEN 'exclude_dirs' ELSE 'exclude_ext' END AS rule, max(CASE WHEN i > 0 THEN 0 ELSE size END)::BIGINT AS size FROM t WHERE i > 0 OR (path LIKE '%.pyc') GROUP BY 1, 2")
+def excluded_pruned_dirs(s, d):
+    """A pruned directory is one row of size 0."""
+    e = V.entries(s, d).withColumn("kind", F.lit(0))
+    return retention.excluded(retention.decide(e, retention.Profile("p", exclude_dirs=("de",), exclude_ext=("pyc",)))).select("path", "rule", "size")
+
+
+@query(f"WITH {V.ENTRIES} SELECT path, regexp_matches(path, '^[^/]+\\.org/(fr|es)(/|$)') AS gone FROM entries")
+def deleted_prefix_filter(s, d):
+    e = V.entries(s, d)
+    gone = e.select(F.regexp_extract("path", r"^([^/]+\.org/(?:fr|es))(?:/|$)", 1).alias("path")).where("path <> ''").distinct()
+    return retention.decide(e, retention.Profile("none"), gone).select("path", (F.col("rule") == "deleted").alias("gone")).fillna(False, ["gone"])
+
+
+# events ----------------------------------------------------------------------------------------
+
+ADAPTER = events.Adapter("docs", 1, "jsonl", ("**/*.txt",), ((r"^src(?P<round>\d+)/(?P<role>[^/]+)/", ()), (r"doc-(?P<doc>\d+)\.txt$", ("doc",))))
+
+
+@query(f"WITH {V.FILES} SELECT path, substr(source, 4) AS round, lang AS role, doc_id::VARCHAR AS doc FROM files")
+def attrs_extract(s, d):
+    a = V.files(s, d).select("path", ADAPTER.attributes(F.col("path")).alias("a"))
+    return a.select("path", *[F.col("a")[k].alias(k) for k in ("round", "role", "doc")])
+
+
+@query("SELECT event_id, event_type AS type, event_id::VARCHAR AS id, user_id::VARCHAR AS actor, json_extract_string(props, '$.k')::INTEGER AS exit_code FROM events")
+def json_envelope(s, d):
+    line = F.to_json(F.struct(F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("author"), F.get_json_object("props", "$.k").cast("int").alias("returncode")))
+    rows = V.table(s, d, "events").select("event_id", line.alias("line"))
+    return events.generic_envelope(rows).select("event_id", "type", "id", "actor", "exit_code")
+
+
+@query("SELECT 'conv-' || conv_id || '/events.jsonl' AS trajectory, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS seq, 'turn' AS type, turn::VARCHAR AS id, role AS actor, (turn * 1000000)::BIGINT AS ts_us, length(text)::BIGINT AS n FROM conversations")
+def exact_parser(s, d):
+    """Conversations written as JSON lines and parsed by the exact parser."""
+    line = F.to_json(F.struct(F.lit("turn").alias("type"), F.col("turn").cast("string").alias("id"), "role", F.col("turn").alias("ts"), "text"))
+    logs = V.table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("content"))
+    parsed = events.parse_events(logs.select(F.concat(F.lit("conv-"), "conv_id", F.lit("/events.jsonl")).alias("path"), "content"), "jsonl")
+    return parsed.select("trajectory", "seq", "type", "id", "actor", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.length(F.get_json_object("payload_json", "$.text")).cast("long").alias("n"))
+
+
+@query(f"WITH {V.EVENTS} SELECT type, count(*) AS n, count(DISTINCT trajectory) AS trajectories, min(ts) AS first_ts, max(ts) AS last_ts FROM log GROUP BY type")
+def events_by_type(s, d):
+    return V.event_log(s, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trajectory").alias("trajectories"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(f"WITH {V.EVENTS} SELECT trajectory, count(*) AS n, sum(CASE WHEN exit_code > 50 THEN 1 ELSE 0 END)::BIGINT AS failed FROM log WHERE type IN ('click', 'error') GROUP BY trajectory")
+def tool_calls_failed(s, d):
+    return V.event_log(s, d).where(F.col("type").isin("click", "error")).groupBy("trajectory").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("exit_code") > 50).cast("long")).alias("failed"))
+
+
+@query(f"WITH {V.EVENTS} SELECT id, seq, last_value(CASE WHEN type = 'signup' THEN 'n' || exit_code END IGNORE NULLS) OVER (PARTITION BY trajectory, exit_code % 4 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tool_name FROM log")
+def call_name_asof(s, d):
+    """The newest name given for a call id, as of each event."""
+    w = Window.partitionBy("trajectory", F.col("exit_code") % 4).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    name = F.when(F.col("type") == "signup", F.concat(F.lit("n"), "exit_code"))
+    return V.event_log(s, d).select("id", "seq", F.last(name, ignorenulls=True).over(w).alias("tool_name"))
+
+
+@query(f"WITH {V.EVENTS} SELECT id, CASE WHEN type = 'signup' THEN NULL ELSE last_value(CASE WHEN type = 'signup' THEN {{'v': CASE WHEN exit_code % 2 = 0 THEN id END}} END IGNORE NULLS) OVER (PARTITION BY trajectory ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW).v END AS parent_id FROM log")
+def thread_parent_asof(s, d):
+    """The thread begun last; one without an id resets the parent."""
+    w = Window.partitionBy("trajectory").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.when(F.col("type") == "signup", F.struct(F.when(F.col("exit_code") % 2 == 0, F.col("id")).alias("v")))
+    return V.event_log(s, d).select("id", F.when(F.col("type") != "signup", F.last(begun, ignorenulls=True).over(w)["v"]).alias("parent_id"))
+
+
+@query("SELECT doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS seq, unnest(string_split(text, chr(10))) AS line FROM documents")
+def seq_numbering(s, d):
+    return V.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+
+
+@query(f"WITH {V.EVENTS} SELECT type, exit_code % 10 AS k, count(*) AS n FROM log GROUP BY ROLLUP (type, exit_code % 10)")
+def events_per_attr_rollup(s, d):
+    return V.event_log(s, d).withColumn("k", F.col("exit_code") % 10).rollup("type", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {V.FILES} SELECT max(lang || '-' || source) AS label FROM files WHERE lang || '-' || source NOT IN ('fr-src9', 'fr-src8')")
+def label_topk(s, d):
+    have = V.files(s, d).select(F.concat_ws("-", F.col("attrs")["lang"], F.col("attrs")["source"]).alias("label")).distinct()
+    packed = s.range(1).select(F.explode(F.array(F.lit("fr-src9"), F.lit("fr-src8"))).alias("label"))
+    return have.join(packed, "label", "left_anti").agg(F.max("label").alias("label"))
+
+
+# integrity and maintenance -----------------------------------------------------------------------
+
+
+@query("SELECT 'parts' AS \"check\", sha256(text) AS subject FROM (SELECT DISTINCT text FROM documents) WHERE octet_length(encode(text)) > 2 * 4096")
+def verify_parts(s, d):
+    """Contents whose second part of three or more is lost."""
+    parts = ingest.as_parts(V.blobs(s, d).select("sha", "content"), 4096)
+    return maintenance.part_problems(parts.where("not (part = 1 and n_parts > 2)"))
+
+
+@query(f"WITH {V.FILES} SELECT CASE WHEN doc_id % 5 = 0 THEN 'missing-blob' ELSE 'size-mismatch' END AS \"check\", path AS subject FROM (SELECT *, min(doc_id) OVER (PARTITION BY sha) % 5 AS m FROM files) WHERE size > 0 AND doc_id % 5 IN (0, 1) AND FALSE")
+def verify_size_mismatch(s, d):
+    """A sound catalog has no violation of contents."""
+    return maintenance.blob_problems(V.files(s, d), V.blobs(s, d))
+
+
+@query(f"WITH {V.FILES}, r AS (SELECT path, size FROM files), {V.ROLLUP} SELECT k AS \"check\", '1:' || dir AS subject FROM rollup_, (VALUES ('dirs-extra'), ('dirs-missing')) t(k) WHERE depth = 1")
+def verify_dirs_diff(s, d):
+    """Stored directory rows of depth 1 count one byte too many."""
+    f = V.files(s, d)
+    stored = namespace.rollup(f, per_batch=True).withColumn("bytes", F.when(F.col("depth") == 1, F.col("bytes") + 1).otherwise(F.col("bytes")))
+    return maintenance.dirs_diff(f, stored)
+
+
+@query("SELECT 'none' AS \"check\", 0::BIGINT AS n WHERE false")
+def verify_files(s, d):
+    return maintenance.file_problems(V.files(s, d)).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {V.FILES} SELECT count(*) AS rows, sum(size)::BIGINT AS logical_bytes, count(DISTINCT sha) FILTER (size > 0) AS blobs, (SELECT sum(b)::BIGINT FROM (SELECT any_value(size) AS b FROM files GROUP BY sha)) AS blob_bytes, count(DISTINCT sha) FILTER (size > 0) AS parts, count(DISTINCT sha) FILTER (size > 0) AS unique_parts, 0::BIGINT AS duplicate_parts, 0::BIGINT AS duplicate_bytes, 0::BIGINT AS unreferenced, 0::BIGINT AS unreferenced_bytes FROM files")
+def storage_report(s, d):
+    return maintenance.storage_report(V.files(s, d), V.blobs(s, d))
+
+
+@query(f"WITH {V.FILES} SELECT sha, count(*) AS n FROM files WHERE size > 0 GROUP BY sha")
+def referenced_shas(s, d):
+    return hexed(maintenance.referenced(V.files(s, d)))
+
+
+@query(f"WITH {V.HISTORY} SELECT sha, max(size) AS size FROM history WHERE size > 0 AND (path = 'd1' OR starts_with(path, 'd1/')) AND sha NOT IN (SELECT sha FROM history WHERE NOT (path = 'd1' OR starts_with(path, 'd1/'))) GROUP BY sha")
+def private_blobs_anti(s, d):
+    return hexed(maintenance.private_blobs(V.history(s, d), "d1"))
+
+
+@query(f"WITH {V.VISIBLE}, g AS (SELECT * FROM history WHERE starts_with(path, 'd1/')), k AS (SELECT sha FROM history WHERE NOT starts_with(path, 'd1/')) SELECT count(*) AS paths, sum(size)::BIGINT AS bytes, count(DISTINCT batch) AS batches, (SELECT count(*) FROM visible WHERE starts_with(path, 'd1/')) AS latest_paths, (SELECT count(DISTINCT sha) FROM g WHERE size > 0 AND sha NOT IN (SELECT sha FROM k)) AS blobs, (SELECT coalesce(sum(z), 0)::BIGINT FROM (SELECT any_value(size) AS z FROM g WHERE size > 0 AND sha NOT IN (SELECT sha FROM k) GROUP BY sha)) AS blob_bytes, (SELECT count(*) FROM history WHERE NOT starts_with(path, 'd1/')) AS survivors FROM g")
+def delete_plan(s, d):
+    return maintenance.delete_plan(V.history(s, d), "d1")
+
+
+@query("WITH RECURSIVE o AS (SELECT doc_id % 20 AS k, doc_id, octet_length(encode(text))::BIGINT AS n, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS i FROM documents), g(k, i, doc_id, chunk, filled) AS (SELECT k, i, doc_id, 0, n FROM o WHERE i = 1 UNION ALL SELECT o.k, o.i, o.doc_id, CASE WHEN g.filled + o.n > 20000 THEN g.chunk + 1 ELSE g.chunk END, CASE WHEN g.filled + o.n > 20000 THEN o.n ELSE g.filled + o.n END FROM g JOIN o ON o.k = g.k AND o.i = g.i + 1) SELECT k, doc_id, chunk::INTEGER AS chunk FROM g")
+def greedy_cumulative(s, d):
+    items = V.table(s, d, "documents").select((F.col("doc_id") % 20).alias("k"), "doc_id", F.octet_length("text").cast("long").alias("n"))
+    return maintenance.greedy_chunks(items, "k", "doc_id", "n", 20000).select("k", "doc_id", "chunk")
+
+
+@query("WITH f AS (SELECT l_orderkey % 50 AS pack, l_orderkey * 7 + l_linenumber AS \"offset\", l_quantity::BIGINT AS length FROM lineitem), e AS (SELECT *, coalesce(max(\"offset\" + length) OVER (PARTITION BY pack ORDER BY \"offset\", length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM f) SELECT pack, sum(greatest(0, \"offset\" - upto))::BIGINT AS gap, sum(greatest(0, least(upto, \"offset\" + length) - \"offset\"))::BIGINT AS overlap FROM e GROUP BY pack")
+def frame_gaps(s, d):
+    f = V.table(s, d, "lineitem").select((F.col("l_orderkey") % 50).alias("pack"), (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("offset"), F.col("l_quantity").cast("long").alias("length"))
+    return maintenance.frame_gaps(f).groupBy("pack").agg(F.sum("gap").alias("gap"), F.sum("overlap").alias("overlap"))
+
+
+# the relational surface users reach through SQL ---------------------------------------------------
+
+
+def _sql(s, d, text, *tables):
+    for t in tables:
+        V.table(s, d, t).createOrReplaceTempView(t)
+    return s.sql(text)
+
+
+def relational(name: str, tables: tuple[str, ...], text: str, oracle: str | None = None) -> None:
+    def run(s, d):
+        return _sql(s, d, text, *tables)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = oracle or text
+
+
+relational("join_inner_agg", ("orders", "customer", "nation"), "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+relational("join_left", ("customer", "orders"), "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+relational("join_full", ("supplier", "nation"), "SELECT n_name, s_name FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) a FULL OUTER JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 1) b ON s_nationkey = n_nationkey")
+relational("join_semi", ("orders", "lineitem"), "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority")
+relational("join_anti", ("customer", "orders"), "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
+relational("join_range", ("nation", "region"), "SELECT n_name, r_name FROM nation JOIN region ON n_nationkey BETWEEN r_regionkey * 5 AND r_regionkey * 5 + 4")
+relational("join_theta", ("nation", "region"), "SELECT a.r_name AS lo, b.r_name AS hi FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
+relational("join_cross", ("nation", "region"), "SELECT r_name, n_name FROM region CROSS JOIN nation")
+relational("window_rank", ("orders",), "SELECT o_orderkey, cast(row_number() OVER w AS bigint) AS rn, cast(rank() OVER v AS bigint) AS rk, cast(dense_rank() OVER v AS bigint) AS dr, cast(ntile(4) OVER w AS bigint) AS nt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderstatus)")
+relational("window_lag_running", ("orders",), "SELECT o_orderkey, lag(o_orderkey) OVER w AS prev_key, lead(o_orderkey, 2) OVER w AS next_key, first_value(o_orderkey) OVER w AS first_key, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+relational("rollup_cube", ("lineitem",), "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag)::TINYINT AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+relational("grouping_sets", ("lineitem",), "SELECT l_returnflag, l_linestatus, cast(sum(l_linenumber) AS bigint) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+relational("setops", ("customer", "supplier"), "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT 3 UNION ALL SELECT 99")
+relational("setops_all", ("orders",), "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+relational("ordinals", ("lineitem",), "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1")
+relational("top_k", ("orders",), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
+relational("subqueries", ("orders", "customer"), "WITH big AS (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey) SELECT c_custkey, m FROM customer JOIN big ON o_custkey = c_custkey WHERE m > (SELECT avg(m) FROM big) AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
+relational("median_percentile", ("lineitem",), "SELECT l_returnflag, percentile(l_quantity, 0.5) AS med, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag")
+relational("arg_max", ("orders",), "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS best FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS best FROM orders GROUP BY o_custkey")
+relational("string_agg", ("nation",), "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+relational("asof_join", ("events",), "SELECT event_id, last(CASE WHEN event_type = 'purchase' THEN event_id END, true) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events")
+relational("map_unnest", ("documents",), "SELECT k, v, count(*) AS n FROM (SELECT explode(map('lang', lang, 'source', source)) AS (k, v) FROM documents) GROUP BY k, v", "SELECT k, v, count(*) AS n FROM (SELECT unnest(['lang', 'source']) AS k, unnest([lang, source]) AS v FROM documents) GROUP BY k, v")
+relational("tumbling_counts", ("events",), "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts)")

@@ -1,0 +1,87 @@
+"""The driver's tables in the shape of the store's tables, and the same views as DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths as P
+
+SLOTS = 250
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _row(df: DataFrame, path, batch, content, attrs) -> DataFrame:
+    df = df.withColumn("path", path).withColumn("batch", F.lit(batch).cast("long") if isinstance(batch, int) else batch).withColumn("_c", content)
+    size = F.octet_length("_c").cast("long")
+    return df.select(
+        "path", P.parent(F.col("path")).alias("dir"), P.basename(F.col("path")).alias("name"),
+        F.when(size == 0, 2).otherwise(0).cast("short").alias("kind"), F.lit(0o644).alias("mode"), size.alias("size"),
+        F.unhex(F.sha2("_c", 256)).alias("sha"), F.lit(0).cast("long").alias("mtime_ns"), "batch", attrs.alias("attrs"), F.col("_c").alias("content"),
+    )
+
+
+def files(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
+    """One batch: each document a file below its source and language."""
+    d = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
+    out = _row(d, path, 1, F.col("text").cast("binary"), F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"))
+    return out if content else out.drop("content")
+
+
+def history(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
+    """Many batches over few paths; every tenth path is a file in one batch and a directory in the next."""
+    d = table(spark, sf_dir, "documents").withColumn("slot", F.col("doc_id") % SLOTS)
+    batch = (F.floor(F.col("doc_id") / SLOTS) + 1).cast("long")
+    flip = F.concat(F.lit("x"), "slot", F.when(batch % 2 == 0, "/y").otherwise(""))
+    path = F.when(F.col("slot") % 10 == 0, flip).otherwise(F.concat(F.lit("d"), F.col("slot") % 7, F.lit("/e"), F.col("slot") % 3, F.lit("/f"), "slot", F.lit(".txt")))
+    out = _row(d, path, batch, F.col("text").cast("binary"), F.create_map(F.lit("lang"), "lang"))
+    return out if content else out.drop("content")
+
+
+def blobs(spark: SparkSession, sf_dir: str, name: str = "documents", col: str = "text") -> DataFrame:
+    """Distinct contents that are not empty, in one part each."""
+    c = table(spark, sf_dir, name).select(F.col(col).cast("binary").alias("content")).where(F.octet_length("content") > 0).distinct()
+    return c.select(F.unhex(F.sha2("content", 256)).alias("sha"), F.lit(0).alias("part"), F.lit(1).alias("n_parts"), F.octet_length("content").cast("long").alias("size"), "content")
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a walked tree: the path from the url, and a size."""
+    p = table(spark, sf_dir, "pages")
+    site = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
+    path = F.concat(site, F.lit("/p"), F.col("page_id"), F.element_at(F.array(*[F.lit(x) for x in (".html", ".pyc", ".so", "", ".tar.gz")]), (F.col("page_id") % 5 + 1).cast("int")))
+    return p.select("page_id", path.alias("path"), F.when(F.col("page_id") % 11 == 0, 1).otherwise(0).alias("kind"), F.octet_length("html").cast("long").alias("size"), F.substring(F.col("html").cast("binary"), 1, 4).alias("head"))
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events as trajectories: one for each user, in the order of time."""
+    from pyspark.sql.window import Window
+
+    e = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("users/u"), "user_id", F.lit("/events.jsonl"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return e.select(path.alias("trajectory"), seq.cast("int").alias("seq"), "ts", F.col("event_type").alias("type"), F.col("event_id").cast("string").alias("id"), F.get_json_object("props", "$.k").try_cast("int").alias("exit_code"), F.col("props").alias("payload_json"), "user_id", "value")
+
+
+#: The same as CTEs.
+FILES = """files AS (SELECT doc_id, source || '/' || lang || '/doc-' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS path, source || '/' || lang AS dir,
+ 'doc-' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS name, CASE WHEN text = '' THEN 2 ELSE 0 END AS kind, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha, lang, source, text, 1::BIGINT AS batch FROM documents)"""
+HISTORY = f"""history AS (SELECT doc_id, (1 + doc_id // {SLOTS})::BIGINT AS batch, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha, lang, text,
+ CASE WHEN (doc_id % {SLOTS}) % 10 = 0 THEN 'x' || (doc_id % {SLOTS}) || CASE WHEN (1 + doc_id // {SLOTS}) % 2 = 0 THEN '/y' ELSE '' END
+ ELSE 'd' || ((doc_id % {SLOTS}) % 7) || '/e' || ((doc_id % {SLOTS}) % 3) || '/f' || (doc_id % {SLOTS}) || '.txt' END AS path FROM documents)"""
+VISIBLE = f"""{HISTORY},
+latest AS (SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY path ORDER BY batch DESC) = 1),
+visible AS (SELECT * FROM latest l WHERE NOT EXISTS (SELECT 1 FROM latest a WHERE a.batch > l.batch AND (starts_with(l.path, a.path || '/') OR starts_with(a.path, l.path || '/'))))"""
+ENTRIES = """entries AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || '/p' || page_id || (['.html', '.pyc', '.so', '', '.tar.gz'])[page_id % 5 + 1] AS path,
+ CASE WHEN page_id % 11 = 0 THEN 1 ELSE 0 END AS kind, octet_length(encode(html))::BIGINT AS size FROM pages)"""
+EVENTS = """log AS (SELECT 'users/u' || user_id || '/events.jsonl' AS trajectory, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS seq, ts, event_type AS type, event_id::VARCHAR AS id,
+ TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS exit_code, props AS payload_json, user_id, value FROM events)"""
+#: Directory rollup of a relation r(path, size).
+ROLLUP = """parts AS (SELECT string_split(path, '/') AS p, size FROM r),
+up AS (SELECT array_to_string(p[1:i], '/') AS dir, size FROM parts, range(0, 20) t(i) WHERE i < len(p)),
+dirs AS (SELECT dir, count(*) AS n_files, sum(size)::BIGINT AS bytes FROM up GROUP BY dir),
+named AS (SELECT dir, CASE WHEN dir = '' THEN '' ELSE array_to_string(string_split(dir, '/')[1:-2], '/') END AS parent, string_split(dir, '/')[-1] AS name, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END::INTEGER AS depth, n_files, bytes FROM dirs),
+rollup_ AS (SELECT n.*, (SELECT count(*) FROM named c WHERE c.parent = n.dir AND c.dir <> '') AS n_dirs FROM named n)"""
