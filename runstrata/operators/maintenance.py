@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
@@ -144,7 +145,7 @@ def greedy_chunks(items: DataFrame, key: str, order: str, size: str, limit: int)
 
     The sum starts anew with each chunk, which no window frame expresses; keys are streamed in order, with two numbers of state.
     """
-    schema = items.schema
+    schema = T.StructType([*items.schema.fields, T.StructField("chunk", T.IntegerType())])
     names = items.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,5 +161,4 @@ def greedy_chunks(items: DataFrame, key: str, order: str, size: str, limit: int)
                 out.append(chunk)
             yield batch.append_column("chunk", pa.array(out, pa.int32()))
 
-    schema = schema.add("chunk", "int")
     return items.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)

@@ -25,6 +25,10 @@ elf_min_bytes = 65536
 ELF = b"\x7fELF"
 
 
+def _begins(prefixes: tuple[str, ...]):
+    return lambda d: reduce(or_, [d.startswith(p) for p in prefixes])
+
+
 @dataclass(frozen=True)
 class Profile:
     name: str
@@ -64,7 +68,7 @@ class Profile:
         if self.max_bytes:
             chain = chain.when(size > self.max_bytes, "max_bytes")
         for prefixes, exts, most in self.exclude_under:
-            inside = F.exists(dirs, lambda d, prefixes=prefixes: reduce(or_, [d.startswith(p) for p in prefixes])) if prefixes else F.lit(False)
+            inside = F.exists(dirs, _begins(prefixes)) if prefixes else F.lit(False)
             if exts:
                 chain = chain.when(inside & ext.isin(list(exts)), "exclude_under.ext")
             if most:

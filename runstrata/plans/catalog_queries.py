@@ -241,7 +241,7 @@ def text_lookup(s, d):
 
 @query("SELECT * FROM (VALUES ('unknown', NULL, true), ('malformed', NULL, true), ('null', NULL, true), ('empty', '', false)) t(kind, text, missing)")
 def blob_lookup_unknown_null(s, d):
-    rows = s.range(1).select(F.explode(F.array(F.struct(F.lit("unknown").alias("kind"), F.lit("0" * 64).alias("sha")), F.struct(F.lit("malformed"), F.lit("xyz")), F.struct(F.lit("null"), F.lit(None).cast("string")), F.struct(F.lit("empty"), F.lit(content.EMPTY_SHA)))).alias("x")).select("x.kind", "x.sha")
+    rows = s.sql(f"SELECT * FROM VALUES ('unknown', '{'0' * 64}'), ('malformed', 'xyz'), ('null', NULL), ('empty', '{content.EMPTY_SHA}') AS t(kind, sha)")
     return content.lookup(rows, [V.blobs(s, d)]).select("kind", "text", F.col("blob").isNull().alias("missing"))
 
 
