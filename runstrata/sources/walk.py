@@ -60,10 +60,10 @@ def read_tree(spark: SparkSession, root: str, prune=lambda rel: False) -> DataFr
                     s = entry.stat(follow_symlinks=False)
                     row |= {"path": path, "mtime_ns": s.st_mtime_ns, "size": s.st_size}
                     try:
-                        if S.ISLNK(s.st_mode):
+                        if S.S_ISLNK(s.st_mode):
                             target = os.fsencode(os.readlink(entry.path))
                             row |= {"kind": 1, "mode": 0o777, "content": target, "size": len(target)}
-                        elif S.ISREG(s.st_mode):
+                        elif S.S_ISREG(s.st_mode):
                             data = snapshot(entry.path)
                             row |= {"kind": 0 if data else 2, "mode": 0o755 if s.st_mode & 0o111 else 0o644, "content": data, "size": len(data)}
                         else:

@@ -131,21 +131,21 @@ class Store:
             number = max([0, *(b.id for b in manifest.batches)]) + 1
             base = f"catalog/{number:06d}"
             deleted = self.spark.createDataFrame([(d["path"],) for d in manifest.deleted], "path string")
-            errors = []
-            if "problem" in entries.columns:
-                special = entries.where("problem = 'special-file'").select("path", F.col("size").cast("long"), F.lit("special-file").alias("rule"))
-                errors = [f"{r.path}: {r.problem}" for r in entries.where("problem is not null and problem <> 'special-file'").select("path", "problem").limit(20).collect()]
-                entries = entries.where("problem is null")
+            if "problem" not in entries.columns:
+                entries = entries.withColumn("problem", F.lit(None).cast("string"))
+            # the source is read once: what is decided is written, and all that follows reads it back
+            staged = os.path.join(self.root, base, "staged.tmp")
             decided = retention.decide(entries, profile, deleted if manifest.deleted else None)
-            out = retention.excluded(decided)
-            if "problem" in entries.columns:
-                out = out.unionByName(special)
+            decided.write.parquet(f"{staged}/entries")
+            decided = self.spark.read.parquet(f"{staged}/entries")
+            errors = [f"{r.path}: {r.problem}" for r in decided.where("problem is not null and problem <> 'special-file'").select("path", "problem").limit(20).collect()]
+            special = decided.where("problem = 'special-file'").select("path", F.col("size").cast("long"), F.lit("special-file").alias("rule"))
+            decided = decided.where("problem is null")
+            out = retention.excluded(decided).select("path", F.col("size").cast("long"), "rule").unionByName(special)
             rows = ingest.as_rows(decided.where("rule is null"), adapter.attributes(F.col("path")), number)
             before = namespace.visible(self.history, len(manifest.batches)) if manifest.batches else self.spark.createDataFrame([], FILES)
-            # rows with contents are written once; all that follows reads them back
-            staged = os.path.join(self.root, base, "staged.tmp")
-            ingest.changed(rows, before).write.parquet(staged)
-            new = self.spark.read.parquet(staged)
+            ingest.changed(rows, before).write.parquet(f"{staged}/rows")
+            new = self.spark.read.parquet(f"{staged}/rows")
             files = new.drop("content")
             blobs = ingest.as_parts(ingest.new_blobs(new, self.table("blobs"))).withColumn("batch", F.lit(number).cast("long"))
             segments = {
