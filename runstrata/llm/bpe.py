@@ -1,10 +1,11 @@
 """Byte-level BPE over a table of distinct words.
 
 1. Split: documents are cut into the tokenizer's pre-tokens by character classes, vectorised; a task turns its
-   documents into blocks of at most ``block`` characters: the block's distinct words, sorted, and for each
+   documents into blocks of at most ``block`` bytes: the block's distinct words, the commonest first, and for each
    document the positions of its words in that list.
-2. Encode: the distinct words of all blocks are dealt by word, so every word meets all its occurrences (at most one
-   for each block, hence no hot word) and is encoded once; its ids go back to (block, position).
+2. Encode: the distinct words of all blocks are dealt by hash, in packets of one block and bucket (buckets grow with
+   the blocks, so no bucket does). A word meets all its occurrences, at most one for each block, hence no word is hot,
+   and is encoded once; its ids go back to (block, position).
 3. Join: a block's positions meet its words' ids; the ids of a text are taken by position.
 4. Decode: ids are joined to pieces by id (the vocabulary, of fixed size), pieces are joined by position.
 
@@ -27,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, group_bounds, runs
-from ._text import utf8
+from ._text import utf8, word_hashes
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """``path``: a tokenizers JSON file of a byte-level BPE with the usual split pattern and no normaliser. ``block``: characters a block."""
+    """``path``: a tokenizers JSON file of a byte-level BPE with the usual split pattern and no normaliser. ``block``: bytes of text a block."""
 
     path: str
-    block: int = 16 << 20
+    block: int = 32 << 20
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> Vocabulary:
@@ -160,21 +161,40 @@ def _added(text: str, added: list[str]) -> list[tuple[str, bool]]:
 
 
 _BLOCK = ["block", "doc_ids", "counts", "codes", "words"]
-_BLOCK_DDL = "block string, doc_ids binary, counts binary, codes binary, words array<binary>"
+_BLOCK_DDL = "block string, doc_ids binary, counts binary, codes binary, words binary"
+_PACKET = ["bucket", "block", "places", "words"]
+_PACKET_DDL = "bucket int, block string, places binary, words binary"
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True)
+def _pack(x: np.ndarray) -> bytes:
+    """An integer array as planes of its bytes, compressed; the first byte is the width."""
+    raw = np.ascontiguousarray(x)
+    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), -1).T) if len(raw) else np.zeros(0, np.uint8)
+    return bytes([raw.itemsize]) + raw.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _expand(data: bytes, kind) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), kind)
+def _unpack(data: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(data[0], -1).T).view(kind).ravel() if size else np.zeros(0, kind)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x)
-    return raw.nbytes.to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+def _pack_words(words: pa.Array) -> bytes:
+    """A binary array: lengths, then bytes."""
+    off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
+    lens = _pack(np.diff(off).astype(np.int32))
+    raw = memoryview(words.buffers()[2])[off[0] : off[-1]] if len(words) and words.buffers()[2] is not None else b""
+    return len(lens).to_bytes(8, "little") + lens + len(raw).to_bytes(8, "little") + pa.compress(bytes(raw), codec="zstd", asbytes=True)
+
+
+def _unpack_words(data: bytes) -> pa.Array:
+    n = int.from_bytes(data[:8], "little")
+    lens = _unpack(data[8 : 8 + n], np.int32)
+    size = int.from_bytes(data[8 + n : 16 + n], "little")
+    raw = pa.decompress(data[16 + n :], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    off = np.zeros(len(lens) + 1, np.int32)
+    np.cumsum(lens, out=off[1:])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(off), pa.py_buffer(raw)])
 
 
 def _blocks(batches, v: Vocabulary) -> Iterator[pa.RecordBatch]:
@@ -193,14 +213,14 @@ def _blocks(batches, v: Vocabulary) -> Iterator[pa.RecordBatch]:
             coded = coded.chunk(0)
         words = coded.dictionary if coded is not None else pa.array([], pa.binary())
         codes = coded.indices.to_numpy() if coded is not None else np.zeros(0, np.int32)
-        order = pa.compute.sort_indices(words).to_numpy()
+        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         # the attempt is in the name: blocks of two attempts never meet
         name = f"{task.partitionId()}-{task.taskAttemptId()}-{made}"
-        nulls = np.array([x is None for x in ids])
-        doc = np.array([x or 0 for x in ids], np.int64)
-        out = pa.record_batch([pa.array([name]), pa.array([_pack(np.concatenate([doc, nulls.astype(np.int64)]))]), pa.array([_pack(np.array(counts, np.int64))]), pa.array([_pack(_narrow(rank[codes]))]), pa.array([words.take(pa.array(order)).to_pylist()], pa.list_(pa.binary()))], names=_BLOCK)
+        doc, null = np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.int64)
+        cells = [name], [_pack(np.concatenate([doc, null]))], [_pack(np.array(counts, np.int32))], [_pack(rank[codes])], [_pack_words(words.take(pa.array(order)))]
+        out = pa.record_batch([pa.array(c, t) for c, t in zip(cells, (pa.string(), *[pa.binary()] * 4))], names=_BLOCK)
         held, ids, counts, size, made = [], [], [], 0, made + 1
         return out
 
@@ -236,44 +256,46 @@ def _blocks(batches, v: Vocabulary) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """int32 as four planes of bytes, which compress better."""
-    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-
-
-def _wide(data: bytes) -> np.ndarray:
-    planes = _expand(data, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+def _packets(batches, buckets: int):
+    """The words of each block by hash: a row for each block and bucket, positions as steps."""
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = _unpack_words(data)
+            if not len(words):
+                continue
+            off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
+            h = word_hashes(np.frombuffer(words.buffers()[2], np.uint8), off[:-1], off[1:])
+            bucket = (h >> np.uint64(20)) & np.uint64(buckets - 1)
+            order = np.argsort(bucket, kind="stable")
+            bounds = group_bounds(bucket[order])
+            rows = []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                own = order[a:b]
+                rows.append((int(bucket[own[0]]), block, _pack(np.diff(own, prepend=0).astype(np.int32)), _pack_words(words.take(pa.array(own)))))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=_PACKET)
 
 
 def _encode(batches, v: Vocabulary):
-    """Sorted (word, block, position) -> (block, positions, how many ids, ids); equal words follow each other and are encoded once."""
-    t, added = _tokenizer(v.path)
-    last, last_ids = None, b""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        word = batch.column(0)
-        code = word.dictionary_encode()
-        distinct = [x for x in code.dictionary.to_pylist()]
-        ids: list = [last_ids if x == last else None for x in distinct]
-        new = [k for k, x in enumerate(ids) if x is None]
-        # alone, a word is one pre-token; an added token is itself
-        for k, e in zip(new, t.encode_batch([distinct[k].decode() for k in new], add_special_tokens=False)):
-            ids[k] = np.array(e.ids, np.int32)
-        last, last_ids = distinct[-1], ids[-1]
-        size = np.array([len(x) for x in ids])
-        which = code.indices.to_numpy()
-        place = batch.column(2).to_numpy()
-        block = batch.column(1).dictionary_encode()
-        at = block.indices.to_numpy()
-        order = np.argsort(at, kind="stable")
-        bounds = group_bounds(at[order])
-        rows = []
+    """Packets sorted by bucket -> (block, positions, how many ids, ids). Of each bucket, every distinct word is encoded once."""
+    t, _ = _tokenizer(v.path)
+    for table in runs(batches, 1):
+        bucket = table["bucket"].to_numpy()
+        blocks, places, packed = (table[c].to_pylist() for c in ("block", "places", "words"))
+        bounds = group_bounds(bucket)
         for a, b in zip(bounds[:-1], bounds[1:]):
-            own = order[a:b]
-            rows.append((block.dictionary[int(at[own[0]])].as_py(), place[own].astype("<i4").tobytes(), size[which[own]].astype("<i4").tobytes(), np.concatenate([ids[k] for k in which[own]]).astype("<i4").tobytes()))
-        yield pa.record_batch([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "places", "sizes", "ids"])
+            parts = [_unpack_words(x) for x in packed[a:b]]
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            # alone, a word is one pre-token; an added token is itself
+            found = t.encode_batch([x.decode() for x in coded.dictionary.to_pylist()], add_special_tokens=False)
+            size = np.array([len(e.ids) for e in found], np.int64)
+            ids = np.fromiter((i for e in found for i in e.ids), np.int32, int(size.sum()))
+            start = np.cumsum(size) - size
+            which, at, rows = coded.indices.to_numpy(), 0, []
+            for k, part in zip(range(a, b), parts):
+                own = which[at : at + len(part)]
+                at += len(part)
+                rows.append((blocks[k], places[k], _pack(size[own].astype(np.int32)), _pack(ids[_ranges(start[own], size[own])])))
+            yield pa.record_batch([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "places", "sizes", "ids"])
 
 
 @lru_cache(4)
@@ -292,11 +314,12 @@ def _join_bytes(values: pa.Array, sizes: np.ndarray) -> pa.Array:
 def _finish(left: list[dict], parts: pa.Table, v: Vocabulary):
     """Rows of the documents of one block: id, number of ids, ids as text, decoded bytes."""
     row = left[0]
-    place = np.concatenate([np.frombuffer(x, "<i4") for x in parts["places"].to_pylist()] or [np.zeros(0, np.int32)])
-    size = np.concatenate([np.frombuffer(x, "<i4") for x in parts["sizes"].to_pylist()] or [np.zeros(0, np.int32)])
-    ids = np.concatenate([np.frombuffer(x, "<i4") for x in parts["ids"].to_pylist()] or [np.zeros(0, np.int32)])
-    counts, codes = _expand(row["counts"], np.int64), _wide(row["codes"])
-    doc = _expand(row["doc_ids"], np.int64).reshape(2, -1)
+    none = [np.zeros(0, np.int32)]
+    place = np.concatenate([np.cumsum(_unpack(x, np.int32)) for x in parts["places"].to_pylist()] or none)
+    size = np.concatenate([_unpack(x, np.int32) for x in parts["sizes"].to_pylist()] or none)
+    ids = np.concatenate([_unpack(x, np.int32) for x in parts["ids"].to_pylist()] or none)
+    counts, codes = _unpack(row["counts"], np.int32), _unpack(row["codes"], np.int32)
+    doc = _unpack(row["doc_ids"], np.int64).reshape(2, -1)
     # words in the order of the block's list
     start = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=start[1:])
@@ -362,8 +385,11 @@ def encode_decode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_c
     scratch = Scratch(docs.sparkSession, "bpe")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = scratch.put(base.mapInArrow(lambda it: _blocks(it, v), _BLOCK_DDL), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("place", "word")).select("word", "block", "place")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda it: _encode(it, v), "block string, places binary, sizes binary, ids binary")
+    buckets = 64
+    while buckets < 4 * blocks.count():
+        buckets *= 2
+    packets = blocks.select("block", "words").mapInArrow(lambda it: _packets(it, buckets), _PACKET_DDL)
+    ids = packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _encode(it, v), "block string, places binary, sizes binary, ids binary")
     ddl = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
     left = blocks.select("block", "doc_ids", "counts", "codes")
     out = left.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lambda a, b: _cogroup(a, b, v, full), ddl)
