@@ -29,8 +29,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group linked by five-word shingles with a similarity of 0.8 or more, the document of the smallest id stays, once. Documents with a null id stay."""
     judged = minhash.near_duplicates(docs, minhash.FIVE_WORDS)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh("_gone", docs.columns)
+    judged = judged.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(judged, docs["doc_id"].cast("long") == judged[gone], "left_anti")
     named = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     return named.unionByName(left.where(F.col("doc_id").isNull()))
 

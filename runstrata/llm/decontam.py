@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, group_bounds, runs
+from ._shared import Scratch, fresh, group_bounds, runs
 from ._text import ALNUM, U, chunks, mix, utf8, whole, windows, word_hashes, words
 
 #: Fixed: units that may follow a number.
@@ -233,6 +233,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, p: Template = Template(), id_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Template = Template(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    found = leaks(docs, benchmark, p, id_col, text_col).select(F.col("mark").alias("_leak_mark"), F.col("key").alias("_leak_key")).distinct()
-    same = (F.xxhash64(docs[text_col].cast("string")) == F.col("_leak_mark")) & docs[id_col].cast("long").eqNullSafe(F.col("_leak_key"))
+    mark, key = fresh("_leak_mark", docs.columns), fresh("_leak_key", docs.columns)
+    found = leaks(docs, benchmark, p, id_col, text_col).select(F.col("mark").alias(mark), F.col("key").alias(key)).distinct()
+    same = (F.xxhash64(docs[text_col].cast("string")) == found[mark]) & docs[id_col].cast("long").eqNullSafe(found[key])
     return docs.join(found, same, "left_anti")

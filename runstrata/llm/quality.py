@@ -187,7 +187,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, p: Learning = Lea
     known = np.flatnonzero(y >= 0)
     back, own = known[3::4], np.setdiff1d(known, known[3::4])
     if len(np.unique(y[own])) < 2 or len(np.unique(y[back])) < 2:
-        k, n = (y == 1).sum(), max(1, len(known))
+        k, n = (y == 1).sum(), len(known)
         return Model(None, None, (1, 0), (1, 0), np.array([0, 0, float(np.log((k + 0.5) / (n - k + 0.5)))]), p)
     x, pool = (text, meta), np.flatnonzero(y < 0)
     got = [(own, y[own].astype(float)), (own, y[own].astype(float))]
