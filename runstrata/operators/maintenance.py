@@ -162,3 +162,20 @@ def greedy_chunks(items: DataFrame, key: str, order: str, size: str, limit: int)
             yield batch.append_column("chunk", pa.array(out, pa.int32()))
 
     return items.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def raw_paths(staged: DataFrame, patterns: list[str]) -> DataFrame:
+    """Staged paths that any of the regular expressions finds: what belongs in a store, not beside one."""
+    return staged.where(F.col("path").rlike("|".join(f"(?:{p.replace('(?P<', '(?<')})" for p in patterns))) if patterns else staged.limit(0)
+
+
+def over_limits(staged: DataFrame, patterns: list[str], most_paths: int, most_bytes: int) -> DataFrame:
+    """One row: how many such paths, their bytes, and whether either is beyond its limit."""
+    found = raw_paths(staged, patterns).agg(F.count(F.lit(1)).alias("paths"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return found.withColumn("refused", (F.col("paths") > most_paths) | (F.col("bytes") > most_bytes))
+
+
+def inventory_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """``path, problem``: declared artifacts that are missing, and present ones that nothing declares."""
+    missing = expected.join(actual, "path", "left_anti").select("path", F.lit("missing").alias("problem"))
+    return missing.unionByName(actual.join(expected, "path", "left_anti").select("path", F.lit("undeclared").alias("problem")))

@@ -373,10 +373,12 @@ def verify_parts(s, d):
     return maintenance.part_problems(parts.where("not (part = 1 and n_parts > 2)"))
 
 
-@query(f"WITH {V.FILES} SELECT CASE WHEN doc_id % 5 = 0 THEN 'missing-blob' ELSE 'size-mismatch' END AS \"check\", path AS subject FROM (SELECT *, min(doc_id) OVER (PARTITION BY sha) % 5 AS m FROM files) WHERE size > 0 AND doc_id % 5 IN (0, 1) AND FALSE")
+@query(f"WITH {V.FILES} SELECT CASE WHEN starts_with(sha, '0') THEN 'missing-blob' ELSE 'size-mismatch' END AS \"check\", path AS subject FROM files WHERE size > 0 AND substr(sha, 1, 1) IN ('0', '1')")
 def verify_size_mismatch(s, d):
-    """A sound catalog has no violation of contents."""
-    return maintenance.blob_problems(V.files(s, d), V.blobs(s, d))
+    """Contents whose hash begins with 0 are lost, those with 1 have another size."""
+    first = F.substring(F.lower(F.hex("sha")), 1, 1)
+    b = V.blobs(s, d).where(first != "0").withColumn("size", F.col("size") + (first == "1").cast("long"))
+    return maintenance.blob_problems(V.files(s, d), b)
 
 
 @query(f"WITH {V.FILES}, r AS (SELECT path, size FROM files), {V.ROLLUP} SELECT k AS \"check\", '1:' || dir AS subject FROM rollup_, (VALUES ('dirs-extra'), ('dirs-missing')) t(k) WHERE depth = 1")
@@ -387,9 +389,25 @@ def verify_dirs_diff(s, d):
     return maintenance.dirs_diff(f, stored)
 
 
-@query("SELECT 'none' AS \"check\", 0::BIGINT AS n WHERE false")
+@query(f"WITH {V.FILES} SELECT CASE m WHEN 0 THEN 'mode' WHEN 1 THEN 'dir' ELSE 'size' END AS \"check\", count(*) AS n FROM (SELECT doc_id % 10 AS m FROM files) WHERE m < 3 GROUP BY 1")
 def verify_files(s, d):
-    return maintenance.file_problems(V.files(s, d)).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+    """Rows with a mode, a directory or a size that breaks the rules, by the last digit of the document."""
+    digit = F.regexp_extract("name", r"(\d)\.txt$", 1)
+    f = V.files(s, d).withColumns({"mode": F.when(digit == "0", 0o4644).otherwise(F.col("mode")), "dir": F.when(digit == "1", "elsewhere").otherwise(F.col("dir")), "size": F.when(digit == "2", -1).otherwise(F.col("size"))})
+    return maintenance.file_problems(f).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS paths, sum(octet_length(encode(html)))::BIGINT AS bytes, count(*) > 50 OR sum(octet_length(encode(html))) > 1000000000 AS refused FROM pages WHERE regexp_matches(url, '/(en|fr)/[0-9]+')")
+def raw_path_limits(s, d):
+    """Staged paths that match raw patterns, against limits."""
+    staged = V.table(s, d, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("size"))
+    return maintenance.over_limits(staged, [r"/(?P<lang>en|fr)/[0-9]+"], 50, 1_000_000_000)
+
+
+@query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE 'undeclared' END AS problem FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0 OR doc_id % 3 <> 0 AND doc_id % 2 = 1")
+def inventory_diff(s, d):
+    ids = V.table(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"))
+    return maintenance.inventory_diff(ids.where("doc_id % 3 = 0").select("path"), ids.where("doc_id % 2 = 1").select("path"))
 
 
 @query(f"WITH {V.FILES} SELECT count(*) AS rows, sum(size)::BIGINT AS logical_bytes, count(DISTINCT sha) FILTER (size > 0) AS blobs, (SELECT sum(b)::BIGINT FROM (SELECT any_value(size) AS b FROM files GROUP BY sha)) AS blob_bytes, count(DISTINCT sha) FILTER (size > 0) AS parts, count(DISTINCT sha) FILTER (size > 0) AS unique_parts, 0::BIGINT AS duplicate_parts, 0::BIGINT AS duplicate_bytes, 0::BIGINT AS unreferenced, 0::BIGINT AS unreferenced_bytes FROM files")

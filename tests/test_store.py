@@ -190,3 +190,38 @@ def test_greedy(spark):
     items = spark.createDataFrame([("a", i, n) for i, n in enumerate([5, 5, 1, 20, 3, 7])] + [("b", 0, 4)], "k string, i int, n long")
     got = maintenance.greedy_chunks(items, "k", "i", "n", 10).orderBy("k", "i").collect()
     assert [r.chunk for r in got] == [0, 0, 1, 2, 3, 3, 0]
+
+
+def test_command_line(spark, store, tmp_path):
+    import io
+
+    from runstrata.__main__ import run as main
+
+    s, _ = store
+
+    def call(*argv, code=0):
+        out = io.StringIO()
+        assert main(["-S", s.root, *argv], spark, out) == code
+        return out.getvalue()
+
+    assert call("ls", "rounds/round-001") == "builder/\nempty\nevents.jsonl\n"
+    assert call("ls", "rounds/round-001/empty") == "empty\n"
+    assert call("find", "--name", "*.stdout", "--kind", "f").count("\n") == 2
+    assert call("grep", "-e", "^Trace", "-c") == "rounds/round-001/builder/copy.stdout:1\nrounds/round-001/builder/out.stdout:1\n"
+    assert call("grep", "-e", "nowhere", code=1) == ""
+    assert call("sql", "--csv", "SELECT count(*) AS n FROM events") == "n\n3\n"
+    assert '"violations": []' in call("verify", "--deep")
+    assert '"mode_text": "-rw-r--r--"' in call("stat", "rounds/round-001/empty")
+    assert '"latest_paths": 2' in call("delete", "rounds/round-002", "--plan")
+    assert call("tree", "--depth", "1") == "rounds\t7\t2.0 MB\n"
+    with pytest.raises(FileNotFoundError):
+        call("ls", "nothing")
+
+
+def test_raw_paths_and_inventory(spark):
+    staged = spark.createDataFrame([("rounds/round-1/a", 5), ("x/rounds/round-2/b", 7), ("src/c", 9)], "path string, size long")
+    assert sorted(r.path for r in maintenance.raw_paths(staged, [r"(^|/)rounds/round-\d+/"]).collect()) == ["rounds/round-1/a", "x/rounds/round-2/b"]
+    assert tuple(maintenance.over_limits(staged, [r"(^|/)rounds/"], 1, 100).first()) == (2, 12, True)
+    have = spark.createDataFrame([("a",), ("c",)], "path string")
+    want = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert sorted(map(tuple, maintenance.inventory_diff(want, have).collect())) == [("b", "missing"), ("c", "undeclared")]
