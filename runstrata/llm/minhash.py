@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", t
     shared = scratch.put(banded.join(counts, "key").select("key", "band", "rep", "digest", "parts"), "shared")
     # the full sets of all texts that share a band, made once for both lots
     asked = shared.select("rep", "digest").distinct()
-    mine = base.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    mine = base.join(asked.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")  # the asked ids grow with the corpus: never broadcast
     full = scratch.put(mine.mapInArrow(lambda it: _sets(it, p), "id long, digest binary, shingles binary"), "full")
 
     # an id whose rows hold several texts ties those texts together
