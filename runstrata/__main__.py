@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-S", "--store", action="append", default=[], help="a store; several for sql")
     verbs = p.add_subparsers(dest="verb", required=True)
 
-    def verb(name: str, *args: str, **options):
+    def verb(name: str, /, *args: str, **options):
         v = verbs.add_parser(name)
         for a in args:
             v.add_argument(a)
