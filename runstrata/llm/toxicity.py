@@ -29,8 +29,8 @@ from ._text import LETTERS, LOWER, U, chunks, mix, utf8, word_hashes, words
 class Learning:
     """``positives`` and ``unlabelled`` bound the training sample: the rows of least hash. ``seen``: documents of the sample that hold a feature, at least; ``z``: the least |z| that passes the screen."""
 
-    positives: int = 1200
-    unlabelled: int = 3600
+    positives: int = 600
+    unlabelled: int = 1800
     seen: int = 4
     z: float = 3.0
     steps: int = 350
@@ -182,7 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, learns, p: Learning = Learning(),
     got = sample.mapInArrow(_features, "kind int, words binary, density binary").toArrow()
     kind, cells = got["kind"].to_numpy(), list(zip(_cells(got["words"], U), _cells(got["density"], np.float32)))
     pick = lambda k: [cells[i] for i in np.flatnonzero(kind == k)]
-    return fit(pick(1), pick(0), prior, p)
+    model = fit(pick(1), pick(0), prior, p)
+    del got, cells
+    pa.default_memory_pool().release_unused()  # the driver has more to do than this
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text"):
