@@ -166,11 +166,14 @@ _PACKET = ["bucket", "block", "places", "words"]
 _PACKET_DDL = "bucket int, block string, places binary, words binary"
 
 
+_ZSTD = pa.Codec("zstd", 7)
+
+
 def _pack(x: np.ndarray) -> bytes:
     """An integer array as planes of its bytes, compressed; the first byte is the width."""
     raw = np.ascontiguousarray(x)
     planes = np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), -1).T) if len(raw) else np.zeros(0, np.uint8)
-    return bytes([raw.itemsize]) + raw.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return bytes([raw.itemsize]) + raw.nbytes.to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
@@ -179,12 +182,25 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(data[0], -1).T).view(kind).ravel() if size else np.zeros(0, kind)
 
 
+def _pack_codes(x: np.ndarray) -> bytes:
+    """Positions, most of them small: a byte each, 255 for those that follow in full."""
+    small = _pack(np.minimum(x, 255).astype(np.uint8))
+    return len(small).to_bytes(8, "little") + small + _pack((x[x >= 255] - 255).astype(np.int32))
+
+
+def _unpack_codes(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    out = _unpack(data[8 : 8 + n], np.uint8).astype(np.int32)
+    out[out == 255] += _unpack(data[8 + n :], np.int32)
+    return out
+
+
 def _pack_words(words: pa.Array) -> bytes:
     """A binary array: lengths, then bytes."""
     off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
     lens = _pack(np.diff(off).astype(np.int32))
     raw = memoryview(words.buffers()[2])[off[0] : off[-1]] if len(words) and words.buffers()[2] is not None else b""
-    return len(lens).to_bytes(8, "little") + lens + len(raw).to_bytes(8, "little") + pa.compress(bytes(raw), codec="zstd", asbytes=True)
+    return len(lens).to_bytes(8, "little") + lens + len(raw).to_bytes(8, "little") + _ZSTD.compress(bytes(raw), asbytes=True)
 
 
 def _unpack_words(data: bytes) -> pa.Array:
@@ -219,7 +235,7 @@ def _blocks(batches, v: Vocabulary) -> Iterator[pa.RecordBatch]:
         # the attempt is in the name: blocks of two attempts never meet
         name = f"{task.partitionId()}-{task.taskAttemptId()}-{made}"
         doc, null = np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.int64)
-        cells = [name], [_pack(np.concatenate([doc, null]))], [_pack(np.array(counts, np.int32))], [_pack(rank[codes])], [_pack_words(words.take(pa.array(order)))]
+        cells = [name], [_pack(np.concatenate([doc, null]))], [_pack(np.array(counts, np.int32))], [_pack_codes(rank[codes])], [_pack_words(words.take(pa.array(order)))]
         out = pa.record_batch([pa.array(c, t) for c, t in zip(cells, (pa.string(), *[pa.binary()] * 4))], names=_BLOCK)
         held, ids, counts, size, made = [], [], [], 0, made + 1
         return out
@@ -318,7 +334,7 @@ def _finish(left: list[dict], parts: pa.Table, v: Vocabulary):
     place = np.concatenate([np.cumsum(_unpack(x, np.int32)) for x in parts["places"].to_pylist()] or none)
     size = np.concatenate([_unpack(x, np.int32) for x in parts["sizes"].to_pylist()] or none)
     ids = np.concatenate([_unpack(x, np.int32) for x in parts["ids"].to_pylist()] or none)
-    counts, codes = _unpack(row["counts"], np.int32), _unpack(row["codes"], np.int32)
+    counts, codes = _unpack(row["counts"], np.int32), _unpack_codes(row["codes"])
     doc = _unpack(row["doc_ids"], np.int64).reshape(2, -1)
     # words in the order of the block's list
     start = np.zeros(len(size) + 1, np.int64)
