@@ -6,9 +6,13 @@ neighbours in double precision. Passes are one sorted table (pass, label, code),
 label nor a code is ever one task. The last and first vectors of neighbouring partitions meet in a second,
 small step. From each task a spanning forest of the verified pairs leaves, never the pairs.
 
-The union of all passes gives components. Two vectors with a link are in one component, so the links are then
-counted exactly by blocks within each component: a matrix product for each pair of chunks of at most ``block``
-vectors, from which one count for each vector leaves. A group far beyond the window thus keeps all its links.
+The union of all passes gives groups, which may lack links that no window met. So every vector then meets every
+other of its label once, in tiles: tasks of two parts of a label (dealt by a hash of the id), compared by matrix
+products of blocks of at most ``block`` vectors, in the order of their groups. A pair of blocks is left out only where
+the angle between their centres less both radii is beyond the threshold's, so no pair in it can link. One count for
+each vector and a spanning forest of the links between groups leave. Counts and components are thus exact, at a cost
+quadratic in the rows of a label; a label of n rows has max(4, n / (16 block)) parts, and each vector is sent to as
+many tiles.
 """
 
 from __future__ import annotations
@@ -149,26 +153,53 @@ def _borders(batches, p: Passes):
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _balls(x: np.ndarray, order: np.ndarray, block: int):
+    """Blocks of rows in that order, each with a centre and the largest angle from it."""
+    out = []
+    for k in range(0, len(order), block):
+        at = order[k : k + block]
+        centre = x[at].sum(axis=0)
+        size = np.sqrt(centre @ centre)
+        centre = centre / size if size > 1e-6 else x[at[0]]
+        out.append((at, centre, np.arccos(np.clip((x[at] @ centre).min(), -1, 1))))
+    return out
+
+
 def _count(batches, p: Passes):
-    """Links of each vector within a pair of chunks of one component."""
+    """Links of each vector within a tile (n), and links between groups of the passes (other)."""
+    reach = np.arccos(p.cosine) + 1e-6
     for table in runs(batches, 1):
-        key, side, ids = (table[c].to_numpy() for c in ("at", "side", "id"))
+        key, side, ids, comp = (table[c].to_numpy() for c in ("at", "side", "id", "component"))
         raw = table["vec"].to_pylist()
         bounds = group_bounds(key)
-        out_id, out_n = [], []
+        us, vs, out_n = [], [], np.zeros(len(key), np.int64)
         for a, b in zip(bounds[:-1], bounds[1:]):
-            x = unit(raw[a:b])
-            if side[a]:
-                one, two = np.flatnonzero(side[a:b] == 1), np.flatnonzero(side[a:b] == 2)
-                hit = x[one] @ x[two].T >= p.cosine
-                out_id += [ids[a:b][one], ids[a:b][two]]
-                out_n += [hit.sum(axis=1), hit.sum(axis=0)]
-            else:
-                hit = x @ x.T >= p.cosine
-                np.fill_diagonal(hit, False)
-                out_id.append(ids[a:b])
-                out_n.append(hit.sum(axis=1))
-        yield pa.record_batch([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_n).astype(np.int64))], names=["id", "n"])
+            x, own, n = unit(raw[a:b]), comp[a:b], out_n[a:b]
+            order = np.argsort(own, kind="stable")
+            one = _balls(x, order[side[a:b][order] < 2], p.block)
+            two = _balls(x, order[side[a:b][order] == 2], p.block) if side[a:b].any() else None
+            u, v = [], []
+            for i, (r, centre, radius) in enumerate(one):
+                for j, (s, other, far) in enumerate(one[i:] if two is None else two):
+                    if np.arccos(np.clip(centre @ other, -1, 1)) - radius - far > reach:
+                        continue
+                    hit = x[r] @ x[s].T >= p.cosine
+                    if two is None and not j:
+                        np.fill_diagonal(hit, False)
+                    else:
+                        n[s] += hit.sum(axis=0)
+                    n[r] += hit.sum(axis=1)
+                    k, m = np.nonzero(hit & (own[r][:, None] != own[s]))
+                    k, m = forest(own[r][k], own[s][m])
+                    u.append(k)
+                    v.append(m)
+            if u:
+                u, v = forest(np.concatenate(u), np.concatenate(v))
+                us.append(u)
+                vs.append(v)
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        yield pa.record_batch([pa.array(ids), pa.array(out_n), pa.nulls(len(ids), pa.int64())], names=["id", "n", "other"])
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.nulls(len(u), pa.int64()), pa.array(v, pa.int64())], names=["id", "n", "other"])
 
 
 def near_vectors(vectors: DataFrame, p: Passes = Passes(), id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -201,16 +232,22 @@ def near_vectors(vectors: DataFrame, p: Passes = Passes(), id_col: str = "vec_id
     comps = scratch.put(components(links, scratch, "comps"), "components")
     scratch.drop("compared")
 
-    size = per_key(comps, "component", F.count(F.lit(1)).alias("size")).withColumn("parts", F.ceil(F.col("size") / p.block)).select("component", "parts")
-    member = comps.join(size, "component").join(able.withColumnRenamed("id", "node"), "node")
-    member = member.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    member = able.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.xxhash64("label", F.octet_length("vec")).alias("group"), "vec")
+    size = per_key(member, "group", F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("vec").cast("long")).alias("bytes"))
+    size = size.select("group", F.greatest(F.lit(4), F.ceil(F.col("size") / (16 * p.block)), F.ceil(F.col("bytes") / (32 << 20))).alias("parts"))
+    member = member.join(size, "group")
+    member = member.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     member = member.select(
-        F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")).alias("at"),
+        F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other")).alias("at"),
         F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"),
-        F.col("node").alias("id"), "vec",
+        "id", "component", "vec",
     )
-    counted = member.repartition("at").sortWithinPartitions("at", "id").mapInArrow(lambda it: _count(it, p), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    out = one.select("id").join(comps.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left")
-    component = F.coalesce("component", "id")
+    met = scratch.put(member.repartition("at").sortWithinPartitions("at", "id").mapInArrow(lambda it: _count(it, p), "id long, n long, other long"), "met")
+    counted = met.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
+    joined = scratch.put(components(met.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), scratch, "joins"), "joined")
+    comps = comps.withColumnRenamed("node", "id").withColumnRenamed("component", "first")
+    out = one.select("id").join(comps, "id", "left").withColumn("first", F.coalesce("first", "id"))
+    out = out.join(joined.withColumnRenamed("node", "first"), "first", "left").join(counted, "id", "left")
+    component = F.coalesce("component", "first")
     out = out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
     return out.unionByName(nameless).withColumnRenamed("id", id_col)

@@ -133,6 +133,27 @@ def test_vectors(spark, p):
             assert r.n_links == sum(r.vec_id in e for e in links)
 
 
+def test_star_beyond_the_windows(spark):
+    """A centre whose links are not links of each other, and pairs that two passes of window 1 cannot all meet."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    away = rng.standard_normal((3000, 64))
+    away -= (away @ centre)[:, None] * centre
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    single = rng.standard_normal((200, 64))
+    x = np.concatenate([centre[None], 0.935 * centre + np.sqrt(1 - 0.935**2) * away, single, single + 0.05 * rng.standard_normal((200, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.93
+    np.fill_diagonal(hit, False)
+    want = least(range(len(x)), np.argwhere(hit).tolist())
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    for p in (embed_dedup.Passes(), embed_dedup.Passes(passes=2, window=1, block=16)):
+        got = {r.vec_id: r for r in embed_dedup.near_vectors(df, p).collect()}
+        assert {i: r.component_id for i, r in got.items()} == want
+        assert [got[i].n_links for i in range(len(x))] == hit.sum(axis=1).tolist()
+
+
 def test_no_vectors(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
