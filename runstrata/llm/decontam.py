@@ -2,7 +2,9 @@
 
 Tokens are runs of letters and digits (a number may hold points and commas), A-Z and the Latin-1 capitals lowered.
 Numbers, names (capitalised, not where a sentence begins) and units (after a number) become typed placeholders.
-Windows of ``window`` template tokens of documents and of benchmark items are hashed and joined by hash; a fixed-size
+Windows of ``window`` template tokens of documents and of benchmark items are hashed and joined by hash; where a
+capitalised word begins a sentence, windows with it as a word and as a name are both made. A second set of windows has
+the lowered tokens alone, so a copy in other letter case is found as well. A fixed-size
 bit table of the items' windows spares the join the windows that no item has. For each document and item, the joined
 windows are aligned and the slots are checked: one value in the item must have one value in the document. An item
 whose tokens are covered to ``share`` by consistent windows is in the document, as it stands or with new numbers,
@@ -41,7 +43,7 @@ NUM, NAME, UNIT = 1, 2, 3
 
 
 def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Surface hash and type (0: literal) of each token, and each text's first token."""
+    """Surface hash and type (0: literal) of each token, whether it may be a name that begins a sentence, and each text's first token."""
     n = len(buf)
     upper = (buf >= 65) & (buf <= 90)
     low = buf.copy()
@@ -61,7 +63,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     h = word_hashes(low, starts, ends)
     kind = np.zeros(len(starts), np.int8)
     if not len(starts):
-        return h, kind, first
+        return h, kind, np.zeros(0, bool), first
     other = np.zeros(n + 1, np.int64)
     ok = digit.copy()
     ok[point] = True
@@ -72,7 +74,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     unit[1:] &= number[:-1]
     unit[first[:-1][first[:-1] < len(starts)]] = False
     kind[unit & ~number] = UNIT
-    # a name: a capital, then a small letter, and neither a text nor a sentence begins here
+    # a name: a capital, then a small letter; not certain where a text or a sentence begins
     capital = upper[starts] | ((buf[starts] == 0xC3) & latin[np.minimum(starts + 1, n - 1)])
     size = np.where(buf[starts] == 0xC3, 2, 1)
     second = np.minimum(starts + size, n - 1)
@@ -84,8 +86,9 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     inner[1:] = starts[1:] > 0
     inner[first[:-1][first[:-1] < len(starts)]] = False
     closed = np.isin(buf[np.maximum(prev, 0)], np.frombuffer(b".!?:;|\n\r", np.uint8)) | (prev < 0)
-    kind[capital & small & inner & ~closed & (kind == 0)] = NAME
-    return h, kind, first
+    named, opens = capital & small & (kind == 0), ~inner | closed
+    kind[named & ~opens] = NAME
+    return h, kind, named & opens, first
 
 
 _UNIT_HASHES: list[np.ndarray] = []
@@ -108,6 +111,11 @@ def _windows(h: np.ndarray, kind: np.ndarray, size: int):
     return mix(windows(t, size) + U(size))
 
 
+def _surface(h: np.ndarray, size: int):
+    """The same for the tokens themselves; no template has these hashes."""
+    return mix(windows(h, size) + (U(size) << U(32)))
+
+
 def _literals(kind: np.ndarray, size: int) -> np.ndarray:
     total = np.zeros(len(kind) + 1, np.int64)
     np.cumsum(kind == 0, out=total[1:])
@@ -128,25 +136,27 @@ def _found(batches, p: Template, sizes: list[int] | None, table):
         keys, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         buf, off = utf8(batch.column(2))
         for lo, hi in chunks(off):
-            h, kind, first = canonical(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            h, kind, opens, first = canonical(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             rows = []
             n = np.diff(first)
+            free = np.where(opens, NAME, kind)
             for size in sizes if sizes is not None else sorted({min(p.window, int(x)) for x in n if x >= p.least}):
                 if len(h) < size:
                     continue
-                w = _windows(h, kind, size)
+                keep = np.ones(len(h) - size + 1, bool)
                 if sizes is None:
-                    keep = np.ones(len(w), bool)
                     for d in range(hi - lo):  # an item has windows of one size
                         if min(p.window, n[d]) != size:
                             keep[first[d] : first[d + 1]] = False
-                    at = np.flatnonzero(keep)
-                else:
-                    at = np.flatnonzero(table[(w & U(len(table) - 1)).astype(np.int64)])
-                doc = np.searchsorted(first, at, "right") - 1
-                inside = (at + size <= first[doc + 1]) & (_literals(kind, size)[at] >= min(p.literal, size // 2))
-                at, doc = at[inside], doc[inside]
-                rows += zip(w[at].astype(np.int64).tolist(), [keys[lo + d] for d in doc], [marks[lo + d] for d in doc], (at - first[doc]).tolist(), n[doc].tolist(), _slots(h, kind, at, size))
+                opened = np.concatenate([[0], np.cumsum(opens)])
+                opened = opened[size:] > opened[:-size]
+                for types, w, some, plain in ((kind, _windows(h, kind, size), keep, False), (free, _windows(h, free, size), keep & opened, False), (kind, _surface(h, size), keep, True)):
+                    at = np.flatnonzero(some if sizes is None else some & table[(w & U(len(table) - 1)).astype(np.int64)])
+                    doc = np.searchsorted(first, at, "right") - 1
+                    inside = (at + size <= first[doc + 1]) & (_literals(types, size)[at] >= min(p.literal, size // 2))
+                    at, doc = at[inside], doc[inside]
+                    slots = [b""] * len(at) if plain and sizes is not None else _slots(h, types, at, size)  # the item's own
+                    rows += zip(w[at].astype(np.int64).tolist(), [keys[lo + d] for d in doc], [marks[lo + d] for d in doc], (at - first[doc]).tolist(), n[doc].tolist(), slots)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=_NAMES)
 
 
@@ -180,6 +190,7 @@ def _judge(batches, p: Template):
         mark, key, item = table["mark"].to_numpy(), table["key"].to_pylist(), table["item"].to_pylist()
         place, item_place, tokens = (table[c].to_numpy() for c in ("place", "item_place", "tokens"))
         a, b = table["item_slots"].to_pylist(), table["slots"].to_pylist()
+        b = [y or x for x, y in zip(a, b)]
         key_no = np.array([-1 if x is None else x for x in key], np.int64)
         item_no, item_mark = np.array([-1 if x is None else x for x in item], np.int64), table["item_mark"].to_numpy()
         bounds, rows = group_bounds(mark, key_no, np.array([x is None for x in key]), item_mark, item_no), []

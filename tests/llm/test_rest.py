@@ -164,6 +164,19 @@ def test_templates(spark):
     assert not any(by[k].contaminated for k in (4, 5, 6, 8)) and by[9].contaminated
 
 
+def judged(spark, docs, items):
+    got = decontam.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {r.doc_id: (r.contaminated, r.kind) for r in got}
+
+
+def test_letter_case_and_names_that_begin_sentences(spark):
+    item = "Alice has 5 red apples in a bag. Bob gives her 7 more of them. Alice then eats 2 of all those. Bob wants to know what is left."
+    other = item.replace("Alice", "Carol").replace("Bob", "Dan").replace("5", "8")
+    docs = [(7, "word " * 50000 + ITEM.upper()), (8, "so " + ITEM.lower()), (9, "Here. " + other), (10, "and " + other), (11, "Alice has a bag. Bob wants it and The rest of them is left.")]
+    got = judged(spark, docs, [(10, ITEM), (20, item)])
+    assert got == {7: (True, "verbatim"), 8: (True, "verbatim"), 9: (True, "template"), 10: (True, "template"), 11: (False, None)}
+
+
 def test_slots_must_agree():
     h = lambda *x: np.array(x, np.uint64).tobytes()
     places, shift = np.array([0, 4]), np.array([7, 7])
