@@ -29,7 +29,7 @@ UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l kl gal s sec secs secon
 
 @dataclass(frozen=True)
 class Template:
-    """Windows need ``literal`` tokens that are no placeholder. Items of fewer than ``window`` tokens are one window; of fewer than ``least`` tokens, they are not looked for (they are in any text by chance). The bit table has at most 2**``bits`` places; benchmark windows up to ``broadcast`` rows are broadcast, beyond that the join is shuffled."""
+    """Template windows need ``literal`` tokens that are no placeholder; windows of the tokens themselves need none, so verbatim copies have all of theirs. Items of fewer than ``window`` tokens are one window; of fewer than ``least`` tokens, they are not looked for (they are in any text by chance). The bit table has at most 2**``bits`` places; benchmark windows up to ``broadcast`` rows are broadcast, beyond that the join is shuffled."""
 
     window: int = 8
     literal: int = 4
@@ -122,8 +122,8 @@ def _literals(kind: np.ndarray, size: int) -> np.ndarray:
     return total[size:] - total[:-size]
 
 
-_NAMES = ["hash", "key", "mark", "place", "tokens", "slots"]
-_DDL = "hash long, key long, mark long, place int, tokens int, slots binary"
+_NAMES = ["hash", "key", "mark", "place", "tokens", "slots", "rank"]
+_DDL = "hash long, key long, mark long, place int, tokens int, slots binary, rank int"
 
 
 def _slots(h, kind, at, size) -> list[bytes]:
@@ -150,23 +150,24 @@ def _found(batches, p: Template, sizes: list[int] | None, table):
                             keep[first[d] : first[d + 1]] = False
                 opened = np.concatenate([[0], np.cumsum(opens)])
                 opened = opened[size:] > opened[:-size]
-                for types, w, some, plain in ((kind, _windows(h, kind, size), keep, False), (free, _windows(h, free, size), keep & opened, False), (kind, _surface(h, size), keep, True)):
+                for rank, (types, w, some, plain) in enumerate(((kind, _windows(h, kind, size), keep, False), (kind, _surface(h, size), keep, True), (free, _windows(h, free, size), keep & opened, False))):
                     at = np.flatnonzero(some if sizes is None else some & table[(w & U(len(table) - 1)).astype(np.int64)])
                     doc = np.searchsorted(first, at, "right") - 1
-                    inside = (at + size <= first[doc + 1]) & (_literals(types, size)[at] >= min(p.literal, size // 2))
+                    inside = (at + size <= first[doc + 1]) & (plain | (_literals(types, size)[at] >= min(p.literal, size // 2)))
                     at, doc = at[inside], doc[inside]
                     slots = [b""] * len(at) if plain and sizes is not None else _slots(h, types, at, size)  # the item's own
-                    rows += zip(w[at].astype(np.int64).tolist(), [keys[lo + d] for d in doc], [marks[lo + d] for d in doc], (at - first[doc]).tolist(), n[doc].tolist(), slots)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=_NAMES)
+                    rows += zip(w[at].astype(np.int64).tolist(), [keys[lo + d] for d in doc], [marks[lo + d] for d in doc], (at - first[doc]).tolist(), n[doc].tolist(), slots, [rank] * len(at))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()))], names=_NAMES)
 
 
-def consistent(item_places: np.ndarray, shift: np.ndarray, item_slots: list[bytes], doc_slots: list[bytes], tokens: int) -> tuple[float, bool]:
+def consistent(item_places: np.ndarray, shift: np.ndarray, item_slots: list[bytes], doc_slots: list[bytes], tokens: int, rank: np.ndarray | None = None) -> tuple[float, bool]:
     """Share of an item's tokens under windows whose slots agree, and whether all their values are the item's own.
 
-    Windows are taken alignment by alignment; within one, the first value met for an item's value holds.
+    Windows are taken alignment by alignment; within one, the first value met for an item's value holds. Windows of
+    lower ``rank`` come first, so the less certain ones only add to what those cover.
     """
     covered, same = np.zeros(tokens, bool), True
-    order = np.lexsort((item_places, shift))
+    order = np.lexsort((item_places, shift) if rank is None else (item_places, rank, shift))
     value: dict[int, int] = {}
     last = None
     for k in order:
@@ -190,12 +191,12 @@ def _judge(batches, p: Template):
         mark, key, item = table["mark"].to_numpy(), table["key"].to_pylist(), table["item"].to_pylist()
         place, item_place, tokens = (table[c].to_numpy() for c in ("place", "item_place", "tokens"))
         a, b = table["item_slots"].to_pylist(), table["slots"].to_pylist()
-        b = [y or x for x, y in zip(a, b)]
+        b, rank = [y or x for x, y in zip(a, b)], table["rank"].to_numpy()
         key_no = np.array([-1 if x is None else x for x in key], np.int64)
         item_no, item_mark = np.array([-1 if x is None else x for x in item], np.int64), table["item_mark"].to_numpy()
         bounds, rows = group_bounds(mark, key_no, np.array([x is None for x in key]), item_mark, item_no), []
         for i, j in zip(bounds[:-1], bounds[1:]):
-            share, same = consistent(item_place[i:j], place[i:j] - item_place[i:j], a[i:j], b[i:j], int(tokens[i]))
+            share, same = consistent(item_place[i:j], place[i:j] - item_place[i:j], a[i:j], b[i:j], int(tokens[i]), rank[i:j])
             if share >= p.share:
                 rows.append((int(mark[i]), key[i], item[i], share, same))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], names=["mark", "key", "item", "share", "same"])
@@ -219,9 +220,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Template = Template(), id_co
     table[places] = True
     sizes = sorted(int(r[0]) for r in windows_.select(F.least("tokens", F.lit(p.window))).distinct().collect())
     shared = spark.sparkContext.broadcast(table)  # 2**bits bytes at most
-    hits = _marked(docs, id_col, text_col).mapInArrow(lambda it: _found(it, p, sizes, shared.value), _DDL).select("hash", "key", "mark", "place", "slots")
-    mine = windows_.select("hash", F.col("key").alias("item"), F.col("mark").alias("item_mark"), F.col("place").alias("item_place"), "tokens", F.col("slots").alias("item_slots"))
-    joined = hits.join(F.broadcast(mine) if n <= p.broadcast else mine, "hash").select("mark", "key", "item_mark", "item", "item_place", "tokens", "item_slots", "place", "slots")
+    hits = _marked(docs, id_col, text_col).mapInArrow(lambda it: _found(it, p, sizes, shared.value), _DDL).select("hash", "key", "mark", "place", "slots", "rank")
+    mine = windows_.select("hash", F.col("key").alias("item"), F.col("mark").alias("item_mark"), F.col("place").alias("item_place"), "tokens", F.col("slots").alias("item_slots"), F.col("rank").alias("item_rank"))
+    joined = hits.join(F.broadcast(mine) if n <= p.broadcast else mine, "hash").select("mark", "key", "item_mark", "item", "item_place", "tokens", "item_slots", "place", "slots", F.greatest("rank", "item_rank").alias("rank"))
     order = ["mark", "key", "item_mark", "item"]
     found = joined.repartition("mark", "key").sortWithinPartitions(*order).mapInArrow(lambda it: _judge(it, p), "mark long, key long, item long, share double, same boolean")
     return scratch.put(found, "found")

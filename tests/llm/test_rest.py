@@ -177,6 +177,14 @@ def test_letter_case_and_names_that_begin_sentences(spark):
     assert got == {7: (True, "verbatim"), 8: (True, "verbatim"), 9: (True, "template"), 10: (True, "template"), 11: (False, None)}
 
 
+def test_items_dense_in_numbers(spark):
+    dense = "Compute 12 + 7, 45 - 9 and 30 x 18."
+    partly = "Add the list of 4 8 15 16 23 42 108 7 9 11 13 19 25 31 and give the sum of it all"
+    docs = [(1, "First. " + dense + " Then more."), (2, "it says " + partly.lower()), (3, "Compute 11 + 7, 45 - 9 and 30 x 19."), (4, "4 8 15 16 23 42 108"), (5, dense.upper())]
+    got = judged(spark, docs, [(10, dense), (20, partly)])
+    assert got == {1: (True, "verbatim"), 2: (True, "verbatim"), 3: (False, None), 4: (False, None), 5: (True, "verbatim")}
+
+
 def test_slots_must_agree():
     h = lambda *x: np.array(x, np.uint64).tobytes()
     places, shift = np.array([0, 4]), np.array([7, 7])
