@@ -1,5 +1,7 @@
 """Near-duplicate embeddings by sorted projection passes.
 
+Equal vectors of a label are one from the start: their class goes on under its least id, with a count.
+
 Each pass gives a vector a code of concatenated random hashes (signs of random projections, drawn anew for
 the pass), orders all vectors of a label lexicographically by code and compares each with its next ``window``
 neighbours in double precision. Passes are one sorted table (pass, label, code), dealt by range, so neither a
@@ -11,8 +13,8 @@ other of its label once, in tiles: tasks of two parts of a label (dealt by a has
 products of blocks of at most ``block`` vectors, in the order of their groups. A pair of blocks is left out only where
 the angle between their centres less both radii is beyond the threshold's, so no pair in it can link. One count for
 each vector and a spanning forest of the links between groups leave. Counts and components are thus exact, at a cost
-quadratic in the rows of a label; a label of n rows has max(4, n / (16 block)) parts, and each vector is sent to as
-many tiles.
+quadratic in the distinct vectors of a label; a label of n of them has n / (16 block) parts, and each vector is sent
+to as many tiles. Vectors travel in the type they are stored in; only comparisons widen them.
 """
 
 from __future__ import annotations
@@ -34,33 +36,34 @@ class Passes:
     """A pair at the threshold of 0.93 agrees in a sign with probability 0.88; the window reaches all vectors that share a prefix of about log2(rows of the label / window) signs."""
 
     cosine: float = 0.93
-    passes: int = 16
+    passes: int = 8
     bits: int = 32
     window: int = 64
     block: int = 1024
     seed: int = 11
 
 
-def unit(raw, dim: int | None = None) -> np.ndarray:
-    """Vectors of one length from their bytes, scaled to length 1 in double precision."""
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit(raw) -> np.ndarray:
+    """Vectors of one length and type from their bytes (the first byte is the width of a number), scaled to length 1 in double precision."""
+    x = np.frombuffer(b"".join(r[1:] for r in raw), f"f{raw[0][0]}").reshape(len(raw), -1).astype(np.float64)
     big = np.abs(x).max(axis=1, keepdims=True)
     x = x / big
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _encode(batches):
-    """(id, label, embedding) -> the same with the vector as doubles; null where it can link with nothing."""
+def _encode(batches, width: int):
+    """(id, label, embedding) -> the same with the vector as bytes; null where it can link with nothing."""
+    kind, mark = np.dtype(f"f{width}"), bytes([width])
     for batch in batches:
         col = batch.column(2)
-        flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = col.flatten().to_numpy(zero_copy_only=False).astype(kind)
         off = np.zeros(len(col) + 1, np.int64)
         lens = np.nan_to_num(np.asarray(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
         np.cumsum(lens, out=off[1:])
         out = []
         for a, b in zip(off[:-1], off[1:]):
             v = flat[a:b]
-            out.append(v.tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)
+            out.append(mark + (v + kind.type(0)).tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)  # -0 becomes 0
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "vec"])
 
 
@@ -169,12 +172,12 @@ def _count(batches, p: Passes):
     """Links of each vector within a tile (n), and links between groups of the passes (other)."""
     reach = np.arccos(p.cosine) + 1e-6
     for table in runs(batches, 1):
-        key, side, ids, comp = (table[c].to_numpy() for c in ("at", "side", "id", "component"))
+        key, side, ids, comp, copies = (table[c].to_numpy() for c in ("at", "side", "id", "component", "copies"))
         raw = table["vec"].to_pylist()
         bounds = group_bounds(key)
         us, vs, out_n = [], [], np.zeros(len(key), np.int64)
         for a, b in zip(bounds[:-1], bounds[1:]):
-            x, own, n = unit(raw[a:b]), comp[a:b], out_n[a:b]
+            x, own, n, times = unit(raw[a:b]), comp[a:b], out_n[a:b], copies[a:b].astype(np.float64)
             order = np.argsort(own, kind="stable")
             one = _balls(x, order[side[a:b][order] < 2], p.block)
             two = _balls(x, order[side[a:b][order] == 2], p.block) if side[a:b].any() else None
@@ -187,8 +190,8 @@ def _count(batches, p: Passes):
                     if two is None and not j:
                         np.fill_diagonal(hit, False)
                     else:
-                        n[s] += hit.sum(axis=0)
-                    n[r] += hit.sum(axis=1)
+                        n[s] += (times[r] @ hit).astype(np.int64)
+                    n[r] += (hit @ times[s]).astype(np.int64)
                     k, m = np.nonzero(hit & (own[r][:, None] != own[s]))
                     k, m = forest(own[r][k], own[s][m])
                     u.append(k)
@@ -214,40 +217,44 @@ def near_vectors(vectors: DataFrame, p: Passes = Passes(), id_col: str = "vec_id
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("embedding"))
+    narrow = dict(vectors.dtypes)[vec_col] == "array<float>"
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<float>" if narrow else "array<double>").alias("embedding"))
     nameless = base.where("id is null").select(F.col("id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    one = base.where("id is not null").mapInArrow(_encode, "id long, label long, vec binary").groupBy("id").agg(F.min(F.struct("label", "vec")).alias("x")).select("id", "x.label", "x.vec")
+    one = base.where("id is not null").mapInArrow(lambda it: _encode(it, 4 if narrow else 8), "id long, label long, vec binary").groupBy("id").agg(F.min(F.struct("label", "vec")).alias("x")).select("id", "x.label", "x.vec")
     one = scratch.put(one, "vectors")
-    able = one.where("label is not null and vec is not null")
+    # equal vectors of a label are one class, known by its least id; a hot vector is summed before the shuffle
+    able = scratch.put(one.where("label is not null and vec is not null").groupBy("label", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
 
     coded = able.select("id", "label", "vec").mapInArrow(lambda it: _codes(it, p), "pass int, label long, dim int, code long, id long, vec binary")
     order = ["pass", "label", "dim", "code", "id"]
-    coded = scratch.put(coded, "coded")  # the range partitioner reads its input twice
     compared = coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _compare(it, p), "kind string, u long, v long, border int, place long, pass int, label long, dim int, vec binary")
     compared = scratch.put(compared, "compared")
-    scratch.drop("coded")
     at_border = compared.where("kind = 'border'").select("border", "place", "u", "pass", "label", "dim", "vec")
     over = at_border.repartition("border").sortWithinPartitions("border", "place").mapInArrow(lambda it: _borders(it, p), "u long, v long")
     links = compared.where("kind = 'link'").select("u", "v").unionByName(over)
     comps = scratch.put(components(links, scratch, "comps"), "components")
     scratch.drop("compared")
 
-    member = able.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.xxhash64("label", F.octet_length("vec")).alias("group"), "vec")
-    size = per_key(member, "group", F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("vec").cast("long")).alias("bytes"))
-    size = size.select("group", F.greatest(F.lit(4), F.ceil(F.col("size") / (16 * p.block)), F.ceil(F.col("bytes") / (32 << 20))).alias("parts"))
+    member = able.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "copies", F.xxhash64("label", F.octet_length("vec")).alias("group"), "vec")
+    size = per_key(member, "group", F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("vec").cast("long") * (2 if narrow else 1)).alias("bytes"))
+    size = size.select("group", F.greatest(F.lit(1), F.ceil(F.col("size") / (16 * p.block)), F.ceil(F.col("bytes") / (32 << 20))).alias("parts"))
     member = member.join(size, "group")
     member = member.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     member = member.select(
         F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other")).alias("at"),
         F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"),
-        "id", "component", "vec",
+        "id", "component", "copies", "vec",
     )
     met = scratch.put(member.repartition("at").sortWithinPartitions("at", "id").mapInArrow(lambda it: _count(it, p), "id long, n long, other long"), "met")
     counted = met.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     joined = scratch.put(components(met.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), scratch, "joins"), "joined")
     comps = comps.withColumnRenamed("node", "id").withColumnRenamed("component", "first")
-    out = one.select("id").join(comps, "id", "left").withColumn("first", F.coalesce("first", "id"))
-    out = out.join(joined.withColumnRenamed("node", "first"), "first", "left").join(counted, "id", "left")
-    component = F.coalesce("component", "first")
+    classes = able.select("id", "label", "vec", "copies").join(comps, "id", "left").withColumn("first", F.coalesce("first", "id"))
+    classes = classes.join(joined.withColumnRenamed("node", "first"), "first", "left").join(counted, "id", "left")
+    # a class has the links found for it and those among its own copies; rows find theirs by 128 bits of label and vector
+    keys = lambda: [F.xxhash64("label", "vec").alias("k"), F.xxhash64(F.lit(7), "label", "vec").alias("k2")]
+    classes = classes.select(*keys(), F.coalesce("component", "first").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n"))
+    out = one.select("id", F.when(F.col("label").isNotNull() & F.col("vec").isNotNull(), F.struct(*keys())).alias("x")).select("id", "x.k", "x.k2").join(classes, ["k", "k2"], "left")
+    component = F.coalesce("root", "id")
     out = out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
     return out.unionByName(nameless).withColumnRenamed("id", id_col)
