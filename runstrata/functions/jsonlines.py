@@ -73,25 +73,26 @@ def lines(content: bytes) -> Iterator[tuple[int, bytes]]:
             yield i, line
 
 
-def member(value, key: str):
-    return value.get(key) if isinstance(value, dict) else None
+def at(value, path: str):
+    """The value at a dotted path of members; None where there is none."""
+    for key in path.split("."):
+        value = value.get(key) if isinstance(value, dict) else None
+    return value
 
 
-def string_of(value, *keys: str) -> str | None:
-    """The first of the keys whose value is a string."""
-    for k in keys:
-        if isinstance(x := member(value, k), str):
-            return x
-    return None
+def text_at(value, paths) -> str | None:
+    """The first value among the paths that is a string."""
+    return next((x for x in (at(value, p) for p in paths) if isinstance(x, str)), None)
 
 
-def int32_of(value, *keys: str) -> int | None:
-    """The first of the keys whose value is an integer of 32 bits."""
-    for k in keys:
-        x = member(value, k)
-        if isinstance(x, int) and not isinstance(x, bool) and -(1 << 31) <= x < 1 << 31:
-            return x
-    return None
+def int32_at(value, paths) -> int | None:
+    """The first value among the paths that is an integer of 32 bits."""
+    return next((x for x in (at(value, p) for p in paths) if type(x) is int and -(1 << 31) <= x < 1 << 31), None)
+
+
+def time_at(value, paths) -> int | None:
+    """Microseconds of the first value among the paths that is a time."""
+    return next((t for t in (micros(at(value, p)) for p in paths) if t is not None), None)
 
 
 _RFC3339 = re.compile(r"(\d{4})-(\d\d)-(\d\d)[Tt ](\d\d):(\d\d):(\d\d)(?:\.(\d+))?(?:([Zz])|([+-])(\d\d):(\d\d))", re.ASCII)

@@ -1,181 +1,142 @@
-"""Parsers of trajectory logs: one physical line is one event."""
+"""Trajectory logs: one physical line is one event.
+
+A format is a ``Layout``: a table of where its records keep the fields of an event. One scanner reads any layout, line by
+line and without state. What depends on earlier records (the name of a tool called before, the thread a record belongs
+to) is left as columns and resolved by Spark windows over a trajectory.
+"""
 
 from __future__ import annotations
 
 import re
 import tomllib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import jsonlines as J
 from ..functions import paths as P
 
 EVENT_DDL = "trajectory string, seq int, ts timestamp_ntz, type string, id string, parent_id string, actor string, tool_name string, exit_code int, payload_json string, adapter_version int"
-_FIELDS = ("seq", "ts_us", "type", "id", "parent_id", "actor", "tool_name", "exit_code", "payload_json")
-
-Event = dict
-
-
-def event(seq: int, **fields) -> Event:
-    return dict.fromkeys(_FIELDS) | {"seq": seq} | fields
-
-
-def _records(content: bytes) -> Iterator[tuple[int, object, str] | Event]:
-    """(number, value, text) of each line that is JSON; an ``_unparsed`` event of each that is not."""
-    for seq, line in J.lines(content):
-        ok, value = J.parse(line)
-        yield (seq, value, line.decode()) if ok else event(seq, type="_unparsed", payload_json=J.as_payload(line))
 
 
-def generic(content: bytes) -> Iterator[Event]:
-    """Any JSON lines: fields by their usual names."""
-    for r in _records(content):
-        if isinstance(r, dict):
-            yield r
-            continue
-        seq, v, text = r
-        times = (J.micros(J.member(v, k)) for k in ("timestamp", "ts", "time", "created_at"))
-        yield event(
-            seq,
-            ts_us=next((t for t in times if t is not None), None),
-            type=_untyped(v, "type", "event", "kind", "event_type"),
-            id=J.string_of(v, "id", "uuid", "event_id"),
-            parent_id=J.string_of(v, "parentId", "parent_id", "parentUuid", "parent"),
-            actor=J.string_of(v, "role", "actor", "author"),
-            tool_name=J.string_of(v, "tool_name", "toolName", "tool"),
-            exit_code=J.int32_of(v, "exit_code", "exitCode", "returncode", "status_code"),
-            payload_json=text,
-        )
-
-
-def _untyped(v, *keys: str) -> str:
-    """An empty type is a type; a missing one is not."""
-    found = J.string_of(v, *keys)
-    return "_untyped" if found is None else found
-
-
-_ACTOR_BY_PREFIX = (("assistant.", "assistant"), ("model.", "assistant"), ("tool.", "tool"), ("user.", "user"), ("session.", "system"))
-
-
-def copilot(content: bytes) -> Iterator[Event]:
-    """``{type, timestamp, id, parentId, data}``; the payload is the data, verbatim; a result has the tool name of its call."""
-    name_of_call: dict[str, str] = {}
-    for r in _records(content):
-        if isinstance(r, dict):
-            yield r
-            continue
-        seq, v, text = r
-        kind, data = _untyped(v, "type"), J.member(v, "data")
-        tool = code = None
-        if kind.startswith("tool."):
-            tool, call = J.string_of(data, "toolName", "name", "tool"), J.string_of(data, "toolCallId")
-            if call is not None:
-                if tool is None:
-                    tool = name_of_call.get(call)
-                else:
-                    name_of_call[call] = tool
-            code = J.int32_of(data, "exitCode", "exit_code")
-        has_data = isinstance(v, dict) and "data" in v
-        yield event(
-            seq,
-            ts_us=J.micros(J.member(v, "timestamp")),
-            type=kind,
-            id=J.string_of(v, "id"),
-            parent_id=J.string_of(v, "parentId"),
-            actor=next((a for p, a in _ACTOR_BY_PREFIX if kind.startswith(p)), None),
-            tool_name=tool,
-            exit_code=code,
-            payload_json=J.verbatim(text, "data") if has_data else text,
-        )
-
-
-#: For each kind of item that is a tool, the fields that may name it.
-_CODEX_TOOLS = {k: ("tool", "type") for k in ("command_execution", "file_change", "web_search", "collab_tool_call")} | {"mcp_tool_call": ("tool", "name")}
-
-
-def codex(content: bytes) -> Iterator[Event]:
-    """Records of threads, turns and items; the thread begun last is the parent of what follows."""
-    thread = None
-    for r in _records(content):
-        if isinstance(r, dict):
-            yield r
-            continue
-        seq, v, text = r
-        kind, item = _untyped(v, "type"), J.member(v, "item")
-        if kind == "thread.started":
-            thread = J.string_of(v, "thread_id")
-        what = J.string_of(item, "type")
-        tool = J.string_of(item, *_CODEX_TOOLS[what]) if what in _CODEX_TOOLS else None
-        own, parent = J.string_of(item, "id"), J.string_of(v, "parent_id")
-        yield event(
-            seq,
-            ts_us=J.micros(J.member(v, "timestamp")),
-            type=kind,
-            id=J.string_of(v, "id", "thread_id") if own is None else own,
-            parent_id=(None if kind == "thread.started" else thread) if parent is None else parent,
-            actor="tool" if tool is not None else "assistant" if what in ("agent_message", "reasoning") else None,
-            tool_name=tool,
-            exit_code=J.int32_of(item, "exit_code") if tool is not None else None,
-            payload_json=text,
-        )
-
-
-def session(content: bytes) -> Iterator[Event]:
-    """``{type, uuid, parentUuid, timestamp, message: {role, content}}``; a tool result has the name of the use it answers."""
-    name_of_use: dict[str, str] = {}
-    for r in _records(content):
-        if isinstance(r, dict):
-            yield r
-            continue
-        seq, v, text = r
-        kind, message = _untyped(v, "type"), J.member(v, "message")
-        role = J.string_of(message, "role")
-        if role is None and kind in ("user", "assistant", "system"):
-            role = kind
-        tool, blocks = None, J.member(message, "content")
-        for block in blocks if isinstance(blocks, list) else []:
-            name, what = None, J.string_of(block, "type")
-            if what == "tool_use":
-                name, use = J.string_of(block, "name"), J.string_of(block, "id")
-                if name is not None and use is not None:
-                    name_of_use[use] = name
-            elif what == "tool_result":
-                name = name_of_use.get(J.string_of(block, "tool_use_id"))
-            tool = name if tool is None else tool
-        yield event(seq, ts_us=J.micros(J.member(v, "timestamp")), type=kind, id=J.string_of(v, "uuid"), parent_id=J.string_of(v, "parentUuid"), actor=role, tool_name=tool, payload_json=text)
-
-
-#: Types of records by which a stream is recognised.
-_CODEX_TYPES = {"thread.started", "turn.started", "turn.completed", "turn.failed", "item.started", "item.updated", "item.completed"}
-_SESSION_TYPES = {"user", "assistant", "system", "summary"}
+@dataclass(frozen=True)
+class Layout:
+    """Paths are dotted; of several, the first whose value has the right type holds. Names of types that end in a dot stand for all that begin so."""
+
+    globs: tuple[str, ...]
+    type: tuple[str, ...] = ("type",)
+    ts: tuple[str, ...] = ("timestamp",)
+    id: tuple[str, ...] = ("id",)
+    parent: tuple[str, ...] = ()
+    actor: tuple[str, ...] = ()
+    tool: tuple[str, ...] = ()
+    exit: tuple[str, ...] = ()
+    payload: str | None = None  #: the member whose text is the payload; without it, the line is
+    actor_of_type: tuple[tuple[str, str], ...] = ()
+    tool_types: tuple[str, ...] = ()  #: types that alone have a tool and an exit code; none: all
+    call: str | None = None  #: the call of a tool's record; a record without a name has that of its call
+    item: str | None = None  #: the member that says what a record is about
+    tool_of_item: tuple[tuple[str, tuple[str, ...]], ...] = ()  #: items that are tools, and what names them
+    actor_of_item: tuple[tuple[str, str], ...] = ()
+    blocks: str | None = None  #: the list of parts of a message
+    call_of_block: tuple[tuple[str, str, str | None], ...] = ()  #: parts that name or answer a call: type, the call, its name
+    thread: tuple[str, str] | None = None  #: the type that begins a thread, and the thread's id: the parent of what follows
+    known_types: tuple[str, ...] = ()  #: a record of such a type, with ``known_member``, tells the format of a stream
+    known_member: str | None = None
+
+
+#: The fields of each format, in the order in which streams are tried.
+LAYOUTS = {
+    "codex-cli": Layout(
+        globs=("**/events.jsonl",), id=("item.id", "id", "thread_id"), parent=("parent_id",), exit=("item.exit_code",), item="item.type",
+        tool_of_item=(
+            ("command_execution", ("item.tool", "item.type")), ("file_change", ("item.tool", "item.type")), ("web_search", ("item.tool", "item.type")),
+            ("collab_tool_call", ("item.tool", "item.type")), ("mcp_tool_call", ("item.tool", "item.name")),
+        ),
+        actor_of_item=(("agent_message", "assistant"), ("reasoning", "assistant")), thread=("thread.started", "thread_id"),
+        known_types=("thread.started", "turn.started", "turn.completed", "turn.failed", "item.started", "item.updated", "item.completed"),
+    ),
+    "copilot-cli": Layout(
+        globs=("**/events.jsonl",), parent=("parentId",), tool=("data.toolName", "data.name", "data.tool"), exit=("data.exitCode", "data.exit_code"),
+        payload="data", actor_of_type=(("assistant.", "assistant"), ("model.", "assistant"), ("tool.", "tool"), ("user.", "user"), ("session.", "system")),
+        tool_types=("tool.",), call="data.toolCallId", known_types=("assistant.", "model.", "tool.", "user.", "session."), known_member="data",
+    ),
+    "claude-code": Layout(
+        globs=("**/*.jsonl",), id=("uuid",), parent=("parentUuid",), actor=("message.role",), actor_of_type=(("user", "user"), ("assistant", "assistant"), ("system", "system")),
+        blocks="message.content", call_of_block=(("tool_use", "id", "name"), ("tool_result", "tool_use_id", None)),
+        known_types=("user", "assistant", "system", "summary"), known_member="uuid",
+    ),
+    "jsonl": Layout(
+        globs=("**/*.jsonl",), type=("type", "event", "kind", "event_type"), ts=("timestamp", "ts", "time", "created_at"), id=("id", "uuid", "event_id"),
+        parent=("parentId", "parent_id", "parentUuid", "parent"), actor=("role", "actor", "author"), tool=("tool_name", "toolName", "tool"),
+        exit=("exit_code", "exitCode", "returncode", "status_code"),
+    ),
+}
+AUTOMATIC = "auto"  #: the layout of the first record that tells one holds for a whole stream; else the last of ``LAYOUTS``
+FORMATS = (*LAYOUTS, AUTOMATIC)
+
+
+def globs_of(fmt: str) -> tuple[str, ...]:
+    return LAYOUTS["codex-cli"].globs if fmt == AUTOMATIC else LAYOUTS[fmt].globs
+
+
+def _is(kind: str, names) -> bool:
+    return any(kind.startswith(n) if n.endswith(".") else kind == n for n in names)
 
 
 def recognise(content: bytes) -> str:
-    """The format of a stream by its first recognisable record; the generic one if there is none."""
-    for r in _records(content):
-        if isinstance(r, dict):
+    """The format of a stream."""
+    for _, line in J.lines(content):
+        ok, v = J.parse(line)
+        kind = J.text_at(v, ("type",)) if ok else None
+        for name, layout in LAYOUTS.items() if kind is not None else ():
+            if _is(kind, layout.known_types) and (layout.known_member is None or layout.known_member in v):
+                return name
+    return list(LAYOUTS)[-1]
+
+
+def scan(content: bytes, layout: Layout) -> Iterator[dict]:
+    """A record for each line that is not blank, by itself: the event's own fields, ``mentions`` of calls (call, name), ``opens`` (a thread begins) and ``follows`` (the parent, if none is given, is the thread)."""
+    tool_of_item, actor_of_item, call_of_block = dict(layout.tool_of_item), dict(layout.actor_of_item), {k: (c, n) for k, c, n in layout.call_of_block}
+    for seq, line in J.lines(content):
+        ok, v = J.parse(line)
+        if not ok:
+            yield {"seq": seq, "type": "_unparsed", "payload_json": J.as_payload(line)}
             continue
-        v = r[1]
-        kind = J.string_of(v, "type") or ""
-        if kind in _CODEX_TYPES:
-            return "codex-cli"
-        if isinstance(v, dict) and "data" in v and kind.startswith(tuple(p for p, _ in _ACTOR_BY_PREFIX)):
-            return "copilot-cli"
-        if isinstance(v, dict) and "uuid" in v and kind in _SESSION_TYPES:
-            return "claude-code"
-    return "jsonl"
-
-
-def automatic(content: bytes) -> Iterator[Event]:
-    return PARSERS[recognise(content)](content)
-
-
-PARSERS: dict[str, Callable[[bytes], Iterator[Event]]] = {"jsonl": generic, "copilot-cli": copilot, "codex-cli": codex, "claude-code": session, "auto": automatic}
-DEFAULT_GLOBS = {"jsonl": ["**/*.jsonl"], "copilot-cli": ["**/events.jsonl"], "codex-cli": ["**/events.jsonl"], "claude-code": ["**/*.jsonl"], "auto": ["**/events.jsonl"]}
+        text, kind = line.decode(), J.text_at(v, layout.type)
+        kind = "_untyped" if kind is None else kind  # an empty type is a type
+        item = J.text_at(v, (layout.item,)) if layout.item else None
+        named_by = tool_of_item.get(item, ()) if layout.item else layout.tool if not layout.tool_types or _is(kind, layout.tool_types) else ()
+        tool = J.text_at(v, named_by)
+        actor = J.text_at(v, layout.actor)
+        if actor is None:
+            actor = "tool" if layout.item and tool is not None else next((a for t, a in layout.actor_of_type if _is(kind, (t,))), actor_of_item.get(item))
+        mentions = [(J.text_at(v, (layout.call,)), tool)] if layout.call and named_by else []
+        blocks = J.at(v, layout.blocks) if layout.blocks else None
+        for block in blocks if isinstance(blocks, list) else ():
+            call, name = call_of_block.get(J.text_at(block, ("type",)), (None, None))
+            if call:
+                given = J.text_at(block, (name,)) if name else None
+                # a part that should name its call and does not, names none
+                mentions.append((None if name and given is None else J.text_at(block, (call,)), given))
+        yield {
+            "seq": seq,
+            "ts": J.time_at(v, layout.ts),
+            "type": kind,
+            "id": J.text_at(v, layout.id),
+            "parent_id": J.text_at(v, layout.parent),
+            "actor": actor,
+            "tool_name": tool,
+            "exit_code": J.int32_at(v, layout.exit) if named_by and (tool is not None or not layout.item) else None,
+            "payload_json": J.verbatim(text, layout.payload) if layout.payload and isinstance(v, dict) and layout.payload in v else text,
+            "mentions": [{"call": c, "name": n} for c, n in mentions] or None,
+            "opens": {"id": J.text_at(v, (layout.thread[1],))} if layout.thread and kind == layout.thread[0] else None,
+            "follows": bool(layout.thread) and kind != layout.thread[0],
+        }
 
 
 @dataclass(frozen=True)
@@ -244,8 +205,8 @@ def resolve(spec: str, base: str = ".") -> Adapter:
         return Adapter("none")
     if spec.startswith("jsonl:"):
         return Adapter("jsonl", format="jsonl", globs=tuple(spec[6:].split(",")))
-    if spec in PARSERS:
-        return Adapter(spec, format=spec, globs=tuple(DEFAULT_GLOBS[spec]))
+    if spec in FORMATS:
+        return Adapter(spec, format=spec, globs=globs_of(spec))
     with open(spec if spec.startswith("/") else f"{base}/{spec}", "rb") as f:
         return from_toml(f.read().decode())
 
@@ -253,7 +214,7 @@ def resolve(spec: str, base: str = ".") -> Adapter:
 def from_toml(text: str) -> Adapter:
     t = tomllib.loads(text)
     log, ready = t.get("trajectories", {}), t.get("batch_ready", {})
-    if log and log["format"] not in PARSERS:
+    if log and log["format"] not in FORMATS:
         raise ValueError(f"unknown trajectory format {log['format']!r}")
     return Adapter(
         t["name"], t.get("version", 1), log.get("format"), tuple(log.get("globs", ())),
@@ -263,22 +224,59 @@ def from_toml(text: str) -> Adapter:
     )
 
 
-_ARROW = pa.schema([("trajectory", pa.string()), ("seq", pa.int32()), ("ts", pa.timestamp("us")), ("type", pa.string()), ("id", pa.string()), ("parent_id", pa.string()), ("actor", pa.string()), ("tool_name", pa.string()), ("exit_code", pa.int32()), ("payload_json", pa.string()), ("adapter_version", pa.int32())])
+_ARROW = pa.schema([
+    ("trajectory", pa.string()), ("seq", pa.int32()), ("ts", pa.timestamp("us")), ("type", pa.string()), ("id", pa.string()), ("parent_id", pa.string()), ("actor", pa.string()),
+    ("tool_name", pa.string()), ("exit_code", pa.int32()), ("payload_json", pa.string()), ("adapter_version", pa.int32()),
+    ("mentions", pa.list_(pa.struct([("call", pa.string()), ("name", pa.string())]))), ("opens", pa.struct([("id", pa.string())])), ("follows", pa.bool_()),
+])
+_SCANNED_DDL = EVENT_DDL + ", mentions array<struct<call:string,name:string>>, opens struct<id:string>, follows boolean"
 
 
-def parse_events(logs: DataFrame, fmt: str, version: int = 1, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(path, content) of whole logs -> events. A log is one row and one Arrow cell, so tasks stay as large as their logs."""
-    parser = PARSERS[fmt]
+def scan_logs(logs: DataFrame, fmt: str, version: int = 1, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(path, content) of whole logs -> records, none of which knows of another. A log is one row and one Arrow cell, so tasks stay as large as their logs."""
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [e | {"trajectory": path, "ts": e["ts_us"], "adapter_version": version} for e in parser(content or b"")]
-                for k in range(0, len(rows), 8192):
-                    part = rows[k : k + 8192]
-                    yield pa.record_batch([pa.array([r[f.name] for r in part], f.type) for f in _ARROW], schema=_ARROW)
+                rows = []
+                for record in scan(content or b"", LAYOUTS[recognise(content or b"") if fmt == AUTOMATIC else fmt]):
+                    rows.append(record | {"trajectory": path, "adapter_version": version})
+                    if len(rows) == 8192:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return logs.select(F.col(path_col), F.col(content_col).cast("binary")).mapInArrow(run, _SCANNED_DDL)
 
-    return logs.select(F.col(path_col), F.col(content_col).cast("binary")).mapInArrow(run, EVENT_DDL)
+
+def resolve_calls(records: DataFrame) -> DataFrame:
+    """Records of ``trajectory, seq`` with the tool of the first call they mention whose name is known: given here, or last given before for the same call."""
+    rows = records.select("*", F.posexplode_outer("mentions").alias("k", "m")).withColumn("k", F.coalesce("k", F.lit(0)))
+    rows = rows.withColumn("payload_json", F.when(F.col("k") == 0, F.col("payload_json")))  # one copy goes on
+    so_far = Window.partitionBy("trajectory", "m.call").orderBy("seq", "k").rowsBetween(Window.unboundedPreceding, 0)
+    name = F.when(F.col("m.call").isNotNull(), F.last("m.name", ignorenulls=True).over(so_far)).otherwise(F.col("m.name"))
+    first = F.first("_name", ignorenulls=True).over(Window.partitionBy("trajectory", "seq").orderBy("k").rowsBetween(0, Window.unboundedFollowing))
+    return rows.withColumn("_name", name).withColumn("_name", first).where("k = 0").withColumn("tool_name", F.coalesce("tool_name", "_name")).drop("k", "m", "_name")
+
+
+def resolve_threads(records: DataFrame) -> DataFrame:
+    """Records with the thread begun last as the parent of what follows; one begun without an id takes the parent away."""
+    so_far = Window.partitionBy("trajectory").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return records.withColumn("parent_id", F.coalesce("parent_id", F.when(F.col("follows"), F.last("opens", ignorenulls=True).over(so_far)["id"])))
+
+
+def parse_events(logs: DataFrame, fmt: str, version: int = 1, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(path, content) of whole logs -> events. Records are dealt by trajectory once, where the format has anything to resolve."""
+    out, layouts = scan_logs(logs, fmt, version, path_col, content_col), list(LAYOUTS.values()) if fmt == AUTOMATIC else [LAYOUTS[fmt]]
+    calls, threads = any(x.call or x.blocks for x in layouts), any(x.thread for x in layouts)
+    if calls or threads:
+        out = out.repartition("trajectory")
+    if calls:
+        out = resolve_calls(out)
+    if threads:
+        out = resolve_threads(out)
+    return out.select(*[c.split()[0] for c in EVENT_DDL.split(", ")])
 
 
 def generic_envelope(lines: DataFrame, line_col: str = "line") -> DataFrame:

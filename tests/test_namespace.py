@@ -51,13 +51,13 @@ def test_last_write_wins(spark, batches):
     assert {r.path: r.batch for r in namespace.visible(rows(spark, batches)).collect()} == fold(batches)
 
 
-def test_transitions_and_rollup(spark):
-    batches = [["shape/old", "mode", "keep"], ["shape", "mode/new"], ["shape/new", "mode"]]
+def test_files_become_directories_and_back(spark):
+    batches = [["src/lib/one", "src/main", "readme"], ["src/lib", "src/main/a", "src/main/b"], ["src/lib/two", "src/main"], ["docs"]]
     now = namespace.visible(rows(spark, batches))
-    assert sorted(r.path for r in now.collect()) == ["keep", "mode", "shape/new"]
+    assert {r.path: r.batch for r in now.collect()} == {"readme": 1, "src/lib/two": 3, "src/main": 3, "docs": 4}
     root = namespace.rollup(now).where("dir = ''").first()
-    assert (root.n_files, root.n_dirs, root.depth) == (3, 1, 0)
-    assert [(r.is_dir, r.name) for r in namespace.children(now).collect()] == [(True, "shape"), (False, "keep"), (False, "mode")]
+    assert (root.n_files, root.n_dirs, root.depth) == (4, 1, 0)
+    assert [(r.is_dir, r.name) for r in namespace.children(now).collect()] == [(True, "src"), (False, "docs"), (False, "readme")]
 
 
 def test_a_name_test_does_not_revive(spark):
