@@ -6,16 +6,21 @@ are likelier the more two sets share. The plan:
 
 1. one pass gives each document a digest of its word sequence, its set size and its registers;
 2. equal digests become one text (a partial minimum), so groups of exact copies go no further;
-3. bands of registers are hashed; only bands that several texts share go on, dealt in chunks of at most
-   ``block`` texts, so a hot band is many pairs of chunks and never one task;
-4. within a pair of chunks, pairs that share this band first and may reach the threshold by size are put
+3. bands of registers are hashed; only bands that several texts share go on;
+4. a band of more than one chunk (``block`` texts or ``chunk_bytes`` of shingles) first meets its head, the text
+   of least id, chunk by chunk: of a group of near copies nearly all are in one component after rows in
+   proportion to the band;
+5. then all texts of a band meet in pairs of chunks, but for those of one component: a component of more than a
+   chunk has chunks of its own, which never meet each other, so the rows of a hot band grow with what is
+   outside its large components, and no band is ever one task;
+6. within a pair of chunks, pairs that share this band first and may reach the threshold by size are put
    to a likelihood-ratio test on the joint register counts; texts of a pair that is not clearly below the
    threshold are sent on, once each;
-5. there the full shingle sets decide: all intersections come from one incidence matrix product, and
+7. there the full shingle sets decide: all intersections come from one incidence matrix product, and
    a spanning forest of the links leaves the task. No list of pairs is ever made;
-6. components over the forest; copies get the component of their text.
+8. components over the forest; copies get the component of their text.
 
-Bands run in two lots. After the first lot, texts of one component are compared no more.
+The first bands go ahead, then the others; after each lot, texts of one component are compared no more.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._graph import components, forest
 from ._shared import Scratch, group_bounds, per_key, runs
@@ -39,7 +45,8 @@ class Near:
 
     ``registers`` and ``rows`` a band set recall: at 85 % and 120 registers in bands of 6, a pair at the
     threshold shares a band with probability 0.9999. ``cut`` is the log-likelihood ratio against the threshold
-    beyond which a pair counts as clearly below it (8: four standard errors).
+    beyond which a pair counts as clearly below it (8: four standard errors). ``block`` texts or ``chunk_bytes``
+    of shingles make a chunk; a task compares two.
     """
 
     size: int = 3
@@ -49,7 +56,8 @@ class Near:
     base: float = 1.001
     rate: float = 20.0
     top: int = 65534
-    block: int = 768
+    block: int = 128
+    chunk_bytes: int = 32 << 20
     first_bands: int = 3
     cut: float = 8.0
     seed: int = 77
@@ -173,11 +181,29 @@ def _promising(batches, p: Near):
 
 
 def _sets(batches, p: Near):
-    """The full set of each text, as sorted 64-bit shingles."""
+    """The full set of each text, as sorted 64-bit shingles. Rows come by id, so what repeats an id and its text goes."""
+    last, seen = None, set()
     for batch in batches:
+        ids = batch.column(0).to_pylist()
         buf, off = utf8(batch.column(1))
-        out = [(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), s.tobytes()) for h, s in shingle_sets(buf, off, p.size)]
-        yield pa.record_batch([batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["id", "digest", "shingles"])
+        rows, held = [], 0
+        for i, (h, s) in zip(ids, shingle_sets(buf, off, p.size)):
+            digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+            if i != last:
+                last, seen = i, set()
+            if digest in seen:
+                continue
+            seen.add(digest)
+            rows.append((i, digest, s.tobytes()))
+            held += len(rows[-1][2])
+            if held > 16 << 20:
+                yield _set_rows(rows)
+                rows, held = [], 0
+        yield _set_rows(rows)
+
+
+def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["id", "digest", "shingles"])
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -220,6 +246,34 @@ def _links(batches, p: Near):
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _star(hot: DataFrame) -> DataFrame:
+    """Texts of bands of several chunks -> each chunk with the band's head, in the form of ``_chunk_pairs``."""
+    head = F.col("id") == F.col("head")
+    part = F.when(head, F.expr("sequence(0L, parts - 1)")).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))))
+    return hot.withColumn("part", F.explode(part)).select(F.xxhash64("key", "part").alias("at"), F.when(head, 1).otherwise(2).alias("side"), "band", "id", "digest", "comp")
+
+
+def _chunk_pairs(rows: DataFrame, p: Near, chunks_of) -> DataFrame:
+    """Texts of bands (key, band, id, digest, n, parts, comp) -> a row for each pair of chunks that a text is to be in: ``at``, ``side`` (0: all pairs of the group; 1 against 2), and the text.
+
+    A component beyond one chunk has chunks of its own, dealt by id; all smaller ones share the band's other chunks.
+    """
+    cols = ["band", "id", "digest", "comp"]
+    small = rows.where("parts = 1").select(F.xxhash64("key").alias("at"), F.lit(0).alias("side"), *cols)
+    hot = rows.where("parts > 1").withColumn("pair", F.xxhash64("key", "comp"))
+    own = per_key(hot, "pair", F.min("key").alias("key"), F.min("comp").alias("c"), F.count(F.lit(1)).alias("n_in"), F.sum("n").alias("shingles"))
+    own = own.select("pair", "key", "n_in", "shingles", F.when(chunks_of(F.col("n_in"), F.col("shingles")) > 1, F.col("c")).alias("large"))
+    classes = own.groupBy("key", "large").agg(F.sum("n_in").alias("n_in"), F.sum("shingles").alias("shingles")).select(F.col("key").alias("of"), F.col("large").alias("class"), chunks_of(F.col("n_in"), F.col("shingles")).alias("many"))
+    by_key = Window.partitionBy("of")  # of each band its classes: fewer than its chunks
+    classes = classes.withColumn("lo", F.sum("many").over(by_key.orderBy("class")) - F.col("many")).withColumn("total", F.sum("many").over(by_key))
+    placed = own.join(classes, (F.col("key") == F.col("of")) & F.col("large").eqNullSafe(F.col("class"))).select("pair", "large", "lo", "many", "total")
+    hot = hot.join(placed, "pair").withColumn("part", F.col("lo") + F.pmod(F.xxhash64("id", F.lit(3)), F.col("many")))
+    others = F.filter(F.expr("sequence(0L, total - 1)"), lambda o: F.col("large").isNull() | (o < F.col("lo")) | (o >= F.col("lo") + F.col("many")))
+    hot = hot.withColumn("other", F.explode(others))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    return small.unionByName(hot.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("at"), side.alias("side"), *cols))
+
+
 def near_duplicates(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -236,38 +290,38 @@ def near_duplicates(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", t
     texts = scratch.put(able.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "texts")
 
     width = 2 * p.rows
+    chunks_of = lambda n, shingles: F.greatest(F.lit(1), F.ceil(n / p.block), F.ceil(shingles * 8 / p.chunk_bytes)).cast("long")
     key = F.expr(f"transform(sequence(0, {p.bands - 1}), b -> named_struct('band', b, 'key', xxhash64(b, substring(regs, b * {width} + 1, {width}))))")
-    banded = texts.select("rep", "digest", F.explode(key).alias("x")).select("rep", "digest", "x.band", "x.key")
-    counts = per_key(banded, "key", F.count(F.lit(1)).alias("n_in")).where("n_in > 1").withColumn("parts", F.ceil(F.col("n_in") / p.block))
-    shared = scratch.put(banded.join(counts, "key").select("key", "band", "rep", "digest", "parts"), "shared")
-    # the full sets of all texts that share a band, made once for both lots
-    asked = shared.select("rep", "digest").distinct()
-    mine = base.join(asked.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")  # the asked ids grow with the corpus: never broadcast
+    banded = texts.select("rep", "digest", "n", F.explode(key).alias("x")).select("rep", "digest", "n", "x.band", "x.key")
+    counts = per_key(banded, "key", F.count(F.lit(1)).alias("n_in"), F.sum("n").alias("shingles"), F.min("rep").alias("head")).where("n_in > 1")
+    counts = counts.select("key", "head", chunks_of(F.col("n_in"), F.col("shingles")).alias("parts"))
+    shared = scratch.put(banded.join(counts, "key").select("key", "band", F.col("rep").alias("id"), "digest", "n", "parts", "head"), "shared")
+    # the full sets of all texts that share a band, made once for all lots
+    asked = shared.select("id").distinct()
+    mine = base.join(asked.hint("merge"), "id", "left_semi")  # the asked ids grow with the corpus: never broadcast
     full = scratch.put(mine.mapInArrow(lambda it: _sets(it, p), "id long, digest binary, shingles binary"), "full")
 
     # an id whose rows hold several texts ties those texts together
     several = able.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
     tied = able.select("id", "digest").join(several, "id").join(texts.select("digest", "rep"), "digest")
     edges = scratch.put(tied.select(F.col("id").alias("u"), F.col("rep").alias("v")), "tied")
+    early = F.col("band") < p.first_bands
     comps = None
-    for lot, wanted in enumerate((F.col("band") < p.first_bands, F.col("band") >= p.first_bands)):
-        rows = shared.where(wanted).join(texts, ["digest"]).where(shared.rep == texts.rep).select(shared.key, "band", texts.rep.alias("id"), "digest", "n", "regs", "parts")
-        if comps is None:
-            rows = rows.withColumn("comp", F.col("id"))
-        else:
-            rows = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    for lot in range(3):
+        if lot:
+            rows = (shared if lot == 1 else shared.where(~early)).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
             # a band whose texts are all in one component has nothing left to compare
             open_ = per_key(rows, "key", F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
             rows = rows.join(open_, "key")
-        part = F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))
-        rows = rows.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        rows = rows.select(
-            F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("at"),
-            F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"),
-            "band", "id", "digest", "n", "comp", "regs",
-        )
-        rows = rows.repartition(F.col("at")).sortWithinPartitions("at", "id")
-        promising = rows.mapInArrow(lambda it: _promising(it, p), "id long, digest binary, at long, comp long")
+        if lot == 0:
+            met = _star(shared.where(early & (F.col("parts") > 1)).withColumn("comp", F.col("id")))
+        elif lot == 1:
+            met = _chunk_pairs(rows.where(early), p, chunks_of).unionByName(_star(rows.where(~early & (F.col("parts") > 1))))
+        else:
+            met = _chunk_pairs(rows, p, chunks_of)
+        dealt = met.join(texts.select("digest", "n", "regs"), "digest").select("at", "side", "band", "id", "digest", "n", "comp", "regs")
+        dealt = dealt.repartition(F.col("at")).sortWithinPartitions("at", "id")
+        promising = dealt.mapInArrow(lambda it: _promising(it, p), "id long, digest binary, at long, comp long")
         sets = promising.join(full.withColumnRenamed("digest", "own"), "id").where(F.col("own") == F.col("digest")).select("at", "id", "comp", "shingles")
         found = sets.repartition(F.col("at")).sortWithinPartitions("at", "id").mapInArrow(lambda it: _links(it, p), "u long, v long")
         edges = edges.unionByName(scratch.put(found, f"links-{lot}"))

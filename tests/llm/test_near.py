@@ -59,7 +59,7 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("p", [minhash.Near(), minhash.FIVE_WORDS, minhash.Near(block=4, first_bands=1)])
+@pytest.mark.parametrize("p", [minhash.Near(), minhash.FIVE_WORDS, minhash.Near(block=4, first_bands=1), minhash.Near(block=3, chunk_bytes=4000)])
 def test_groups_are_those_of_brute_force(spark, texts, p):
     want, sets = brute(texts, p.size, p.percent)
     df = clashing(spark.createDataFrame(texts, "doc_id long, text string"), "id", "digest", "key", "band", "comp", "n", "rep").repartition(5)
@@ -71,6 +71,29 @@ def test_groups_are_those_of_brute_force(spark, texts, p):
         assert r.kept == (r.doc_id is None or r.doc_id == r.component_id)
 
 
+def test_words_that_look_alike(spark):
+    """Long words of repeated or swapped parts, and words of a megabyte, are told apart."""
+    half = ["ab" * 512, "ba" * 512, "x" * 4096 + "y" * 4096, "y" * 4096 + "x" * 4096, "q" * 8, "q" * 16, "q" * (1 << 20), "q" * ((1 << 20) + 8)]
+    rng = random.Random(4)
+    long = ["".join(rng.choice("ab") for _ in range(5000)) for _ in range(3)]
+    rows = list(enumerate([*half, *long, long[0][2500:] + long[0][:2500], *[" ".join([w] * 3 + ["z"]) for w in half[:4]]]))
+    want, sets = brute(rows, 3, 85)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (want[i], len(s)) for i, s in sets} and len({c for c, _ in got.values()}) == len(rows)
+
+
+def test_a_hot_band_of_texts_of_a_megabyte(spark):
+    """Near copies, one of a megabyte among them, in chunks bounded by bytes; a repeated id is one text."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(20000)]
+    rows = [(i, edited(rng, base, rng.randint(0, 900))) for i in range(14)] + [(100, " ".join(f"u{k}" for k in range(150000)))] * 3
+    rows += [(200 + i, edited(rng, [f"u{k}" for k in range(150000)], 5000)) for i in range(2)]
+    want, sets = brute(rows, 3, 85)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = minhash.near_duplicates(df, minhash.Near(block=4, chunk_bytes=1 << 20)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+
+
 def test_no_documents(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -154,6 +177,26 @@ def test_star_beyond_the_windows(spark):
         assert [got[i].n_links for i in range(len(x))] == hit.sum(axis=1).tolist()
 
 
+def test_equal_vectors_are_one_class(spark):
+    """Copies count as links of each other, also where zeros have a sign, in both number types."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((6, 16)).round(2)
+    base[0, 0] = 0.0
+    rows = [(k, (-1.0 if k % 3 == 0 else 1.0) * 0.0 if j == 0 and k % 6 == 0 else float(v), j) for k in range(90) for j, v in enumerate(base[k % 6])]
+    vectors = [(k, [v for i, v, _ in rows if i == k], k % 2) for k in range(90)] + [(500, (base[1] + 0.01).tolist(), 1), (501, base[1].tolist(), None)]
+    x = np.array([v for _, v, _ in vectors])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([-1 if y is None else y for _, _, y in vectors])
+    link = (x @ x.T >= 0.93) & (label[:, None] == label) & (label >= 0)[:, None]
+    np.fill_diagonal(link, False)
+    ids = [i for i, _, _ in vectors]
+    want = least(ids, [(ids[a], ids[b]) for a, b in np.argwhere(link)])
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(vectors, f"vec_id long, embedding array<{kind}>, label int").repartition(3)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect()}
+        assert got == {i: (int(n), want[i]) for i, n in zip(ids, link.sum(axis=1))}
+
+
 def test_no_vectors(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
