@@ -1,10 +1,19 @@
-"""Command line: ``python -m runstrata -S STORE VERB ...``. Exit 0; 1 for a failed verify, unreadable sources or no grep hit; 2 for errors."""
+"""Command line: ``python -m runstrata -S STORE VERB ...``. Exit 0; 1 for a failed verify, unreadable sources or no grep hit; 2 for errors.
+
+STORE is the folder of a store, or the id of one below ``store_root`` of the nearest ``runstrata.toml`` (keys
+``store_root``, ``adapter``, ``rules``, the latter two for ``create``).
+"""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
+import shlex
+import subprocess
 import sys
+import tempfile
+import tomllib
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
@@ -13,8 +22,34 @@ from pyspark.sql import functions as F
 from .functions import paths as P
 from .operators import maintenance, namespace
 from .plans import sql as S
+from .sources import manifest
 from .store import Store
 
+CONFIG = "runstrata.toml"
+
+
+def config(start: str = ".") -> dict:
+    """The nearest configuration file at or above a folder; its ``store_root`` is relative to it. Without one, nothing."""
+    folder = os.path.abspath(start)
+    while True:
+        path = os.path.join(folder, CONFIG)
+        if os.path.isfile(path):
+            with open(path, "rb") as f:
+                found = tomllib.load(f)
+            return found | {"store_root": os.path.join(folder, found.get("store_root", "stores"))}
+        if folder == os.path.dirname(folder):
+            return {}
+        folder = os.path.dirname(folder)
+
+
+def resolve_store(arg: str, found: dict) -> str:
+    """The folder of a store given by path or by id."""
+    tried = [arg] + ([os.path.join(found["store_root"], P.store_id(arg))] if "store_root" in found else [])
+    for path in tried:
+        if os.path.isfile(os.path.join(path, manifest.NAME)):
+            return path
+    raise FileNotFoundError(f"{arg}: neither a store nor the id of one below store_root")
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="runstrata")
@@ -41,9 +76,10 @@ def parser() -> argparse.ArgumentParser:
     verb("stat", "path")
     verbs.add_parser("cat").add_argument("paths", nargs="+")
     verb("grep", e=list, path=str, name=str, i=bool, l=bool, c=bool, a=bool)
-    v = verb("extract", "target", path=str, mtime=bool)
+    v = verb("extract", "target", path=str, mtime=bool, link=bool)
+    verb("edit", "path", editor=str)
     v = verb("sql", "query", csv=bool, show_views=bool)
-    verb("verify", deep=bool, storage=bool)
+    verb("verify", deep=bool, storage=bool, require_compact=bool)
     verb("derive")
     verb("delete", "path", plan=bool)
     verb("compact")
@@ -62,10 +98,46 @@ def run(argv: Sequence[str], spark: SparkSession, out=sys.stdout) -> int:
     a = parser().parse_args(argv)
     if not a.store or len(a.store) > 1 and a.verb != "sql":
         raise ValueError("one store is asked for (-S)")
+    found = config()
     if a.verb == "create":
-        Store.create(spark, a.store[0], a.id or P.store_id(a.store[0].strip("/")), a.adapter or "none", a.rules or "none")
+        Store.create(spark, a.store[0], a.id or P.store_id(a.store[0].strip("/")), a.adapter or found.get("adapter", "none"), a.rules or found.get("rules", "none"))
         return 0
-    stores = [Store(spark, s) for s in a.store]
+    stores = [Store(spark, resolve_store(s, found)) for s in a.store]
+    try:
+        return answer(a, spark, stores, out)
+    finally:
+        for s in stores:
+            s.close()
+
+
+def show_files(s: Store, directory: str, long: bool, full: bool, out) -> int:
+    """Files right in a directory (or the file itself), as ``ls`` shows them."""
+    rows = s.visible_under(directory)
+    rows = rows.where(F.col("path") == directory) if full else rows.where(F.col("dir") == directory)
+    name = F.col("path" if full else "name")
+    attrs = P.attrs_text(F.col("attrs"))
+    text = F.concat(P.mode_text(F.col("kind"), F.col("mode")), F.lit("  "), F.lpad(P.human(F.col("size")), 10, " "), F.lit("  "), name, F.when(attrs != "", F.concat(F.lit("  ["), attrs, F.lit("]"))).otherwise(""))
+    return listing(rows.orderBy("path").select(text if long else name), out)
+
+
+def show_directory(s: Store, directory: str, long: bool, out) -> int:
+    dirs = s.children(directory).where("is_dir").orderBy("path")
+    text = F.concat(F.lit("d---------  "), F.lpad(P.human(F.col("size")), 10, " "), F.lit("  "), F.lpad(F.col("n_files").cast("string"), 6, " "), F.lit(" files  "), "name", F.lit("/"))
+    n = listing(dirs.select(text if long else F.concat("name", F.lit("/"))), out)
+    return n + show_files(s, directory, long, False, out)
+
+
+def edited(text: str, editor: str) -> str:
+    """A text after an editor had a copy of it."""
+    with tempfile.NamedTemporaryFile("w+", suffix=".txt", encoding="utf-8") as f:
+        f.write(text)
+        f.flush()
+        subprocess.run([*shlex.split(editor), f.name], check=True)
+        with open(f.name, encoding="utf-8", errors="replace") as g:
+            return g.read()
+
+
+def answer(a: argparse.Namespace, spark: SparkSession, stores: list[Store], out) -> int:
     s = stores[0]
     if a.verb == "pack":
         b = s.pack(a.source, a.label)
@@ -74,16 +146,18 @@ def run(argv: Sequence[str], spark: SparkSession, out=sys.stdout) -> int:
     if a.verb in ("ls", "tree", "du", "find"):
         directory = P.normalise(a.path)
         if a.verb == "ls":
-            rows = s.children(directory)
-            if not rows.take(1):
-                rows = s.stat(directory)
-                if not rows.take(1):
+            is_dir = not directory or bool(s.dir_info(directory).take(1))
+            if not is_dir:
+                if not show_files(s, directory, a.l, True, out):
                     raise FileNotFoundError(directory)
-                rows = rows.select(F.lit(False).alias("is_dir"), "name", "path", F.lit(None).alias("n_files"), F.lit(None).alias("n_dirs"), "size")
             elif a.R:
-                rows = namespace.tree(s.visible, directory, 1 << 20).select("is_dir", F.col("path").alias("name"), "path", "n_files", F.lit(None).alias("n_dirs"), "size")
-            shown = F.concat("name", F.when(F.col("is_dir"), "/").otherwise(""))
-            listing(rows.select(*([P.human(F.col("size")), "n_files"] if a.l else []), shown), out)
+                below = namespace.rollup(s.visible_under(directory).where(P.subtree(F.col("path"), directory))).where(P.is_under(F.col("dir"), directory))
+                for row in below.select("dir").orderBy("dir").toLocalIterator():
+                    print(f"{row.dir or '.'}:", file=out)
+                    show_directory(s, row.dir, a.l, out)
+                    print(file=out)
+            else:
+                show_directory(s, directory, a.l, out)
         elif a.verb == "tree":
             listing(s.tree(directory, 3 if a.depth is None else a.depth, a.d).select("path", "n_files", P.human(F.col("size"))), out)
         elif a.verb == "du":
@@ -109,7 +183,10 @@ def run(argv: Sequence[str], spark: SparkSession, out=sys.stdout) -> int:
             getattr(out, "buffer", sys.stdout.buffer).write(bytes(r.content))
         return 0
     if a.verb == "grep":
-        hits = s.grep(a.e, a.path or "", name=a.name, ignore_case=a.i, binary=a.a)
+        directory = P.normalise(a.path or "")
+        if directory and not s.dir_info(directory).take(1):
+            raise FileNotFoundError(f"{directory}: no such directory")
+        hits = s.grep(a.e, directory, name=a.name, ignore_case=a.i, binary=a.a)
         if a.l:
             n = listing(hits.select("path").distinct().orderBy("path"), out)
         elif a.c:
@@ -118,7 +195,7 @@ def run(argv: Sequence[str], spark: SparkSession, out=sys.stdout) -> int:
             n = listing(hits.orderBy("path", "line_no").select(F.concat_ws(":", "path", "line_no", "line")), out)
         return 0 if n else 1
     if a.verb == "extract":
-        print(s.extract(a.target, a.path or "", a.mtime), file=out)
+        print(s.extract(a.target, a.path or "", a.mtime, a.link), file=out)
         return 0
     if a.verb == "sql":
         if a.show_views:
@@ -126,17 +203,20 @@ def run(argv: Sequence[str], spark: SparkSession, out=sys.stdout) -> int:
                 print(name, ", ".join(f"{c} {t}" for c, t in df.dtypes), file=out)
             return 0
         df = S.sql(spark, stores, sys.stdin.read() if a.query == "-" else a.query)
-        print(S.to_csv(df) if a.csv else df._jdf.showString(1 << 20, 0, False) if df.take(1) else "(no rows)", end="\n" * (not a.csv), file=out)
+        out.writelines(S.to_csv(df) if a.csv else S.to_table(df))
+        return 0
+    if a.verb == "edit":
+        print(s.edit(a.path, lambda text: edited(text, a.editor or os.environ.get("EDITOR", "vi"))), end="", file=out)
         return 0
     if a.verb == "verify":
-        bad = s.verify(a.deep).limit(20).collect()
-        report = {"violations": [[r.check, r.subject] for r in bad]}
+        bad = s.verify(a.deep, a.require_compact).limit(20).collect()
+        report = s.verify_counts().first().asDict() | {"violations": [[r.check, r.subject] for r in bad]}
         if a.storage:
-            report["storage"] = maintenance.storage_report(s.history, s.blobs).first().asDict()
+            report["storage"] = maintenance.storage_report(s.history, s.blobs).first().asDict() | s.totals()
         print(json.dumps(report), file=out)
         return 1 if bad else 0
     if a.verb == "delete" and a.plan:
-        print(json.dumps(maintenance.delete_plan(s.history, P.normalise(a.path), s.events, s.table("excluded")).first().asDict()), file=out)
+        print(json.dumps(s.plan_delete(a.path)), file=out)
         return 0
     print(json.dumps({"derive": s.derive, "compact": s.compact, "delete": lambda: s.delete(a.path)}[a.verb]()), file=out)
     return 0

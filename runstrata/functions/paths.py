@@ -129,14 +129,23 @@ def store_id(relative: str) -> str:
 
 
 def human(size: Column) -> Column:
-    """Bytes with a unit to the base 1024: B, KB and MB with one decimal, GB with two."""
-    x = size.cast("double")
-    return (
-        F.when(size < 1024, F.format_string("%d B", size))
-        .when(size < 1024**2, F.format_string("%.1f KB", x / 1024))
-        .when(size < 1024**3, F.format_string("%.1f MB", x / 1024**2))
-        .otherwise(F.format_string("%.2f GB", x / 1024**3))
-    )
+    """Bytes with a unit to the base 1024: B, KB and MB with one decimal, GB with two; ties go to the even digit.
+
+    Whole numbers throughout: digits are counted in tenths (hundredths) of the unit, so no rounding is done twice.
+    """
+    size = size.cast("long")
+
+    def digits(shift: int, scale: int) -> Column:
+        unit, rest = F.lit(1 << shift), F.pmod(size, F.lit(1 << shift)) * scale  # below 2**30 * 100
+        low, over = F.shiftrightunsigned(size, shift) * scale + F.floor(rest / unit).cast("long"), F.pmod(rest, unit) * 2
+        return low + F.when((over > unit) | ((over == unit) & (F.pmod(low, F.lit(2)) == 1)), 1).otherwise(0)
+
+    def shown(shift: int, decimals: int, name: str) -> Column:
+        n, scale = digits(shift, 10**decimals), F.lit(10**decimals)
+        return F.concat((F.floor(n / scale)).cast("string"), F.lit("."), F.lpad(F.pmod(n, scale).cast("string"), decimals, "0"), F.lit(f" {name}"))
+
+    small = F.when(size < 1 << 10, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, shown(10, 1, "KB"))
+    return small.when(size < 1 << 30, shown(20, 1, "MB")).otherwise(shown(30, 2, "GB"))
 
 
 def mode_text(kind: Column, mode: Column) -> Column:
@@ -145,6 +154,23 @@ def mode_text(kind: Column, mode: Column) -> Column:
     return F.concat(F.when(kind == 1, "l").otherwise("-"), *[bit(8 - k, "rwx"[k % 3]) for k in range(9)])
 
 
+def time_text(ns: Column) -> Column:
+    """Nanoseconds since 1970 in UTC as RFC 3339, with three, six or nine digits of a second where any are needed."""
+    rest = F.pmod(ns, F.lit(1_000_000_000))
+    seconds = ((ns - rest).cast("decimal(20,0)") / F.lit(1_000_000_000).cast("decimal(10,0)")).cast("long")
+    day = F.pmod(seconds, F.lit(86400))
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), ((seconds - day) / 86400).cast("int")), "yyyy-MM-dd")
+    clock = F.format_string("T%02d:%02d:%02d", F.floor(day / 3600).cast("int"), F.floor(F.pmod(day, F.lit(3600)) / 60).cast("int"), F.pmod(day, F.lit(60)).cast("int"))
+    digits = F.lpad(rest.cast("string"), 9, "0")
+    shown = F.when(rest == 0, "").when(F.pmod(rest, F.lit(1_000_000)) == 0, F.substring(digits, 1, 3)).when(F.pmod(rest, F.lit(1000)) == 0, F.substring(digits, 1, 6)).otherwise(digits)
+    return F.concat(date, clock, F.when(shown != "", F.concat(F.lit("."), shown)).otherwise(""), F.lit("+00:00"))
+
+
+def literal_path(path: str) -> str:
+    """A path that a reader takes as it is: characters of file patterns are escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def attrs_text(attrs: Column) -> Column:
     """``k=v`` by key, joined by commas."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")

@@ -17,7 +17,8 @@ def attrs_key(attrs: Column) -> Column:
 
 
 def as_rows(entries: DataFrame, attrs, batch: int) -> DataFrame:
-    """Kept entries with content -> file rows (and the content)."""
+    """Kept entries with content -> file rows (and the content; null where the hash is given and the bytes come in pieces)."""
+    digest = F.unhex(F.sha2(F.coalesce("content", F.lit(b"")), 256))
     return entries.select(
         "path",
         P.parent(F.col("path")).alias("dir"),
@@ -25,7 +26,7 @@ def as_rows(entries: DataFrame, attrs, batch: int) -> DataFrame:
         F.col("kind").cast("short").alias("kind"),
         F.col("mode").cast("int").alias("mode"),
         F.col("size").cast("long").alias("size"),
-        F.unhex(F.sha2(F.coalesce("content", F.lit(b"")), 256)).alias("sha"),
+        (F.coalesce("sha", digest) if "sha" in entries.columns else digest).alias("sha"),
         F.col("mtime_ns").cast("long").alias("mtime_ns"),
         F.lit(batch).cast("long").alias("batch"),
         attrs.alias("attrs"),
@@ -45,7 +46,7 @@ def changed(rows: DataFrame, seen: DataFrame) -> DataFrame:
 
 def new_blobs(rows: DataFrame, known: DataFrame) -> DataFrame:
     """``sha, content`` of contents that are not empty and not known, each once."""
-    return rows.where("size > 0").select("sha", "content").dropDuplicates(["sha"]).join(known.select("sha").distinct(), "sha", "left_anti")
+    return rows.where("size > 0 and content is not null").select("sha", "content").dropDuplicates(["sha"]).join(known.select("sha").distinct(), "sha", "left_anti")
 
 
 def as_parts(blobs: DataFrame, part: int = PART) -> DataFrame:
@@ -56,6 +57,15 @@ def as_parts(blobs: DataFrame, part: int = PART) -> DataFrame:
     return cut.select("sha", F.col("part").cast("int").alias("part"), "n_parts", F.octet_length(content).cast("long").alias("size"), content.alias("content"))
 
 
+def pieces_as_parts(pieces: DataFrame, rows: DataFrame, known: DataFrame, piece: int, part: int = PART) -> DataFrame:
+    """Pieces of ``piece`` bytes (``sha, piece, content``) of large contents that ``rows`` name and that are not known -> their parts, each once."""
+    new = rows.where("size > 0 and content is null").groupBy("sha").agg(F.max("size").alias("_whole")).join(known.select("sha").distinct(), "sha", "left_anti")
+    once = pieces.groupBy("sha", "piece").agg(F.first("content").alias("content")).join(new, "sha")
+    cut = once.withColumn("k", F.explode(F.expr(f"sequence(0, cast(ceil(octet_length(content) / {part}) as int) - 1)")))
+    content = F.expr(f"substring(content, k * {part} + 1, {part})")
+    return cut.select("sha", (F.col("piece") * (piece // part) + F.col("k")).cast("int").alias("part"), F.ceil(F.col("_whole") / part).cast("int").alias("n_parts"), F.octet_length(content).cast("long").alias("size"), content.alias("content"))
+
+
 def summary(rows: DataFrame, blobs: DataFrame, excluded: DataFrame) -> dict:
     """Counts of one batch."""
     r = rows.agg(F.count(F.lit(1)).alias("paths"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()

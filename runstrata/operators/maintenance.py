@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +43,34 @@ def duplicate_paths(files: DataFrame) -> DataFrame:
     return _problem(files.groupBy("batch", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "duplicate", F.concat_ws(":", "batch", "path"))
 
 
+def order_problems(files: DataFrame) -> DataFrame:
+    """Files of a segment whose paths do not rise strictly: (batch, path) after a greater or equal one. ``files`` as they were written, with Spark's file name and row position."""
+    at = files.select("batch", "path", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.row_index").alias("row"))
+    before = F.lag("path").over(Window.partitionBy("file").orderBy("start", "row"))
+    return _problem(at.withColumn("before", before).where("before >= path"), "order", F.concat_ws(":", "batch", "path"))
+
+
+def loose_contents(files: DataFrame, blobs: DataFrame) -> DataFrame:
+    """What compaction would take away: contents no row names, and parts that are stored twice."""
+    unused = blobs.select("sha").distinct().join(files.select("sha").distinct(), "sha", "left_anti")
+    twice = blobs.groupBy("sha", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha").distinct()
+    return _problem(unused, "unreferenced", F.lower(F.hex("sha"))).unionByName(_problem(twice, "stored-twice", F.lower(F.hex("sha"))))
+
+
+def verify_counts(files: DataFrame, blobs: DataFrame, batches: int | None = None) -> DataFrame:
+    """One row beside the violations: rows, contents, and rows that newer batches hide."""
+    rows = files.agg(F.count(F.lit(1)).alias("files"))
+    contents = blobs.agg(F.count_distinct("sha").alias("blobs"))
+    hidden = namespace.visible(files, batches).agg(F.count(F.lit(1)).alias("visible"))
+    return rows.crossJoin(contents).crossJoin(hidden).select("files", "blobs", (F.col("files") - F.col("visible")).alias("shadowed"))  # one row each
+
+
+def frame_members(parts: DataFrame) -> DataFrame:
+    """``pack, offset, length`` of physical frames with the contents in each: how many, their bytes, and the sorted (sha, part) list."""
+    member = F.struct(F.lower(F.hex("sha")).alias("sha"), F.col("part").cast("int").alias("part"))
+    return parts.groupBy("pack", "offset", "length").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"), F.sort_array(F.collect_list(member)).alias("contents"))
+
+
 def file_and_directory(files: DataFrame) -> DataFrame:
     """A path that is both a file and a directory in one batch."""
     dirs = files.select("batch", F.explode(P.ancestors(F.col("path"))).alias("path")).distinct()
@@ -71,10 +100,25 @@ def dirs_diff(files: DataFrame, dirs: DataFrame) -> DataFrame:
 
 
 def hash_problems(blobs: DataFrame) -> DataFrame:
-    """Contents whose bytes have another hash: the deep check."""
-    whole = blobs.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("part", "content"))).alias("p"))
-    bytes_ = F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.content))")
-    return _problem(whole.where(F.sha2(bytes_, 256) != F.lower(F.hex("sha"))), "hash", F.lower(F.hex("sha")))
+    """Contents whose bytes have another hash: the deep check. Contents of several parts are hashed part by part, never joined."""
+    single = blobs.where((F.col("n_parts") == 1) & (F.sha2("content", 256) != F.lower(F.hex("sha")))).select("sha")
+    several = blobs.where("n_parts > 1").select("sha", "part", "content").repartition("sha").sortWithinPartitions("sha", "part").mapInArrow(_rehash, "sha binary")
+    return _problem(single.unionByName(several), "hash", F.lower(F.hex("sha")))
+
+
+def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, digest = None, None
+    for batch in batches:
+        bad = []
+        for sha, content in zip(batch.column(0).to_pylist(), batch.column(2)):
+            if sha != last:
+                if last is not None and digest.digest() != last:
+                    bad.append(last)
+                last, digest = sha, hashlib.sha256()
+            digest.update(content.as_buffer() if content.is_valid else b"")
+        yield pa.record_batch([pa.array(bad, pa.binary())], names=["sha"])
+    if last is not None and digest.digest() != last:
+        yield pa.record_batch([pa.array([last], pa.binary())], names=["sha"])
 
 
 def total_problems(files: DataFrame, batches: DataFrame) -> DataFrame:
@@ -84,11 +128,13 @@ def total_problems(files: DataFrame, batches: DataFrame) -> DataFrame:
     return _problem(bad, "totals", F.col("id"))
 
 
-def verify(files: DataFrame, dirs: DataFrame, blobs: DataFrame, batches: DataFrame, deep: bool = False) -> DataFrame:
-    """All violations as ``check, subject``; no row: all is well."""
+def verify(files: DataFrame, dirs: DataFrame, blobs: DataFrame, batches: DataFrame, deep: bool = False, compacted: bool = False) -> DataFrame:
+    """All violations as ``check, subject``; no row: all is well. ``deep``: contents are hashed again; ``compacted``: nothing is left for compaction."""
     out = file_problems(files)
     for part in (duplicate_paths(files), file_and_directory(files), part_problems(blobs), blob_problems(files, blobs), dirs_diff(files, dirs), total_problems(files, batches)):
         out = out.unionByName(part)
+    if compacted:
+        out = out.unionByName(loose_contents(files, blobs))
     return out.unionByName(hash_problems(blobs)) if deep else out
 
 
@@ -99,7 +145,7 @@ def storage_report(files: DataFrame, blobs: DataFrame) -> DataFrame:
     same = blobs.groupBy(F.sha2("content", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("s"))
     d = same.agg(F.count(F.lit(1)).alias("unique_parts"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_parts"), F.coalesce(F.sum((F.col("n") - 1) * F.col("s")), F.lit(0)).alias("duplicate_bytes"))
     loose = blobs.join(files.select("sha").distinct(), "sha", "left_anti").agg(F.count_distinct("sha").alias("unreferenced"), F.coalesce(F.sum("size"), F.lit(0)).alias("unreferenced_bytes"))
-    return f.join(F.broadcast(b)).join(F.broadcast(d)).join(F.broadcast(loose))  # one row each
+    return f.crossJoin(b).crossJoin(d).crossJoin(loose)  # one row each
 
 
 def referenced(files: DataFrame) -> DataFrame:
@@ -129,7 +175,7 @@ def delete_plan(history: DataFrame, path: str, events: DataFrame | None = None,
         parts.append(excluded.where(P.is_under(F.col("path"), path)).agg(F.count(F.lit(1)).alias("excluded")))
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(F.broadcast(p))  # one row each
+        out = out.crossJoin(p)  # one row each
     return out
 
 

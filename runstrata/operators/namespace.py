@@ -18,19 +18,30 @@ def latest(history: DataFrame) -> DataFrame:
 def visible(history: DataFrame, batches: int | None = None) -> DataFrame:
     """Rows that no newer batch hides: the path's own newest row, unless a newer batch made an ancestor a file or the path a directory.
 
-    With a single batch nothing can be hidden. Else one pass gives each path's newest row, and both hiding rules are
-    equi-joins on exploded ancestors: no collected namespace, no row order. Filters go above this, never below.
+    With a single batch nothing can be hidden. Else the conflicts are found on directories, not on files: each path's
+    newest batch is reduced to the oldest and newest one of every directory, and few paths are both a file and a
+    directory of that table. Full rows are touched last, by one semi-join. Filters other than ``deciding`` go above this.
     """
     if batches == 1:
         return history
-    now = latest(history)
-    key = now.select("path", "batch")
-    above = key.select("path", "batch", F.explode(P.ancestors(F.col("path"))).alias("dir"))
-    by_dir = above.groupBy("dir").agg(F.max("batch").alias("newest"))  # the newest file below each directory
-    over_file = above.where("dir <> ''").join(key.select(F.col("path").alias("dir"), F.col("batch").alias("file_batch")), "dir")
-    hidden = over_file.where("file_batch > batch").select("path").distinct()
-    became_dir = key.join(by_dir, F.col("path") == F.col("dir")).where("newest > batch").select("path")
-    return now.join(hidden.unionByName(became_dir).distinct(), "path", "left_anti").select(*history.columns)
+    key = history.groupBy("path").agg(F.max("batch").alias("batch"), F.first("dir").alias("dir"))
+    direct = key.groupBy("dir").agg(F.min("batch").alias("oldest"), F.max("batch").alias("newest"))
+    above = direct.select(F.explode(P.self_and_ancestors(F.col("dir"))).alias("path"), "oldest", "newest").where("path <> ''")
+    both = above.groupBy("path").agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest")).join(key.select("path", "batch"), "path")
+    became_dir = both.where("newest > batch").select("path")
+    became_file = both.where("oldest < batch").select("path", F.col("batch").alias("file_batch"))
+    over = direct.select("dir", F.explode(P.self_and_ancestors(F.col("dir"))).alias("path")).join(became_file, "path").groupBy("dir").agg(F.max("file_batch").alias("file_batch"))
+    hidden = key.join(over, "dir").where("batch < file_batch").select("path").unionByName(became_dir)
+    now = key.join(hidden.distinct(), "path", "left_anti").select("path", "batch")
+    return history.join(now, ["path", "batch"], "left_semi").select(*history.columns)
+
+
+def deciding(directory: str) -> Column:
+    """Whether a row of the history matters to what is visible at or below a directory: its own rows, those below it, and files in place of a directory above. ``visible`` of these alone is exact there, so the prefix may reach the scan."""
+    parts = directory.split("/")
+    above = ["/".join(parts[:k]) for k in range(1, len(parts))]
+    inside = P.is_under(F.col("path"), directory)
+    return inside | F.col("path").isin(above) if above else inside
 
 
 def shadowed(history: DataFrame) -> DataFrame:
@@ -67,6 +78,13 @@ def children(files: DataFrame, directory: str = "") -> DataFrame:
     return dirs.unionByName(own).orderBy(F.desc("is_dir"), "path")
 
 
+def stored_children(files: DataFrame, dirs: DataFrame, directory: str = "") -> DataFrame:
+    """``children`` of a single batch from its stored directory rows: two scans with pushed equalities, nothing summed."""
+    below = dirs.where((F.col("parent") == directory) & (F.col("dir") != "")).select(F.lit(True).alias("is_dir"), "name", F.col("dir").alias("path"), "n_files", "n_dirs", F.col("bytes").alias("size"))
+    own = files.where(F.col("dir") == directory).select(F.lit(False).alias("is_dir"), "name", "path", F.lit(None).cast("long").alias("n_files"), F.lit(None).cast("long").alias("n_dirs"), "size")
+    return below.unionByName(own).orderBy(F.desc("is_dir"), "path")
+
+
 def listings(files: DataFrame, directory: str = "") -> DataFrame:
     """All listings of a subtree in one scan: directory -> sorted entries."""
     inside = files.where(P.is_under(F.col("path"), directory))
@@ -130,10 +148,14 @@ def du_depth(files: DataFrame, directory: str = "", depth: int = 1) -> DataFrame
     return rollup(files.where(P.is_under(F.col("path"), directory))).where(P.is_under(F.col("dir"), directory) & (F.col("depth") <= base + depth)).select("dir", "n_files", "n_dirs", "bytes").orderBy("dir")
 
 
-def stat(files: DataFrame, path: str) -> DataFrame:
-    """The row of a path, with its mode and attributes as text."""
+def stat(files: DataFrame, path: str, blobs: DataFrame | None = None) -> DataFrame:
+    """The row of a path, with its mode, attributes and time as text and, if ``blobs`` are given, the number of its parts (0 for an empty file)."""
     row = files.where(F.col("path") == path)
-    return row.withColumns({"mode_text": P.mode_text(F.col("kind"), F.col("mode")), "attrs_text": P.attrs_text(F.col("attrs")), "mtime": F.timestamp_micros(F.expr("mtime_ns div 1000"))})
+    row = row.withColumns({"mode_text": P.mode_text(F.col("kind"), F.col("mode")), "attrs_text": P.attrs_text(F.col("attrs")), "mtime": F.timestamp_micros(F.expr("mtime_ns div 1000")), "mtime_text": P.time_text(F.col("mtime_ns"))})
+    if blobs is None:
+        return row
+    parts = blobs.join(row.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.count(F.lit(1)).alias("parts"))
+    return row.join(parts, "sha", "left").fillna(0, ["parts"]).select(*row.columns, "parts")
 
 
 def stat_version(history: DataFrame, path: str, batch: int) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..operators import content, events, ingest, maintenance, namespace, retention
+from ..streaming import watch
+from . import sql as S
+from . import teststore as T
 from . import testviews as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,9 +143,9 @@ def du_depth1(s, d):
     return namespace.du_depth(V.files(s, d), "", 1)
 
 
-@query(f"WITH {V.FILES} SELECT path, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{{:.1f}} KB', size / 1024.0::DOUBLE) ELSE format('{{:.1f}} MB', size / 1048576.0::DOUBLE) END AS shown FROM files WHERE size % 1024 % 51 <> 25")
+@query(f"WITH {V.FILES}, n AS (SELECT path, size, size // 1024 * 10 + (size % 1024) * 10 // 1024 AS low, (size % 1024) * 10 % 1024 AS over FROM files), k AS (SELECT *, low + CASE WHEN over > 512 OR (over = 512 AND low % 2 = 1) THEN 1 ELSE 0 END AS tenths FROM n), m AS (SELECT *, size // 1048576 * 10 + (size % 1048576) * 10 // 1048576 AS mlow, (size % 1048576) * 10 % 1048576 AS mover FROM k) SELECT path, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN tenths // 10 || '.' || tenths % 10 || ' KB' ELSE (mlow + CASE WHEN mover > 524288 OR (mover = 524288 AND mlow % 2 = 1) THEN 1 ELSE 0 END) // 10 || '.' || (mlow + CASE WHEN mover > 524288 OR (mover = 524288 AND mlow % 2 = 1) THEN 1 ELSE 0 END) % 10 || ' MB' END AS shown FROM m")
 def human_sizes(s, d):
-    return V.files(s, d).where("size % 1024 % 51 <> 25").select("path", P.human(F.col("size")).alias("shown"))
+    return V.files(s, d).select("path", P.human(F.col("size")).alias("shown"))
 
 
 # history and visibility ------------------------------------------------------------------------
@@ -169,9 +171,13 @@ def stat_version(s, d):
     return hexed(namespace.stat_version(V.history(s, d), "d1/e1/f1.txt", 2)).select("path", "batch", "size", "sha")
 
 
-@query(f"WITH {V.HISTORY} SELECT batch, count(*) AS paths, sum(size)::BIGINT AS bytes, count(DISTINCT sha) AS contents FROM history GROUP BY batch")
+@query("SELECT 1::BIGINT AS batch, count(*) AS paths, sum(octet_length(encode(text)))::BIGINT AS bytes, count(DISTINCT text) FILTER (text <> '') AS contents FROM documents")
 def batch_totals(s, d):
-    return V.history(s, d).groupBy("batch").agg(F.count(F.lit(1)).alias("paths"), F.sum("size").alias("bytes"), F.count_distinct("sha").alias("contents"))
+    """The summary of an append of all documents."""
+    h = V.files(s, d, content=True)
+    none = h.limit(0).select("sha")
+    found = ingest.summary(h, ingest.as_parts(ingest.new_blobs(h, none)), h.limit(0))
+    return s.createDataFrame([(1, found["paths"], found["bytes"], found["new_blobs"])], "batch long, paths long, bytes long, contents long")
 
 
 @query(f"WITH {V.VISIBLE} SELECT split_part(path, '/', 1) AS top, count(*) AS n FROM visible WHERE regexp_full_match(path, '.*/f.*5\\.txt') GROUP BY 1")
@@ -193,10 +199,12 @@ def paths_by_sha(s, d):
     return hexed(namespace.paths_by_sha(V.files(s, d))).where(F.size("paths") > 1)
 
 
-@query(f"WITH {V.HISTORY} SELECT DISTINCT sha, size FROM history WHERE size > 0 AND batch = 3 AND sha NOT IN (SELECT sha FROM history WHERE batch < 3)")
+@query(f"WITH {V.HISTORY}, last AS (SELECT max(batch) AS b FROM history) SELECT DISTINCT sha, size FROM history, last WHERE size > 0 AND batch = b AND sha NOT IN (SELECT sha FROM history, last WHERE batch < b)")
 def new_blobs_anti(s, d):
+    """The last batch against all before it."""
     h = V.history(s, d, content=True)
-    return hexed(ingest.new_blobs(h.where("batch = 3"), h.where("batch < 3").select("sha"))).select("sha", F.octet_length("content").cast("long").alias("size"))
+    last = h.agg(F.max("batch")).first()[0]
+    return hexed(ingest.new_blobs(h.where(F.col("batch") == last), h.where(F.col("batch") < last).select("sha"))).select("sha", F.octet_length("content").cast("long").alias("size"))
 
 
 @query(f"WITH {V.FILES}, base AS (SELECT *, doc_id % 3 AS m FROM files) SELECT path, sha FROM base WHERE m <> 0")
@@ -245,20 +253,98 @@ def blob_lookup_unknown_null(s, d):
     return content.lookup(rows, [V.blobs(s, d)]).select("kind", "text", F.col("blob").isNull().alias("missing"))
 
 
-@query("SELECT store, count(*) AS n FROM (SELECT 'docs' AS store FROM documents UNION ALL SELECT 'bench' FROM benchmark) GROUP BY store")
+@query("SELECT store, sum(n)::BIGINT AS n FROM (SELECT unnest(['tables', 'again']) AS store, n FROM (SELECT (SELECT count(*) FROM documents) + (SELECT count(DISTINCT conv_id) FROM conversations) + (SELECT count(*) FROM benchmark) AS n)) GROUP BY store")
 def union_stores(s, d):
-    a = V.files(s, d).select(F.lit("docs").alias("store"), "path", "size")
-    b = V.table(s, d, "benchmark").select(F.lit("bench").alias("store"), F.col("item_id").cast("string").alias("path"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("store").agg(F.count(F.lit(1)).alias("n"))
+    """The history of two stores in one view, each row marked with its store."""
+    one = T.store(s, d)
+    two = T.store(s, d)
+    two.manifest.store_id = "again"
+    return S.views(s, [one, two])["files"].groupBy("store").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT item_id, sha256(text) AS sha, CASE WHEN item_id % 2 = 0 THEN 'first' ELSE 'second' END AS found FROM benchmark")
+@query("SELECT item_id, sha256(text) AS sha, text FROM benchmark")
 def first_store_wins(s, d):
-    b = V.table(s, d, "benchmark")
-    first = b.where("item_id % 2 = 0").select(F.sha2("text", 256).alias("sha"), F.lit("first").alias("found"), F.lit(0).alias("rank"))
-    second = b.select(F.sha2("text", 256).alias("sha"), F.lit("second").alias("found"), F.lit(1).alias("rank"))
-    best = first.unionByName(second).groupBy("sha").agg(F.min_by("found", "rank").alias("found"))
-    return b.select("item_id", F.sha2("text", 256).alias("sha")).join(best, "sha").select("item_id", "sha", "found")
+    """The first store has every other item; the second has all, but damaged where the first has them too: reading these would fail."""
+    b = V.table(s, d, "benchmark").withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("content", F.col("text").cast("binary"))
+    even = F.col("item_id") % 2 == 0
+    first = b.where(even).select("sha", "content")
+    second = b.select("sha", F.when(even, F.lit(b"damaged")).otherwise(F.col("content")).alias("content"))
+    return content.lookup(b.select("item_id", F.sha2("text", 256).alias("sha")), [first, second]).select("item_id", "sha", "text")
+
+
+# a written store -----------------------------------------------------------------------------
+
+
+@query(f"WITH {T.STORED} SELECT split_part(path, '/', 1) AS top, count(*) AS n, sum(size)::BIGINT AS bytes, max(batch)::BIGINT AS newest FROM stored GROUP BY 1")
+def store_find(s, d):
+    """What is visible of three batches, the logs aside."""
+    f = T.store(s, d).find(path="{src*,items}/*")
+    return f.groupBy(F.split("path", "/")[0].alias("top")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("batch").alias("newest"))
+
+
+@query(f"WITH {T.STORED} SELECT true AS is_dir, split_part(path, '/', 2) AS name, 'src1/' || split_part(path, '/', 2) AS path, count(*) AS n_files, 0::BIGINT AS n_dirs, sum(size)::BIGINT AS size FROM stored WHERE starts_with(path, 'src1/') GROUP BY 2, 3")
+def store_ls(s, d):
+    return T.store(s, d).children("src1")
+
+
+@query(f"WITH {T.STORED} SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(DISTINCT sha) FILTER (size > 0) AS blobs, (SELECT sum(b)::BIGINT FROM (SELECT any_value(size) AS b FROM stored WHERE starts_with(path, 'src2/') GROUP BY sha)) AS blob_bytes FROM stored WHERE starts_with(path, 'src2/')")
+def store_du(s, d):
+    return T.store(s, d).du("src2")
+
+
+@query(f"WITH {T.STORED}, l AS (SELECT path, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM stored WHERE size > 0 AND starts_with(path, 'src3/')) SELECT path, count(*) AS n_lines FROM l WHERE regexp_matches(line, '[0-9]{{2}}') GROUP BY path")
+def store_grep(s, d):
+    return content.grep_count(T.store(s, d).grep(["[0-9]{2}"], "src3"))
+
+
+@query(f"WITH {T.STORED} SELECT path, text FROM stored WHERE path IN (SELECT min(path) FROM stored UNION ALL SELECT max(path) FROM stored)")
+def store_cat(s, d):
+    """The first and the last path of the documents and items."""
+    store = T.store(s, d)
+    ends = store.find(path="{src*,items}/*").agg(F.min("path"), F.max("path")).first()
+    return store.cat(*ends).select("path", content.text_of(F.col("content")).alias("text"))
+
+
+@query(f"WITH {T.STORED} SELECT path, batch::BIGINT AS batch, size, sha, '-rw-r--r--' AS mode_text, '1970-01-01T00:00:00+00:00' AS mtime_text, CASE WHEN size = 0 THEN 0 ELSE 1 END::BIGINT AS parts FROM stored WHERE path = (SELECT min(path) FROM stored)")
+def store_stat(s, d):
+    store = T.store(s, d)
+    return hexed(store.stat(store.find(path="{src*,items}/*").agg(F.min("path")).first()[0])).select("path", "batch", "size", "sha", "mode_text", "mtime_text", "parts")
+
+
+@query("SELECT type, actor, count(*) AS n, count(DISTINCT conv_id) AS logs FROM (SELECT 'turn' AS type, role AS actor, conv_id FROM conversations) GROUP BY type, actor")
+def store_events(s, d):
+    return T.store(s, d).events.groupBy("type", "actor").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trajectory").alias("logs"))
+
+
+@query('SELECT NULL::VARCHAR AS "check", NULL::VARCHAR AS subject FROM range(0)')
+def store_verify(s, d):
+    """No violation, all contents hashed again, nothing left for compaction."""
+    return T.store(s, d).verify(deep=True, compacted=True)
+
+
+@query(f"WITH {T.STORED}, h AS (SELECT sha256(coalesce(text, '')) AS sha, coalesce(text, '') AS text FROM documents UNION ALL SELECT sha256(text), text FROM benchmark) SELECT (SELECT count(*) FROM h) + (SELECT count(*) FROM talk) AS files, (SELECT count(DISTINCT sha) FROM h WHERE text <> '') + (SELECT count(*) FROM talk) AS blobs, (SELECT count(*) FROM docs WHERE path IN (SELECT path FROM items)) AS shadowed")
+def store_counts(s, d):
+    return T.store(s, d).verify_counts()
+
+
+@query("SELECT item_id, text, octet_length(encode(text))::BIGINT AS n FROM benchmark")
+def text_fn(s, d):
+    """``text(sha)`` in SQL: the contents of the last batch, by name and by hex hash."""
+    V.table(s, d, "benchmark").createOrReplaceTempView("benchmark_items")
+    return S.sql(s, [T.store(s, d)], "SELECT item_id, text(f.sha) AS text, octet_length(text(sha2(i.text, 256))) + 0L AS n FROM benchmark_items i JOIN (SELECT DISTINCT sha FROM files WHERE batch = 3) f ON f.sha = unhex(sha2(i.text, 256))")
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n, md5(text) AS digest FROM documents")
+def blob_fn(s, d):
+    """``blob(sha)`` of every document."""
+    V.table(s, d, "documents").createOrReplaceTempView("all_documents")
+    return S.sql(s, [T.store(s, d)], "SELECT doc_id, cast(octet_length(b) AS bigint) AS n, md5(b) AS digest FROM (SELECT doc_id, blob(sha2(text, 256)) AS b FROM all_documents)")
+
+
+@query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS letters FROM (SELECT lang, text FROM documents) GROUP BY lang")
+def contents_join(s, d):
+    """The documented join for many rows: files with the texts of their contents."""
+    return S.sql(s, [T.store(s, d)], "SELECT split(path, '/')[1] AS lang, count(*) AS n, cast(sum(length(text)) AS bigint) AS letters FROM files JOIN contents USING (sha) WHERE batch = 1 GROUP BY 1")
 
 
 # retention -------------------------------------------------------------------------------------
@@ -333,22 +419,55 @@ def tool_calls_failed(s, d):
 @query(f"WITH {V.EVENTS} SELECT id, seq, last_value(CASE WHEN type = 'signup' THEN 'n' || exit_code END IGNORE NULLS) OVER (PARTITION BY trajectory, exit_code % 4 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tool_name FROM log")
 def call_name_asof(s, d):
     """The newest name given for a call id, as of each event."""
-    w = Window.partitionBy("trajectory", F.col("exit_code") % 4).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     name = F.when(F.col("type") == "signup", F.concat(F.lit("n"), "exit_code"))
-    return V.event_log(s, d).select("id", "seq", F.last(name, ignorenulls=True).over(w).alias("tool_name"))
+    call = F.struct((F.col("exit_code") % 4).cast("string").alias("call"), name.alias("name"))
+    return events.resolve_calls(V.event_log(s, d).withColumn("mentions", F.array(call)).withColumn("tool_name", F.lit(None).cast("string"))).select("id", "seq", "tool_name")
 
 
 @query(f"WITH {V.EVENTS} SELECT id, CASE WHEN type = 'signup' THEN NULL ELSE last_value(CASE WHEN type = 'signup' THEN {{'v': CASE WHEN exit_code % 2 = 0 THEN id END}} END IGNORE NULLS) OVER (PARTITION BY trajectory ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW).v END AS parent_id FROM log")
 def thread_parent_asof(s, d):
     """The thread begun last; one without an id resets the parent."""
-    w = Window.partitionBy("trajectory").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.when(F.col("type") == "signup", F.struct(F.when(F.col("exit_code") % 2 == 0, F.col("id")).alias("v")))
-    return V.event_log(s, d).select("id", F.when(F.col("type") != "signup", F.last(begun, ignorenulls=True).over(w)["v"]).alias("parent_id"))
+    begins = F.col("type") == "signup"
+    opens = F.when(begins, F.struct(F.when(F.col("exit_code") % 2 == 0, F.col("id")).alias("id")))
+    rows = V.event_log(s, d).withColumns({"opens": opens, "follows": ~begins, "parent_id": F.lit(None).cast("string")})
+    return events.resolve_threads(rows).select("id", "parent_id")
+
+
+EVENT_COLS = ["trajectory", "seq", "type", "id", "parent_id", "actor", "tool_name", "exit_code", "payload_json"]
+
+
+def event_format(name: str, fmt: str | None) -> None:
+    def run(s, d):
+        return events.parse_events(V.event_lines(s, d, fmt), fmt or events.AUTOMATIC).select(EVENT_COLS)
+
+    run.__name__ = name
+    query(V.parsed(fmt))(run)
+
+
+event_format("events_calls", "copilot-cli")
+event_format("events_threads", "codex-cli")
+event_format("events_messages", "claude-code")
+event_format("events_generic", "jsonl")
+event_format("events_recognised", None)
+
+
+@query("""WITH o AS (SELECT 'c' || o_custkey AS trajectory, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS seq, o_orderkey AS k, o_orderstatus AS status FROM orders)
+SELECT trajectory, (2 * seq)::INTEGER AS seq, CASE WHEN k % 5 = 0 THEN '_unparsed' ELSE 'e' || status END AS type, CASE WHEN k % 5 <> 0 THEN 'u' || k END AS id, CASE WHEN k % 5 <> 0 THEN (k % 100)::INTEGER END AS exit_code,
+ CASE WHEN k % 5 = 0 THEN NULL WHEN k % 2 = 0 THEN k * 1000000 ELSE (k + 1000000000000) * 1000 END AS ts_us, CASE WHEN k % 5 = 0 THEN '"{\\"k\\": ' || k || '"' END AS unparsed FROM o""")
+def event_values(s, d):
+    """Values of a wrong type are skipped, seconds and milliseconds told apart, blank lines counted, broken lines kept."""
+    o = V.table(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    line = F.expr("""CASE WHEN k % 5 = 0 THEN '{"k": ' || k ELSE '{"type":7,"event":"e' || status || '","id":' || k || ',"uuid":"u' || k || '","exit_code":4294967296,"exitCode":' || k % 100 || '.0,"returncode":' || k % 100 || ',"timestamp":"soon","ts":' || CASE WHEN k % 2 = 0 THEN k ELSE k + 1000000000000 END || '}' END""")
+    logs = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"]), "\n \t\r\n").alias("content"))
+    got = events.parse_events(logs.select(F.concat(F.lit("c"), "o_custkey").alias("path"), "content"), "jsonl")
+    return got.select("trajectory", "seq", "type", "id", "exit_code", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.when(F.col("type") == "_unparsed", F.col("payload_json")).alias("unparsed"))
 
 
-@query("SELECT doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS seq, unnest(string_split(text, chr(10))) AS line FROM documents")
+@query("SELECT doc_id, (n - 1)::INTEGER AS seq FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''")
 def seq_numbering(s, d):
-    return V.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    """Physical lines: blank ones take a number and give no event."""
+    logs = V.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return events.scan_logs(logs, "jsonl").select(F.col("trajectory").cast("long").alias("doc_id"), "seq")
 
 
 @query(f"WITH {V.EVENTS} SELECT type, exit_code % 10 AS k, count(*) AS n FROM log GROUP BY ROLLUP (type, exit_code % 10)")
@@ -356,11 +475,13 @@ def events_per_attr_rollup(s, d):
     return V.event_log(s, d).withColumn("k", F.col("exit_code") % 10).rollup("type", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {V.FILES} SELECT max(lang || '-' || source) AS label FROM files WHERE lang || '-' || source NOT IN ('fr-src9', 'fr-src8')")
+@query("SELECT max(lang || '-' || source) AS label FROM documents WHERE lang || '-' || source NOT IN (SELECT max(lang || '-' || source) FROM documents)")
 def label_topk(s, d):
-    have = V.files(s, d).select(F.concat_ws("-", F.col("attrs")["lang"], F.col("attrs")["source"]).alias("label")).distinct()
-    packed = s.range(1).select(F.explode(F.array(F.lit("fr-src9"), F.lit("fr-src8"))).alias("label"))
-    return have.join(packed, "label", "left_anti").agg(F.max("label").alias("label"))
+    """The greatest label that is ready and not packed yet: the second greatest."""
+    listing = V.table(s, d, "documents").select(F.concat("lang", F.lit("-"), "source", F.lit("/"), "doc_id", F.lit("/DONE")).alias("path"))
+    adapter = events.Adapter("labels", markers=("**/DONE",), label_ancestor_pattern="^[a-z]+-")
+    first = watch.next_label(listing, adapter, [])
+    return s.createDataFrame([(watch.next_label(listing, adapter, [first]),)], "label string")
 
 
 # integrity and maintenance -----------------------------------------------------------------------
@@ -404,10 +525,11 @@ def raw_path_limits(s, d):
     return maintenance.over_limits(staged, [r"/(?P<lang>en|fr)/[0-9]+"], 50, 1_000_000_000)
 
 
-@query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE 'undeclared' END AS problem FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0 OR doc_id % 3 <> 0 AND doc_id % 2 = 1")
+@query("SELECT path, problem FROM (SELECT doc_id::VARCHAR AS path, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT conv_id * 2 FROM conversations) UNION ALL SELECT DISTINCT (conv_id * 2)::VARCHAR, 'undeclared' FROM conversations WHERE conv_id * 2 NOT IN (SELECT doc_id FROM documents))")
 def inventory_diff(s, d):
-    ids = V.table(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"))
-    return maintenance.inventory_diff(ids.where("doc_id % 3 = 0").select("path"), ids.where("doc_id % 2 = 1").select("path"))
+    """All documents are declared; what is there is named after conversations."""
+    declared = V.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    return maintenance.inventory_diff(declared, V.table(s, d, "conversations").select((F.col("conv_id") * 2).cast("string").alias("path")).distinct())
 
 
 @query(f"WITH {V.FILES} SELECT count(*) AS rows, sum(size)::BIGINT AS logical_bytes, count(DISTINCT sha) FILTER (size > 0) AS blobs, (SELECT sum(b)::BIGINT FROM (SELECT any_value(size) AS b FROM files GROUP BY sha)) AS blob_bytes, count(DISTINCT sha) FILTER (size > 0) AS parts, count(DISTINCT sha) FILTER (size > 0) AS unique_parts, 0::BIGINT AS duplicate_parts, 0::BIGINT AS duplicate_bytes, 0::BIGINT AS unreferenced, 0::BIGINT AS unreferenced_bytes FROM files")
@@ -462,7 +584,7 @@ def relational(name: str, tables: tuple[str, ...], text: str, oracle: str | None
 
 relational("join_inner_agg", ("orders", "customer", "nation"), "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 relational("join_left", ("customer", "orders"), "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
-relational("join_full", ("supplier", "nation"), "SELECT n_name, s_name FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) a FULL OUTER JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 1) b ON s_nationkey = n_nationkey")
+relational("join_full", ("supplier", "nation"), "SELECT n_name, s_name FROM supplier FULL OUTER JOIN nation ON s_nationkey + s_suppkey % 7 = n_nationkey")
 relational("join_semi", ("orders", "lineitem"), "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority")
 relational("join_anti", ("customer", "orders"), "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
 relational("join_range", ("nation", "region"), "SELECT n_name, r_name FROM nation JOIN region ON n_nationkey BETWEEN r_regionkey * 5 AND r_regionkey * 5 + 4")

@@ -66,6 +66,52 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(path.alias("trajectory"), seq.cast("int").alias("seq"), "ts", F.col("event_type").alias("type"), F.col("event_id").cast("string").alias("id"), F.get_json_object("props", "$.k").try_cast("int").alias("exit_code"), F.col("props").alias("payload_json"), "user_id", "value")
 
 
+#: Lines of each format from an event (id, type, k), and what a parser is to make of them (SQL over ``log`` with k).
+LINES = {
+    "copilot-cli": """CASE type WHEN 'click' THEN '{"type":"tool.start","id":"' || id || '","data":{"toolCallId":"c' || k % 4 || '", "toolName":"n' || k || '"}}'
+ WHEN 'error' THEN '{"type":"tool.end","id":"' || id || '","data":{"toolCallId":"c' || k % 4 || '","exitCode":' || k || '}}' WHEN 'view' THEN '{"type":"assistant.turn","id":"' || id || '","data":[1e2, ' || k || ']}'
+ WHEN 'purchase' THEN '{"type":"user.buy","id":"' || id || '","parentId":"p' || k || '","data":{}}' ELSE '{"type":"session.start","id":' || id || ',"data":{}}' END""",
+    "codex-cli": """CASE type WHEN 'signup' THEN '{"type":"thread.started"' || CASE WHEN k % 2 = 0 THEN ',"thread_id":"t' || id || '"}' ELSE '}' END
+ WHEN 'click' THEN '{"type":"item.completed","item":{"id":"i' || id || '","type":"command_execution","exit_code":' || k || '}}' WHEN 'error' THEN '{"type":"item.completed","item":{"type":"mcp_tool_call","name":"m' || k || '","exit_code":' || k || '}}'
+ WHEN 'view' THEN '{"type":"item.updated","item":{"id":"i' || id || '","type":"reasoning","exit_code":' || k || '}}' ELSE '{"type":"turn.completed","id":"' || id || '","parent_id":"p' || k || '"}' END""",
+    "claude-code": """CASE type WHEN 'view' THEN '{"type":"assistant","uuid":"' || id || '","message":{"role":"model","content":[{"type":"text"},{"type":"tool_use","id":"c' || k % 4 || '","name":"n' || k || '"}]}}'
+ WHEN 'error' THEN '{"type":"user","uuid":"' || id || '","parentUuid":"p' || k || '","message":{"content":[{"type":"tool_result","tool_use_id":"c' || k % 4 || '"}]}}'
+ WHEN 'signup' THEN '{"type":"user","uuid":"' || id || '","message":{"content":[{"type":"tool_result","tool_use_id":"c' || k % 4 || '"},{"type":"tool_use","id":"c' || (k + 1) % 4 || '","name":"s' || k || '"}]}}'
+ WHEN 'click' THEN '{"type":"system","uuid":"' || id || '","message":{"content":"plain"}}' ELSE '{"type":"summary"}' END""",
+    "jsonl": """'{"event":"' || type || '","event_id":"' || id || '","status_code":' || k || ',"author":' || CASE WHEN k % 3 = 0 THEN '7' ELSE '"a' || k || '"' END || '}'""",
+}
+_NAMED = """mentions AS (SELECT trajectory, seq, 1 AS part, k % 4 AS call, 'n' || k AS name FROM log WHERE type = 'view' UNION ALL SELECT trajectory, seq, 0, k % 4, NULL FROM log WHERE type IN ('error', 'signup') UNION ALL SELECT trajectory, seq, 1, (k + 1) % 4, 's' || k FROM log WHERE type = 'signup'),
+known AS (SELECT trajectory, seq, part, last_value(name IGNORE NULLS) OVER (PARTITION BY trajectory, call ORDER BY seq, part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS name FROM mentions),
+used AS (SELECT trajectory, seq, arg_min(name, part) AS name FROM known WHERE name IS NOT NULL GROUP BY trajectory, seq)"""
+PARSED = {
+    "copilot-cli": """SELECT trajectory, seq, CASE type WHEN 'click' THEN 'tool.start' WHEN 'error' THEN 'tool.end' WHEN 'view' THEN 'assistant.turn' WHEN 'purchase' THEN 'user.buy' ELSE 'session.start' END AS type, CASE WHEN type <> 'signup' THEN id END AS id, CASE WHEN type = 'purchase' THEN 'p' || k END AS parent_id,
+ CASE type WHEN 'view' THEN 'assistant' WHEN 'purchase' THEN 'user' WHEN 'signup' THEN 'system' ELSE 'tool' END AS actor, CASE type WHEN 'click' THEN 'n' || k WHEN 'error' THEN last_value(CASE WHEN type = 'click' THEN 'n' || k END IGNORE NULLS) OVER (PARTITION BY trajectory, k % 4 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS tool_name, CASE WHEN type = 'error' THEN k END AS exit_code,
+ CASE type WHEN 'click' THEN '{"toolCallId":"c' || k % 4 || '", "toolName":"n' || k || '"}' WHEN 'error' THEN '{"toolCallId":"c' || k % 4 || '","exitCode":' || k || '}' WHEN 'view' THEN '[1e2, ' || k || ']' ELSE '{}' END AS payload_json FROM log""",
+    "codex-cli": f"""SELECT trajectory, seq, CASE type WHEN 'signup' THEN 'thread.started' WHEN 'view' THEN 'item.updated' WHEN 'purchase' THEN 'turn.completed' ELSE 'item.completed' END AS type, CASE type WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN 't' || id END WHEN 'purchase' THEN id WHEN 'error' THEN NULL ELSE 'i' || id END AS id,
+ CASE WHEN type = 'purchase' THEN 'p' || k WHEN type <> 'signup' THEN last_value(CASE WHEN type = 'signup' THEN {{'v': CASE WHEN k % 2 = 0 THEN 't' || id END}} END IGNORE NULLS) OVER (PARTITION BY trajectory ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW).v END AS parent_id,
+ CASE type WHEN 'click' THEN 'tool' WHEN 'error' THEN 'tool' WHEN 'view' THEN 'assistant' END AS actor, CASE type WHEN 'click' THEN 'command_execution' WHEN 'error' THEN 'm' || k END AS tool_name, CASE WHEN type IN ('click', 'error') THEN k END AS exit_code, {LINES["codex-cli"]} AS payload_json FROM log""",
+    "claude-code": f"""SELECT l.trajectory, l.seq, CASE type WHEN 'view' THEN 'assistant' WHEN 'click' THEN 'system' WHEN 'purchase' THEN 'summary' ELSE 'user' END AS type, CASE WHEN type <> 'purchase' THEN id END AS id, CASE WHEN type = 'error' THEN 'p' || k END AS parent_id,
+ CASE type WHEN 'view' THEN 'model' WHEN 'click' THEN 'system' WHEN 'purchase' THEN NULL ELSE 'user' END AS actor, name AS tool_name, NULL::INTEGER AS exit_code, {LINES["claude-code"]} AS payload_json FROM log l LEFT JOIN used u ON l.trajectory = u.trajectory AND l.seq = u.seq""",
+    "jsonl": f"""SELECT trajectory, seq, type, id, NULL AS parent_id, CASE WHEN k % 3 <> 0 THEN 'a' || k END AS actor, NULL AS tool_name, k AS exit_code, {LINES["jsonl"]} AS payload_json FROM log""",
+}
+
+
+def event_lines(spark: SparkSession, sf_dir: str, fmt: str | None = None) -> DataFrame:
+    """Logs (path, content) of all users in one format, or in four by the user's number."""
+    log = event_log(spark, sf_dir).withColumn("k", F.coalesce("exit_code", F.lit(0)))
+    line = F.expr(LINES[fmt]) if fmt else F.expr(f"CASE user_id % 4 {' '.join(f'WHEN {i} THEN {text}' for i, text in enumerate(LINES.values()))} END")
+    rows = log.groupBy(F.col("trajectory").alias("path")).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("l"))
+    return rows.select("path", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
+
+
+def parsed(fmt: str | None = None) -> str:
+    """DuckDB SQL of the events of ``event_lines``."""
+    log = EVENTS.replace("log AS (", "raw AS (", 1) + ", log AS (SELECT *, coalesce(exit_code, 0) AS k FROM raw)"
+    one = lambda f: f"SELECT p.* FROM ({PARSED[f]}) p"
+    body = one(fmt) if fmt else " UNION ALL ".join(f"SELECT p.* FROM ({PARSED[f]}) p JOIN (SELECT DISTINCT trajectory, user_id FROM raw) w ON w.trajectory = p.trajectory AND user_id % 4 = {i}" for i, f in enumerate(LINES))
+    return f"WITH {log}, {_NAMED} {body}"
+
+
 #: The same as CTEs.
 FILES = """files AS (SELECT doc_id, source || '/' || lang || '/doc-' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS path, source || '/' || lang AS dir,
  'doc-' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS name, CASE WHEN text = '' THEN 2 ELSE 0 END AS kind, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha, lang, source, text, 1::BIGINT AS batch FROM documents)"""

@@ -95,9 +95,20 @@ class Manifest:
         os.replace(beside, target)
 
 
+class Lease:
+    """A reader's hold on the files of a store: while any is held, nothing is removed. It ends with ``release`` or with the object."""
+
+    def __init__(self, root: str):
+        self._file = open(os.path.join(root, "READERS"), "a")  # noqa: SIM115
+        fcntl.flock(self._file, fcntl.LOCK_SH)  # waits for a removal that is under way
+
+    def release(self) -> None:
+        self._file.close()
+
+
 @contextlib.contextmanager
 def locked(root: str, exclusive: bool):
-    """One writer, or any number of readers."""
+    """One writer, or any number that only look."""
     with open(os.path.join(root, "LOCK"), "a") as f:
         try:
             fcntl.flock(f, (fcntl.LOCK_EX if exclusive else fcntl.LOCK_SH) | fcntl.LOCK_NB)
@@ -106,6 +117,16 @@ def locked(root: str, exclusive: bool):
         yield
 
 
+def sweep(root: str, manifest: Manifest) -> list[str]:
+    """``vacuum``, unless a reader holds the store: what it may still read is removed by a later writer."""
+    with open(os.path.join(root, "READERS"), "a") as f:
+        try:
+            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except BlockingIOError:
+            return []
+        return vacuum(root, manifest)
+
+
 def vacuum(root: str, manifest: Manifest) -> list[str]:
     """Remove what no manifest declares: leftovers of runs that died before publishing."""
     import shutil

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import copy
 import os
 import shutil
+import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 from .functions import paths as P
 from .operators import content, events, ingest, maintenance, namespace, retention
 from .sources import walk
-from .sources.manifest import Batch, Manifest, locked, vacuum
+from .sources.manifest import Batch, Lease, Manifest, locked, sweep
 
 FILES = "path string, dir string, name string, kind short, mode int, size long, sha binary, mtime_ns long, batch long, attrs map<string,string>"
 SCHEMAS = {
@@ -24,15 +30,53 @@ SCHEMAS = {
 }
 
 
+#: Bytes that a written file has at most; a table is cut by ranges until each has.
+SEGMENT_BYTES = 256 << 20
+
+
 class Store:
-    """A handle bound to the manifest it was opened with: its DataFrames list that snapshot's files, whatever is appended later."""
+    """A handle bound to the manifest it was opened with: its DataFrames list that snapshot's files, whatever is appended later.
+
+    The handle holds a reader's lease: no writer removes a file that it may read. Keep it while its DataFrames are in
+    use; the lease ends with ``close``, with a ``with`` block, or with the handle. Writing verbs take the writer's lock, read
+    the newest manifest under it, publish once, and leave the handle bound to what they published.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, os.path.abspath(root)
-        self.manifest = Manifest.load(self.root)
-        missing = [p for p in self.manifest.every() if not os.path.isdir(os.path.join(self.root, p))]
+        self._bind()
+
+    def _bind(self) -> None:
+        lease = Lease(self.root)
+        manifest = Manifest.load(self.root)
+        missing = [p for p in manifest.every() if not os.path.isdir(os.path.join(self.root, p))]
         if missing:
+            lease.release()
             raise FileNotFoundError(f"declared but absent: {sorted(missing)[:20]}")
+        self._lease, self.manifest = lease, manifest
+
+    def close(self) -> None:
+        self._lease.release()
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    @contextlib.contextmanager
+    def _writing(self) -> Iterator[Manifest]:
+        """The only writer, on the newest manifest: a copy of it is yielded, and published if the block ends well. Whatever else was written goes."""
+        with locked(self.root, exclusive=True):
+            self._bind()
+            new = copy.deepcopy(self.manifest)
+            try:
+                yield new
+                new.publish(self.root)
+            finally:
+                self._lease.release()
+                sweep(self.root, Manifest.load(self.root))
+                self._bind()
 
     @staticmethod
     def create(spark: SparkSession, root: str, store_id: str, adapter: str = "none", rules: str = "none", source: str = "") -> Store:
@@ -44,9 +88,9 @@ class Store:
     def refresh(self) -> Store:
         return Store(self.spark, self.root)
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, manifest: Manifest | None = None) -> DataFrame:
         """All batches of a table."""
-        listed = [os.path.join(self.root, p) for p in self.manifest.artifacts(name)]
+        listed = [P.literal_path(os.path.join(self.root, p)) for p in (manifest or self.manifest).artifacts(name)]
         if not listed:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(*listed)
@@ -57,7 +101,15 @@ class Store:
 
     @property
     def visible(self) -> DataFrame:
-        return namespace.visible(self.history, len(self.manifest.batches))
+        return self.visible_under("")
+
+    def visible_under(self, *directories: str) -> DataFrame:
+        """What is visible at and below some directories (or paths); the prefixes reach the scan."""
+        history, n = self.history, len(self.manifest.batches)
+        if n == 1 or "" in directories:
+            return namespace.visible(history, n)
+        tests = [namespace.deciding(d) for d in directories]
+        return namespace.visible(history.where(reduce(or_, tests)), n)
 
     @property
     def blobs(self) -> DataFrame:
@@ -70,9 +122,19 @@ class Store:
 
     @property
     def batches(self) -> DataFrame:
-        rows = [(b.id, b.created, b.label, b.paths, b.bytes, b.new_blobs, b.new_blob_bytes, b.excluded) for b in self.manifest.batches]
+        return self._batches(self.manifest)
+
+    def _batches(self, manifest: Manifest) -> DataFrame:
+        rows = [(b.id, b.created, b.label, b.paths, b.bytes, b.new_blobs, b.new_blob_bytes, b.excluded) for b in manifest.batches]
         return self.spark.createDataFrame(rows, "id long, created string, label string, paths long, bytes long, new_blobs long, new_blob_bytes long, excluded long")
 
+    def totals(self) -> dict:
+        """Rows, bytes, contents and excluded paths over all batches, and the bytes that the store takes, from the manifest and the file system alone."""
+        sums = {k: sum(getattr(b, k) for b in self.manifest.batches) for k in ("paths", "bytes", "new_blobs", "new_blob_bytes", "excluded")}
+        taken = lambda paths: sum(os.path.getsize(os.path.join(base, f)) for p in paths for base, _, names in os.walk(os.path.join(self.root, p)) for f in names)
+        packs = self.manifest.artifacts("blobs")
+        return sums | {"batches": len(self.manifest.batches), "content_bytes": taken(packs), "metadata_bytes": taken(self.manifest.every() - set(packs))}
+
     @property
     def adapter(self) -> events.Adapter:
         return events.resolve(self.manifest.adapter["name"])
@@ -80,93 +142,150 @@ class Store:
     # verbs ------------------------------------------------------------
 
     def files_under(self, directory: str = "") -> DataFrame:
-        return namespace.files_under(self.visible, P.normalise(directory))
+        directory = P.normalise(directory)
+        return namespace.files_under(self.visible_under(directory), directory)
 
     def children(self, directory: str = "") -> DataFrame:
-        return namespace.children(self.visible, P.normalise(directory))
+        """``ls``: of a single batch, from the stored directory rows."""
+        directory = P.normalise(directory)
+        if len(self.manifest.batches) == 1:
+            return namespace.stored_children(self.history, self.table("dirs"), directory)
+        return namespace.children(self.visible_under(directory), directory)
 
     def tree(self, directory: str = "", depth: int = 3, dirs_only: bool = False) -> DataFrame:
-        return namespace.tree(self.visible, P.normalise(directory), depth, dirs_only)
+        directory = P.normalise(directory)
+        return namespace.tree(self.visible_under(directory), directory, depth, dirs_only)
 
     def find(self, directory: str = "", **tests) -> DataFrame:
-        return namespace.find(self.visible, P.normalise(directory), **tests)
+        directory = P.normalise(directory)
+        return namespace.find(self.visible_under(directory), directory, **tests)
 
     def du(self, directory: str = "") -> DataFrame:
-        return namespace.du(self.visible, P.normalise(directory))
+        directory = P.normalise(directory)
+        return namespace.du(self.visible_under(directory), directory)
 
     def stat(self, path: str) -> DataFrame:
-        return namespace.stat(self.visible, P.normalise(path))
+        path = P.normalise(path)
+        return namespace.stat(self.visible_under(path), path, self.blobs)
 
     def dir_info(self, directory: str = "") -> DataFrame:
-        return namespace.rollup(self.visible).where(F.col("dir") == P.normalise(directory))
+        directory = P.normalise(directory)
+        if len(self.manifest.batches) == 1:
+            return self.table("dirs").where(F.col("dir") == directory).drop("batch")
+        inside = self.visible_under(directory).where(P.subtree(F.col("path"), directory))
+        return namespace.rollup(inside).where(F.col("dir") == directory)
 
     def cat(self, *names: str) -> DataFrame:
-        return content.cat(self.visible, self.blobs, [P.normalise(p) for p in names])
+        names = [P.normalise(p) for p in names]
+        return content.cat(self.visible_under(*names), self.blobs, names)
 
     def grep(self, patterns: list[str], directory: str = "", **options) -> DataFrame:
-        return content.grep(self.visible, self.blobs, patterns, P.normalise(directory), **options)
+        directory = P.normalise(directory)
+        return content.grep(self.visible_under(directory), self.blobs, patterns, directory, **options)
 
-    def extract(self, target: str, directory: str = "", mtime: bool = False) -> int:
-        return content.extract(self.visible.where(P.is_under(F.col("path"), P.normalise(directory))), self.blobs, target, mtime)
+    def extract(self, target: str, directory: str = "", mtime: bool = False, link: bool = False) -> int:
+        directory = P.normalise(directory)
+        return content.extract(self.visible_under(directory).where(P.is_under(F.col("path"), directory)), self.blobs, target, mtime, link)
 
-    def verify(self, deep: bool = False) -> DataFrame:
-        return maintenance.verify(self.history, self.table("dirs"), self.blobs, self.batches, deep)
+    def edit(self, path: str, change) -> str:
+        """The difference that ``change(text) -> text`` would make to a stored file; nothing is written back."""
+        row = self.cat(path).first()
+        if row is None:
+            raise FileNotFoundError(path)
+        text = bytes(row.content).decode(errors="replace")
+        return content.difference(text, change(text), P.normalise(path))
+
+    def verify(self, deep: bool = False, compacted: bool = False) -> DataFrame:
+        return self._verify(self.manifest, deep, compacted)
+
+    def _verify(self, manifest: Manifest, deep: bool, compacted: bool = False) -> DataFrame:
+        files = self.table("files", manifest)
+        found = maintenance.verify(files, self.table("dirs", manifest), self.table("blobs", manifest).drop("batch"), self._batches(manifest), deep, compacted)
+        return found.unionByName(maintenance.order_problems(files)) if manifest.artifacts("files") else found
+
+    def verify_counts(self) -> DataFrame:
+        return maintenance.verify_counts(self.history, self.blobs, len(self.manifest.batches))
 
     # writing ----------------------------------------------------------
 
-    def _write(self, df: DataFrame, rel: str) -> str:
-        # the layout never partitions by a column name, so nothing in a folder's name becomes a column
-        df.write.option("compression", "zstd").parquet(os.path.join(self.root, rel))
-        return rel
+    def _write(self, df: DataFrame, rel: str, by: tuple[str, ...] = (), expect: int = 0) -> str:
+        """Write a folder, cut and sorted by ``by`` into files of at most ``SEGMENT_BYTES``; ``expect``: bytes it may have. A row beyond that limit is an error."""
+        # the layout never partitions by a column of a table, so nothing in a folder's name becomes one
+        path, n = os.path.join(self.root, rel), expect // (SEGMENT_BYTES // 2) + 1
+        while True:
+            cut = df.repartitionByRange(*([n] if n > 1 else []), *by).sortWithinPartitions(*by) if by else df
+            cut.write.option("compression", "zstd").parquet(path)
+            largest = max((os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet")), default=0)
+            if largest <= SEGMENT_BYTES or not by:
+                return rel
+            rows = self.spark.read.parquet(path).count()
+            if n > 2 * rows:
+                raise ValueError(f"a row of {rel} takes more than {SEGMENT_BYTES} bytes")
+            n = max(2 * n, n * -(-largest // SEGMENT_BYTES) * 2)
+            shutil.rmtree(path)
 
     def append(self, entries: DataFrame, label: str | None = None) -> Batch:
         """Store ``entries(path, kind, mode, size, mtime_ns, content[, head, problem])`` as the next batch.
 
         Rows equal to what is visible, and contents already stored, are not stored again; nothing new is still a batch.
         """
-        with locked(self.root, exclusive=True):
-            manifest = Manifest.load(self.root)
-            vacuum(self.root, manifest)
+        return self._append(lambda scratch: entries, label)
+
+    def _append(self, read, label: str | None) -> Batch:
+        with self._writing() as manifest:
             adapter, profile = self.adapter, retention.Profile.resolve(manifest.rules["name"])
             number = max([0, *(b.id for b in manifest.batches)]) + 1
-            base = f"catalog/{number:06d}"
-            deleted = self.spark.createDataFrame([(d["path"],) for d in manifest.deleted], "path string")
-            if "problem" not in entries.columns:
-                entries = entries.withColumn("problem", F.lit(None).cast("string"))
-            # the source is read once: what is decided is written, and all that follows reads it back
+            base = f"catalog/{number:06d}-{uuid.uuid4().hex[:8]}"
             staged = os.path.join(self.root, base, "staged.tmp")
-            decided = retention.decide(entries, profile, deleted if manifest.deleted else None)
-            decided.write.parquet(f"{staged}/entries")
-            decided = self.spark.read.parquet(f"{staged}/entries")
+            os.makedirs(staged)
+            deleted = self.spark.createDataFrame([(d["path"],) for d in manifest.deleted], "path string")
+            entries = read(f"{staged}/walk")
+            for name, kind in (("problem", "string"), ("piece", "int"), ("sha", "binary")):
+                if name not in entries.columns:
+                    entries = entries.withColumn(name, F.lit(None).cast(kind))
+            # the source is read once: what it gave is written, and all that follows reads it back
+            entries.write.parquet(f"{staged}/source")
+            entries = self.spark.read.schema(entries.schema).parquet(f"{staged}/source")
+            pieces = entries.where("piece is not null").select("sha", "piece", "content")
+            decided = retention.decide(entries.where("piece is null"), profile, deleted if manifest.deleted else None)
             errors = [f"{r.path}: {r.problem}" for r in decided.where("problem is not null and problem <> 'special-file'").select("path", "problem").limit(20).collect()]
             special = decided.where("problem = 'special-file'").select("path", F.col("size").cast("long"), F.lit("special-file").alias("rule"))
             decided = decided.where("problem is null")
             out = retention.excluded(decided).select("path", F.col("size").cast("long"), "rule").unionByName(special)
             rows = ingest.as_rows(decided.where("rule is null"), adapter.attributes(F.col("path")), number)
-            before = namespace.visible(self.history, len(manifest.batches)) if manifest.batches else self.spark.createDataFrame([], FILES)
+            before = self.visible if manifest.batches else self.spark.createDataFrame([], FILES)
             ingest.changed(rows, before).write.parquet(f"{staged}/rows")
             new = self.spark.read.parquet(f"{staged}/rows")
-            files = new.drop("content")
-            blobs = ingest.as_parts(ingest.new_blobs(new, self.table("blobs"))).withColumn("batch", F.lit(number).cast("long"))
+            files, known = new.drop("content"), self.table("blobs").select("sha")
+            blobs = ingest.as_parts(ingest.new_blobs(new, known)).unionByName(ingest.pieces_as_parts(pieces, new, known, walk.PIECE))
+            blobs.write.parquet(f"{staged}/blobs")
+            blobs = self.spark.read.parquet(f"{staged}/blobs").withColumn("batch", F.lit(number).cast("long"))
+            size = blobs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
             segments = {
-                "files": [self._write(files.repartitionByRange("path").sortWithinPartitions("path"), f"{base}/files")],
-                "dirs": [self._write(namespace.rollup(files, per_batch=True), f"{base}/dirs")],
-                "excluded": [self._write(out.withColumn("batch", F.lit(number).cast("long")), f"{base}/excluded")],
-                "blobs": [self._write(blobs.repartitionByRange("sha", "part").sortWithinPartitions("sha", "part"), f"{base}/blobs")],
+                "files": [self._write(files, f"{base}/files", ("path",))],
+                "dirs": [self._write(namespace.rollup(files, per_batch=True), f"{base}/dirs", ("dir",))],
+                "excluded": [self._write(out.withColumn("batch", F.lit(number).cast("long")), f"{base}/excluded", ("path",))],
+                "blobs": [self._write(blobs, f"{base}/blobs", ("sha", "part"), size)],
             }
             derived = []
             if adapter.format:
-                logs = new.where(adapter.is_trajectory(F.col("path"), F.col("kind"))).select("path", "content")
+                logs = self._logs(new, pieces, adapter)
                 found = events.parse_events(logs, adapter.format, adapter.version).withColumn("batch", F.lit(number).cast("long"))
-                derived.append(self._write(found, f"derived/{adapter.name.replace('/', '_')}/events-{number:06d}"))
-            read = lambda t: self.spark.read.schema(SCHEMAS[t]).parquet(os.path.join(self.root, segments[t][0]))
-            counts = ingest.summary(read("files"), read("blobs"), read("excluded"))
+                derived.append(self._write(found, f"derived/{adapter.name.replace('/', '_')}/events-{number:06d}-{base[-8:]}", ("trajectory", "seq")))
+            read_ = lambda t: self.spark.read.schema(SCHEMAS[t]).parquet(os.path.join(self.root, segments[t][0]))
+            counts = ingest.summary(read_("files"), read_("blobs"), read_("excluded"))
             shutil.rmtree(staged)
             batch = Batch(number, datetime.now(timezone.utc).isoformat(), label, segments=segments, derived=derived, errors=errors, **counts)
             manifest.batches.append(batch)
-            manifest.publish(self.root)
-            self.manifest = manifest
-            return batch
+        return batch
+
+    def _logs(self, new: DataFrame, pieces: DataFrame, adapter: events.Adapter) -> DataFrame:
+        """``path, content`` of the logs among new rows. A log is one cell of a task: those in pieces are joined again."""
+        logs = new.where(adapter.is_trajectory(F.col("path"), F.col("kind"))).select("path", "sha", "content")
+        large = logs.where("content is null").select("path", "sha")
+        whole = pieces.dropDuplicates(["sha", "piece"]).join(large, "sha").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("piece", "content"))).alias("p"))
+        whole = whole.select("path", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.content))").alias("content"))
+        return logs.where("content is not null").select("path", "content").unionByName(whole)
 
     def pack(self, source: str, label: str | None = None) -> Batch:
         """Append a source tree."""
@@ -176,93 +295,93 @@ class Store:
         def prune(rel: str) -> bool:
             return not subtrees and any(part in profile.exclude_dirs for part in rel.split("/"))
 
-        entries = walk.read_tree(self.spark, source, prune)
-        gone = [d for d in walk.directories(source) if d and prune(d) and not prune(os.path.dirname(d))]
-        if gone:  # a pruned directory is one excluded row of size 0
-            marks = self.spark.createDataFrame([(f"{d}/.", 0, 0o644, 0, 0) for d in gone], "path string, kind int, mode int, size long, mtime_ns long")
-            entries = entries.unionByName(marks, allowMissingColumns=True)
-        return self.append(entries, label)
+        return self._append(lambda scratch: walk.read_tree(self.spark, source, prune, scratch), label)
 
     def derive(self) -> None:
         """Parse the visible logs anew: one generation of events takes the place of all."""
-        with locked(self.root, exclusive=True):
-            manifest, adapter = Manifest.load(self.root), self.adapter
+        with self._writing() as manifest:
+            adapter, last = self.adapter, manifest.batches[-1]
             logs = content.with_content(self.visible.where(adapter.is_trajectory(F.col("path"), F.col("kind"))), self.blobs).select("path", "content")
-            last = manifest.batches[-1]
-            rel = f"derived/{adapter.name.replace('/', '_')}/events-{last.id:06d}-{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}"
-            self._write(events.parse_events(logs, adapter.format or "auto", adapter.version).withColumn("batch", F.lit(last.id).cast("long")), rel)
+            rel = f"derived/{adapter.name.replace('/', '_')}/events-{last.id:06d}-{uuid.uuid4().hex[:8]}"
+            self._write(events.parse_events(logs, adapter.format or "auto", adapter.version).withColumn("batch", F.lit(last.id).cast("long")), rel, ("trajectory", "seq"))
             for b in manifest.batches:
                 b.derived = []
             last.derived = [rel]
-            manifest.publish(self.root)
-            vacuum(self.root, manifest)
-            self.manifest = manifest
 
-    def _rewrite(self, change, tag: str) -> None:
-        """Write every table of every batch anew through ``change(table, rows)``, check the result, then publish it."""
-        with locked(self.root, exclusive=True):
-            manifest = Manifest.load(self.root)
-            for b in manifest.batches:
-                for t in SCHEMAS:
-                    listed = b.derived if t == "events" else b.segments.get(t, [])
-                    new = []
-                    for rel in listed:
-                        rows = self.spark.read.schema(SCHEMAS[t]).parquet(os.path.join(self.root, rel))
-                        new.append(self._write(change(t, b, rows), f"{rel}{tag}"))
-                    if t == "events":
-                        b.derived = new
-                    else:
-                        b.segments[t] = new
-                files = self.spark.read.schema(FILES).parquet(*[os.path.join(self.root, p) for p in b.segments["files"]])
-                counts = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-                b.paths, b.bytes = counts["n"], counts["b"]
-            old, self.manifest = self.manifest, manifest
-            bad = self.verify(deep=True).limit(20).collect()
-            if bad:
-                self.manifest = old
-                vacuum(self.root, old)
-                raise RuntimeError(f"the rewritten store is not sound: {bad}")
-            manifest.publish(self.root)
-            vacuum(self.root, manifest)
+    _ORDER = {"files": ("path",), "dirs": ("dir",), "excluded": ("path",), "blobs": ("sha", "part"), "events": ("trajectory", "seq")}
+
+    def _rewrite(self, manifest: Manifest, change) -> None:
+        """Write every table anew through ``change(table, rows)``, one job a table, all batches at once; the manifest then lists the result, checked."""
+        tag = uuid.uuid4().hex[:8]
+        for t in SCHEMAS:
+            with_t = [b for b in manifest.batches if (b.derived if t == "events" else b.segments.get(t))]
+            if not with_t:
+                continue
+            mark = "events-of" if t == "events" else "of"
+            base = f"derived/{self.adapter.name.replace('/', '_')}/{tag}" if t == "events" else f"catalog/{tag}/{t}"
+            rows = change(t, self.table(t)).select(*[c.split()[0] for c in SCHEMAS[t].replace("map<string,string>", "map").split(", ")])
+            order = self._ORDER[t]
+            rows = rows.withColumn(mark, F.col("batch")).repartitionByRange(mark, *order).sortWithinPartitions(mark, *order)
+            rows.write.option("compression", "zstd").partitionBy(mark).parquet(os.path.join(self.root, base))
+            for b in with_t:
+                rel = f"{base}/{mark}={b.id}"
+                os.makedirs(os.path.join(self.root, rel), exist_ok=True)  # a batch of which no row is left
+                if t == "events":
+                    b.derived = [rel]
+                else:
+                    b.segments[t] = [rel]
+        count = lambda t, *aggs: {r.batch: r for r in self.table(t, manifest).groupBy("batch").agg(*aggs).collect()}
+        n, size = F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")
+        files, blobs, out = count("files", n, size), count("blobs", F.count_distinct("sha").alias("n"), size), count("excluded", n)
+        for b in manifest.batches:
+            b.paths, b.bytes = (files[b.id].n, files[b.id].b) if b.id in files else (0, 0)
+            b.new_blobs, b.new_blob_bytes = (blobs[b.id].n, blobs[b.id].b) if b.id in blobs else (0, 0)
+            b.excluded = out[b.id].n if b.id in out else 0
+        bad = self._verify(manifest, deep=True).limit(20).collect()
+        if bad:
+            raise RuntimeError(f"the rewritten store is not sound: {bad}")
+
+    def plan_delete(self, path: str) -> dict:
+        return maintenance.delete_plan(self.history, P.normalise(path), self.events, self.table("excluded")).first().asDict()
 
     def delete(self, path: str) -> dict:
         """Take a file or a subtree out of every batch, with its events, exclusions and the contents only it had; a later append leaves it out."""
         path = P.normalise(path)
         if not path:
             raise ValueError("the root cannot be deleted")
-        plan = maintenance.delete_plan(self.history, path, self.events, self.table("excluded")).first().asDict()
-        if not plan["paths"]:
-            raise FileNotFoundError(path)
-        private = maintenance.private_blobs(self.history, path).select("sha")
-        kept = self.history.where(~P.is_under(F.col("path"), path))
-
-        def change(table: str, batch: Batch, rows: DataFrame) -> DataFrame:
-            if table == "blobs":
-                return rows.join(private, "sha", "left_anti")
-            if table == "dirs":
-                return namespace.rollup(kept.where(F.col("batch") == batch.id), per_batch=True)
-            return rows.where(~P.is_under(F.col("trajectory" if table == "events" else "path"), path))
-
-        stamp = datetime.now(timezone.utc)
-        self.manifest.deleted.append({"path": path, "created": stamp.isoformat()} | plan)
-        self.manifest.publish(self.root)
-        self._rewrite(change, f"-{stamp:%Y%m%d%H%M%S%f}")
+        with self._writing() as manifest:
+            plan = self.plan_delete(path)
+            if not plan["paths"]:
+                raise FileNotFoundError(path)
+            history = self.history
+            private = maintenance.private_blobs(history, path).select("sha")
+
+            def change(table: str, rows: DataFrame) -> DataFrame:
+                if table == "blobs":
+                    return rows.join(private, "sha", "left_anti")
+                if table == "dirs":
+                    return namespace.rollup(history.where(~P.is_under(F.col("path"), path)), per_batch=True)
+                return rows.where(~P.is_under(F.col("trajectory" if table == "events" else "path"), path))
+
+            manifest.deleted.append({"path": path, "created": datetime.now(timezone.utc).isoformat()} | plan)
+            self._rewrite(manifest, change)
         return plan
 
     def compact(self) -> dict:
-        """Write contents anew: each content once, sorted by hash; the report before and after must agree on what is stored."""
-        before = maintenance.storage_report(self.history, self.blobs).first().asDict()
-        first = self.table("blobs").groupBy("sha").agg(F.min("batch").alias("_first"))
-        used = self.history.select("sha").distinct()
-
-        def change(table: str, batch: Batch, rows: DataFrame) -> DataFrame:
-            if table != "blobs":
-                return rows
-            once = rows.join(first, "sha").where(F.col("_first") == batch.id).drop("_first").dropDuplicates(["sha", "part"])
-            return once.join(used, "sha", "left_semi").select(*rows.columns).repartitionByRange("sha", "part").sortWithinPartitions("sha", "part")
-
-        self._rewrite(change, f"-{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}")
-        after = maintenance.storage_report(self.history, self.blobs).first().asDict()
-        if any(before[k] != after[k] for k in ("rows", "logical_bytes")):
-            raise RuntimeError(f"compaction changed the store: {before} {after}")
+        """Write contents anew: each content once, in its first batch, sorted by hash; the report before and after must agree on what is stored."""
+        report = lambda m: maintenance.storage_report(self.table("files", m), self.table("blobs", m).drop("batch")).first().asDict()
+        with self._writing() as manifest:
+            before, used = report(self.manifest), self.history.select("sha").distinct()
+            first = self.table("blobs").groupBy("sha", "part").agg(F.min("batch").alias("_first"))
+
+            def change(table: str, rows: DataFrame) -> DataFrame:
+                if table != "blobs":
+                    return rows
+                once = rows.join(first, ["sha", "part"]).where(F.col("_first") == F.col("batch")).drop("_first").dropDuplicates(["sha", "part"])
+                return once.join(used, "sha", "left_semi")
+
+            self._rewrite(manifest, change)
+            after = report(manifest)
+            if any(before[k] != after[k] for k in ("rows", "logical_bytes")):
+                raise RuntimeError(f"compaction changed the store: {before} {after}")
         return {"before": before, "after": after}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -42,10 +43,10 @@ def append_stream(source: DataFrame, store: Store, checkpoint: str, trigger: dic
     """
 
     def write(entries: DataFrame, number: int) -> None:
-        handle = store.refresh()
         label = f"stream-{number:09d}"
-        if label not in [b.label for b in handle.manifest.batches]:
-            handle.append(entries, label)
+        with store.refresh() as handle:
+            if label not in [b.label for b in handle.manifest.batches]:
+                handle.append(entries, label)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -59,7 +60,7 @@ def file_stream(spark, folder: str, trigger_files: int = 1000) -> DataFrame:
 
 
 def poll(store: Store, root: str, adapter: Adapter, max_batches: int | None = None, wait: Callable[[], bool] = lambda: False) -> list[str]:
-    """Store ready runs below ``root`` until none is left and ``wait`` says stop; the first failure ends it."""
+    """Store ready runs below ``root`` until none is left and ``wait`` says stop. The first batch with an unreadable path is kept and ends it, as does a failure."""
     done: list[str] = []
     while True:
         runs = sorted(d for d in os.listdir(root) if os.path.isdir(os.path.join(root, d)) and fnmatch.fnmatch(d, adapter.run_glob or "*"))
@@ -72,10 +73,25 @@ def poll(store: Store, root: str, adapter: Adapter, max_batches: int | None = No
             packed = [b.label.removeprefix(f"{run}/") for b in store.manifest.batches if b.label and b.label.startswith(f"{run}/")]
             label = next_label(store.spark.createDataFrame(listing, MARKS), adapter, packed)
             if label is not None:
-                store.pack(top, f"{run}/{label}")
+                batch = store.pack(top, f"{run}/{label}")
                 done.append(f"{run}/{label}")
                 found = True
-                if max_batches and len(done) >= max_batches:
+                if batch.errors or max_batches and len(done) >= max_batches:
                     return done
         if not found and not wait():
             return done
+
+
+def every(seconds: float, times: int | None = None) -> Callable[[], bool]:
+    """A ``wait`` for ``poll``: look again after so many seconds, so many times or for ever."""
+    left = [times]
+
+    def again() -> bool:
+        if left[0] is not None:
+            if left[0] <= 0:
+                return False
+            left[0] -= 1
+        time.sleep(seconds)
+        return True
+
+    return again

@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import re
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runstrata.operators import content, ingest, maintenance
-from runstrata.plans.sql import sql, to_csv
+from runstrata.plans.sql import sql, to_csv, to_table
 from runstrata.sources.manifest import Manifest, locked, vacuum
 from runstrata.store import Store
 from runstrata.streaming import watch
@@ -71,10 +72,28 @@ def test_sql_over_stores(spark, store):
     s, _ = store
     got = sql(spark, [s], "SELECT f.store, c.text FROM files f JOIN contents c ON c.sha = f.sha WHERE f.name = 'ü file.json'").first()
     assert tuple(got) == ("one", '{"a":1}')
-    assert to_csv(sql(spark, [s, s], "SELECT count(*) AS n, 'a,b' AS t, cast(NULL AS int) AS z FROM files")) == 'n,t,z\n14,"a,b",\n'
-    assert to_csv(sql(spark, [s], "SELECT path FROM files WHERE false")) == "path\n"
-    with pytest.raises(ValueError):
-        sql(spark, [s], "DROP TABLE files")
+    csv = lambda q, stores: "".join(to_csv(sql(spark, stores, q)))
+    assert csv("SELECT count(*) AS n, 'a,b' AS t, cast(NULL AS int) AS z FROM files", [s, s]) == 'n,t,z\n14,"a,b",\n'
+    assert csv("SELECT path FROM files WHERE false", [s]) == "path\n" and csv("SELECT cast(NULL AS int) AS z", [s]) == "z\n\n"
+    assert csv("-- a remark\n/* and */ (SELECT 1 AS `a b`)", [s]) == "a b\n1\n"
+    assert "".join(to_table(sql(spark, [s], "SELECT 1 AS one, 'x' AS b"))) == "+-----+---+\n| one | b |\n+-----+---+\n| 1   | x |\n+-----+---+\n"
+    assert "".join(to_table(sql(spark, [s], "SELECT 1 AS a WHERE false"))) == "(no rows)\n"
+    for bad in ("DROP TABLE files", "", "  -- nothing", "(", "/* open"):
+        with pytest.raises(ValueError):
+            sql(spark, [s], bad)
+
+
+def test_contents_in_sql(spark, store, tmp_path):
+    s, _ = store
+    plant(tmp_path / "src", {"only": "in two", "same": '{"a":1}'})
+    two = Store.create(spark, str(tmp_path / "two"), "two")
+    two.pack(str(tmp_path / "src"))
+    rows = sql(spark, [s, two], "SELECT store, name, text(sha) AS t, octet_length(blob(sha)) AS n, text(lower(hex(sha))) = text(sha) AS same FROM files WHERE name LIKE '%.json' OR name IN ('only', 'empty', 'same', 'big.bin')").collect()
+    got = {(r.store, r.name): (r.t if r.n and r.n < 100 else None, r.n, r.same) for r in rows}
+    assert got == {("one", "ü file.json"): ('{"a":1}', 7, True), ("one", "big.bin"): (None, 256 * 8200, True), ("one", "empty"): (None, 0, True), ("two", "only"): ("in two", 6, True), ("two", "same"): ('{"a":1}', 7, True)}
+    odd = sql(spark, [s], f"SELECT text(NULL) AS a, text('{'0' * 64}') AS b, blob('xyz') AS c, text(unhex('00')) AS d, text(' {content.EMPTY_SHA} ') AS e").first()
+    assert tuple(odd) == (None, None, None, None, "")
+    assert sql(spark, [s, two], "SELECT count(*) AS n FROM files f JOIN contents c USING (sha) WHERE c.text LIKE '%Trace%'").first().n == 2
 
 
 def test_life_of_a_store(spark, tmp_path):
@@ -205,12 +224,19 @@ def test_command_line(spark, store, tmp_path):
         return out.getvalue()
 
     assert call("ls", "rounds/round-001") == "builder/\nempty\nevents.jsonl\n"
-    assert call("ls", "rounds/round-001/empty") == "empty\n"
+    assert call("ls", "rounds/round-001/empty") == "rounds/round-001/empty\n"
+    assert call("ls", "-l", "rounds/round-001") == "d---------        40 B       3 files  builder/\n-rw-r--r--         0 B  empty\n" + f"-rw-r--r--  {len(LOG):>8} B  events.jsonl\n"
+    assert call("ls", "-R", "rounds/round-001") == "rounds/round-001:\nbuilder/\nempty\nevents.jsonl\n\nrounds/round-001/builder:\ncopy.stdout\nlink\nout.stdout\n\n"
+    assert call("sql", "SELECT 1 AS n") == "+---+\n| n |\n+---+\n| 1 |\n+---+\n"
+    assert call("edit", "rounds/round-002/ü file.json", "--editor", "sed -i s/1/2/").splitlines()[2:] == ["@@ -1 +1 @@", '-{"a":1}', '+{"a":2}']
     assert call("find", "--name", "*.stdout", "--kind", "f").count("\n") == 2
     assert call("grep", "-e", "^Trace", "-c") == "rounds/round-001/builder/copy.stdout:1\nrounds/round-001/builder/out.stdout:1\n"
     assert call("grep", "-e", "nowhere", code=1) == ""
     assert call("sql", "--csv", "SELECT count(*) AS n FROM events") == "n\n3\n"
-    assert '"violations": []' in call("verify", "--deep")
+    report = json.loads(call("verify", "--deep", "--storage", "--require-compact"))
+    assert report["violations"] == [] and (report["files"], report["blobs"], report["shadowed"]) == (7, 5, 0) and report["storage"]["content_bytes"] > 0
+    with pytest.raises(FileNotFoundError):
+        call("grep", "-e", "x", "--path", "no/such")
     assert '"mode_text": "-rw-r--r--"' in call("stat", "rounds/round-001/empty")
     assert '"latest_paths": 2' in call("delete", "rounds/round-002", "--plan")
     assert call("tree", "--depth", "1") == "rounds\t7\t2.0 MB\n"
