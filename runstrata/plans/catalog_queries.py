@@ -605,3 +605,9 @@ relational("string_agg", ("nation",), "SELECT n_regionkey, array_join(sort_array
 relational("asof_join", ("events",), "SELECT event_id, last(CASE WHEN event_type = 'purchase' THEN event_id END, true) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events")
 relational("map_unnest", ("documents",), "SELECT k, v, count(*) AS n FROM (SELECT explode(map('lang', lang, 'source', source)) AS (k, v) FROM documents) GROUP BY k, v", "SELECT k, v, count(*) AS n FROM (SELECT unnest(['lang', 'source']) AS k, unnest([lang, source]) AS v FROM documents) GROUP BY k, v")
 relational("tumbling_counts", ("events",), "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts)")
+relational("approx_distinct", ("lineitem",), "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.2 * count(DISTINCT l_partkey) AS close FROM lineitem GROUP BY l_returnflag")
+relational("window_nth_range", ("orders",), "SELECT o_orderkey, last_value(o_orderkey) OVER f AS last_key, nth_value(o_orderkey, 2) OVER f AS second_key, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS near FROM orders WINDOW f AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+relational("join_hints", ("customer", "nation", "region"), "SELECT /*+ MERGE(nation), BROADCAST(region) */ r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+relational("text_functions", ("part",), "SELECT p_partkey, upper(p_name) AS up, substr(p_type, 2, 5) AS mid, length(p_name) AS n, replace(p_brand, '#', '-') AS brand, p_name LIKE '%a%' AS has_a, concat(p_brand, '/', p_type) AS both, md5(p_name) AS digest, trim(lpad(p_brand, 20, ' ')) AS padded FROM part", "SELECT p_partkey, upper(p_name) AS up, substr(p_type, 2, 5) AS mid, length(p_name)::INTEGER AS n, replace(p_brand, '#', '-') AS brand, p_name LIKE '%a%' AS has_a, concat(p_brand, '/', p_type) AS both, md5(p_name) AS digest, trim(lpad(p_brand, 20, ' ')) AS padded FROM part")
+relational("json_functions", ("events",), "SELECT event_id, get_json_object(props, '$.k') AS k, cast(get_json_object(props, '$.k') AS int) % 7 AS week, get_json_object(props, '$.none') AS none FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k')::INTEGER % 7 AS week, json_extract_string(props, '$.none') AS none FROM events")
+relational("date_functions", ("orders",), "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, dayofyear(o_orderdate) AS doy, date_format(o_orderdate, 'yyyy-MM-dd') AS d, datediff(o_orderdate, timestamp_ntz'1992-01-01') AS days FROM orders", "SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, dayofyear(o_orderdate)::INTEGER AS doy, strftime(o_orderdate, '%Y-%m-%d') AS d, (o_orderdate::DATE - DATE '1992-01-01')::INTEGER AS days FROM orders")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import literal_path
+
 ENTRY_DDL = "path string, kind int, mode int, size long, mtime_ns long, content binary, problem string, sha binary, piece int, pieces int, head binary"
 _SCHEMA = pa.schema([
     ("path", pa.string()), ("kind", pa.int32()), ("mode", pa.int32()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("content", pa.binary()), ("problem", pa.string()),
@@ -65,7 +67,7 @@ def directories(spark: SparkSession, root: str, prune, scratch: str) -> DataFram
             break
         path, depth = os.path.join(scratch, f"level-{depth}"), depth + 1
         wide.repartition(max(1, min(4096, n // 32))).mapInArrow(step, _LISTED).write.parquet(path)
-        below = spark.read.schema(_LISTED).parquet(path)
+        below = spark.read.schema(_LISTED).parquet(literal_path(path))
         out, wide = out.unionByName(below), below.where("not pruned")
     return out
 

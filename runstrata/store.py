@@ -124,6 +124,11 @@ class Store:
     def batches(self) -> DataFrame:
         return self._batches(self.manifest)
 
+    def _read(self, path: str, schema=None) -> DataFrame:
+        """A folder that was just written, taken literally."""
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
+        return reader.parquet(P.literal_path(path))
+
     def _batches(self, manifest: Manifest) -> DataFrame:
         rows = [(b.id, b.created, b.label, b.paths, b.bytes, b.new_blobs, b.new_blob_bytes, b.excluded) for b in manifest.batches]
         return self.spark.createDataFrame(rows, "id long, created string, label string, paths long, bytes long, new_blobs long, new_blob_bytes long, excluded long")
@@ -218,7 +223,7 @@ class Store:
             largest = max((os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet")), default=0)
             if largest <= SEGMENT_BYTES or not by:
                 return rel
-            rows = self.spark.read.parquet(path).count()
+            rows = self._read(path).count()
             if n > 2 * rows:
                 raise ValueError(f"a row of {rel} takes more than {SEGMENT_BYTES} bytes")
             n = max(2 * n, n * -(-largest // SEGMENT_BYTES) * 2)
@@ -245,7 +250,7 @@ class Store:
                     entries = entries.withColumn(name, F.lit(None).cast(kind))
             # the source is read once: what it gave is written, and all that follows reads it back
             entries.write.parquet(f"{staged}/source")
-            entries = self.spark.read.schema(entries.schema).parquet(f"{staged}/source")
+            entries = self._read(f"{staged}/source", entries.schema)
             pieces = entries.where("piece is not null").select("sha", "piece", "content")
             decided = retention.decide(entries.where("piece is null"), profile, deleted if manifest.deleted else None)
             errors = [f"{r.path}: {r.problem}" for r in decided.where("problem is not null and problem <> 'special-file'").select("path", "problem").limit(20).collect()]
@@ -255,11 +260,11 @@ class Store:
             rows = ingest.as_rows(decided.where("rule is null"), adapter.attributes(F.col("path")), number)
             before = self.visible if manifest.batches else self.spark.createDataFrame([], FILES)
             ingest.changed(rows, before).write.parquet(f"{staged}/rows")
-            new = self.spark.read.parquet(f"{staged}/rows")
+            new = self._read(f"{staged}/rows")
             files, known = new.drop("content"), self.table("blobs").select("sha")
             blobs = ingest.as_parts(ingest.new_blobs(new, known)).unionByName(ingest.pieces_as_parts(pieces, new, known, walk.PIECE))
             blobs.write.parquet(f"{staged}/blobs")
-            blobs = self.spark.read.parquet(f"{staged}/blobs").withColumn("batch", F.lit(number).cast("long"))
+            blobs = self._read(f"{staged}/blobs").withColumn("batch", F.lit(number).cast("long"))
             size = blobs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
             segments = {
                 "files": [self._write(files, f"{base}/files", ("path",))],
@@ -272,7 +277,7 @@ class Store:
                 logs = self._logs(new, pieces, adapter)
                 found = events.parse_events(logs, adapter.format, adapter.version).withColumn("batch", F.lit(number).cast("long"))
                 derived.append(self._write(found, f"derived/{adapter.name.replace('/', '_')}/events-{number:06d}-{base[-8:]}", ("trajectory", "seq")))
-            read_ = lambda t: self.spark.read.schema(SCHEMAS[t]).parquet(os.path.join(self.root, segments[t][0]))
+            read_ = lambda t: self._read(os.path.join(self.root, segments[t][0]), SCHEMAS[t])
             counts = ingest.summary(read_("files"), read_("blobs"), read_("excluded"))
             shutil.rmtree(staged)
             batch = Batch(number, datetime.now(timezone.utc).isoformat(), label, segments=segments, derived=derived, errors=errors, **counts)

@@ -1,4 +1,6 @@
+import random
 import re
+from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,3 +46,30 @@ def test_plain_functions():
 def test_texts(spark):
     row = spark.range(1).select(P.human(F.lit(1023)).alias("a"), P.human(F.lit(1536)).alias("b"), P.human(F.lit(3 << 30)).alias("c"), P.mode_text(F.lit(0), F.lit(0o755)).alias("d"), P.mode_text(F.lit(1), F.lit(0o777)).alias("e"), P.attrs_text(F.create_map(F.lit("k"), F.lit("v"), F.lit("a"), F.lit("b"))).alias("f")).first()
     assert tuple(row) == ("1023 B", "1.5 KB", "3.00 GB", "-rwxr-xr-x", "lrwxrwxrwx", "a=b,k=v")
+
+
+def test_sizes_to_the_even_digit(spark):
+    """Against exact decimal arithmetic, ties among them."""
+    rng = random.Random(4)
+    sizes = [0, 1023, 1024, 1280, 1792, 2304, 1048575, 1048576, 1310720, 1572864 + 262144, (1 << 30) - 1, (1 << 30) + (1 << 27), 5368709120 + (1 << 30) // 8 * 3, (1 << 40) + 12345] + [rng.randrange(1 << rng.randrange(1, 42)) for _ in range(2000)]
+    sizes += [(a << 10) + 256 for a in range(40)] + [(a << 20) + (3 << 18) for a in range(40)] + [(a << 30) + (1 << 27) for a in range(1, 40)]
+
+    def plain(n):
+        if n < 1024:
+            return f"{n} B"
+        shift, digits, name = (10, "0.1", "KB") if n < 1 << 20 else (20, "0.1", "MB") if n < 1 << 30 else (30, "0.01", "GB")
+        return f"{(Decimal(n) / Decimal(1 << shift)).quantize(Decimal(digits), ROUND_HALF_EVEN)} {name}"
+
+    got = {r.n: r.h for r in spark.createDataFrame([(n,) for n in set(sizes)], "n long").select("n", P.human(F.col("n")).alias("h")).collect()}
+    with localcontext() as c:
+        c.prec = 60
+        assert got == {n: plain(n) for n in set(sizes)}
+
+
+def test_times_as_text(spark):
+    want = {0: "1970-01-01T00:00:00+00:00", 1_756_947_602_500_000_000: "2025-09-04T01:00:02.500+00:00", -1: "1969-12-31T23:59:59.999999999+00:00", 1_000: "1970-01-01T00:00:00.000001+00:00", 4_102_444_799_000_000_000: "2099-12-31T23:59:59+00:00"}
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = {r.n: r.t for r in spark.createDataFrame([(n,) for n in want], "n long").select("n", P.time_text(F.col("n")).alias("t")).collect()}
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == want
