@@ -7,8 +7,12 @@ A linear classifier over the density of words and word beginnings is fitted in n
 
 with the logistic loss; where the bracket turns negative, the step goes against it, as the paper has it. Steps
 are Adam with a soft threshold, so most words have weight 0 and long texts gather no noise. Words are known by
-64-bit hashes, not folded into buckets: a word the training never saw weighs nothing. Beginnings of 4 to 8 bytes stand for stems. Before the fit, features that
-are about as frequent in positives as in the rest are screened out by a two-sample z of their document shares.
+64-bit hashes, not folded into buckets: a word the training never saw weighs nothing. Beginnings of 4 to 8 bytes stand for stems.
+
+Before the fit, features that are about as frequent in positives as in the rest are screened out by a two-sample z.
+Its counts, sums and sums of squares are aggregates over the confirmed documents (for each of their features) and over
+all documents that may be learnt from (for those features that ``seen`` confirmed documents hold); only screened
+features come to the driver, and of the documents of the fit only these.
 """
 
 from __future__ import annotations
@@ -27,12 +31,15 @@ from ._text import LETTERS, LOWER, U, chunks, mix, utf8, word_hashes, words
 
 @dataclass(frozen=True)
 class Learning:
-    """``positives`` and ``unlabelled`` bound the training sample: the rows of least hash. ``seen``: documents of the sample that hold a feature, at least; ``z``: the least |z| that passes the screen."""
+    """``positives`` and ``unlabelled`` bound the documents of the fit, ``confirmed`` the labelled ones of the screen: those whose ids have the least hash. Of the rest the screen reads all. ``seen`` confirmed documents hold a feature, at least; ``z``: the least |z| that passes. The vocabulary is bounded: ``candidates`` features, those that most confirmed documents hold, are screened, and ``features`` of the largest |z| may enter the model."""
 
-    positives: int = 600
-    unlabelled: int = 1800
+    positives: int = 2000
+    unlabelled: int = 6000
+    confirmed: int = 100_000
     seen: int = 4
     z: float = 3.0
+    candidates: int = 1 << 20
+    features: int = 1 << 16
     steps: int = 350
     rate: float = 0.1
     sparsity: float = 2e-4
@@ -42,7 +49,6 @@ class Learning:
 
 _LOW = U((1 << 16) - 1)
 BEGINNINGS = (4, 5, 6, 7, 8)
-_PARTS = 16
 
 
 def density(count, of):
@@ -50,27 +56,20 @@ def density(count, of):
     return np.minimum(1.0, 25 * count / of)
 
 
-@dataclass
-class Model:
-    words: np.ndarray
-    weights: np.ndarray
-    bias: float
+class Vocabulary:
+    """Sorted feature hashes, and a sieve of their low bits where most unknown ones end."""
 
-    @cached_property
-    def sieve(self) -> np.ndarray:
-        """Which low bits the known features have: most unknown ones end here."""
-        out = np.zeros(1 << 16, bool)
-        out[(self.words & _LOW).astype(np.int64)] = True
-        return out
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.sieve = np.zeros(1 << 16, bool)
+        self.sieve[(words & _LOW).astype(np.int64)] = True
 
-    def scores(self, col: pa.Array) -> np.ndarray:
+    def found(self, col: pa.Array):
+        """Some texts at a time: first and last text, and for each known feature of a text the text, the feature's place and its density."""
         buf, off = utf8(col)
-        out = np.full(len(off) - 1, self.bias)
         for lo, hi, h, first in _hashed(buf, off):
-            if not len(self.words):
-                continue
-            pairs = []
-            for x, which in h:
+            pairs = [np.zeros(0, np.int64)]
+            for x, which in h if len(self.words) else []:
                 maybe = np.flatnonzero(self.sieve[(x & _LOW).astype(np.int64)])
                 at = np.searchsorted(self.words, x[maybe])
                 at[at == len(self.words)] = 0
@@ -78,14 +77,30 @@ class Model:
                 doc = np.searchsorted(first, which[maybe[hit]], "right") - 1
                 pairs.append(doc * len(self.words) + at[hit])
             pair, count = np.unique(np.concatenate(pairs), return_counts=True)
-            doc, at = np.divmod(pair, len(self.words))
-            out[lo:hi] += np.bincount(doc, self.weights[at] * density(count, np.diff(first)[doc]), hi - lo)
+            doc, at = np.divmod(pair, max(1, len(self.words)))
+            yield lo, hi, doc, at, density(count, np.diff(first)[doc])
+
+
+@dataclass
+class Model:
+    words: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+    @cached_property
+    def vocabulary(self) -> Vocabulary:
+        return Vocabulary(self.words)
+
+    def scores(self, col: pa.Array) -> np.ndarray:
+        out = np.full(len(col), self.bias)
+        for lo, hi, doc, at, value in self.vocabulary.found(col):
+            out[lo:hi] += np.bincount(doc, self.weights[at] * value, hi - lo)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
 def _hashed(buf, off):
     """Some texts at a time: hashes of whole words and of beginnings, each with the word it is of, and each text's first word."""
-    for lo, hi in chunks(off):
+    for lo, hi in chunks(off, 1 << 19):
         part, at = LOWER[buf[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo]
         starts, ends, first = words(part, at, LETTERS)
         every = np.arange(len(starts))
@@ -96,40 +111,74 @@ def _hashed(buf, off):
         yield lo, hi, out, first
 
 
-def _features(batches):
+_SUMS = "feature long, n long, s long, q long"
+_UNIT = 1 << 20  # sums are of whole parts of this, so no order of tasks changes them
+
+
+def _sum_rows(feature, n, s, q) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(feature.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(s.astype(np.int64)), pa.array(q.astype(np.int64))], names=["feature", "n", "s", "q"])
+
+
+def _sums_of(at: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
+    return [np.bincount(at, v, n) for v in (None, np.rint(value * _UNIT), np.rint(value * value * _UNIT))]
+
+
+def _every_feature(batches):
+    """Texts -> for each feature in some texts how many hold it, the sum of its densities and that of their squares."""
     for batch in batches:
-        buf, off = utf8(batch.column(1))
-        out = []
+        buf, off = utf8(batch.column(0))
         for lo, hi, h, first in _hashed(buf, off):
-            cut = [(x, np.searchsorted(which, first)) for x, which in h]
-            for d in range(hi - lo):
-                found, count = np.unique(np.concatenate([x[c[d] : c[d + 1]] for x, c in cut]), return_counts=True)
-                out.append((found.tobytes(), density(count, max(1, first[d + 1] - first[d])).astype(np.float32).tobytes()))
-        yield pa.record_batch([batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["kind", "words", "density"])
+            x = np.concatenate([x for x, _ in h])
+            doc = np.searchsorted(first, np.concatenate([which for _, which in h]), "right") - 1
+            every, which = np.unique(x, return_inverse=True)
+            pair, count = np.unique(doc * len(every) + which, return_counts=True)
+            doc, which = np.divmod(pair, max(1, len(every)))
+            yield _sum_rows(every.view(np.int64), *_sums_of(which, density(count, np.diff(first)[doc]), len(every)))
+
+
+def _known_features(batches, words: np.ndarray):
+    """The same for the known features alone, once for a whole task."""
+    known, total = Vocabulary(words), np.zeros((3, len(words)))
+    for batch in batches:
+        for _, _, _, at, value in known.found(batch.column(0)):
+            total += _sums_of(at, value, len(words))
+    at = np.flatnonzero(total[0])
+    yield _sum_rows(words[at].view(np.int64), *total[:, at])
+
+
+def _known_of(batches, words: np.ndarray):
+    """(id, kind, text) -> (id, kind, places of its known features, their densities)."""
+    known = Vocabulary(words)
+    for batch in batches:
+        rows = []
+        for lo, hi, doc, at, value in known.found(batch.column(2)):
+            cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+            at, value = at.astype(np.int32), value.astype(np.float32)
+            rows += [(at[a:b].tobytes(), value[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+        yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], names=["id", "kind", "at", "density"])
+
 
+def screen(n_p: int, in_p: np.ndarray, n_u: int, in_u: np.ndarray) -> np.ndarray:
+    """The two-sample z of each feature from (documents, sum, sum of squares) of both kinds."""
+    mean_p, mean_u = in_p[1] / n_p, in_u[1] / n_u
+    return (mean_p - mean_u) / np.sqrt((in_p[2] / n_p - mean_p**2) / n_p + (in_u[2] / n_u - mean_u**2) / n_u + 1e-9)
 
-def fit(positives: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float, p: Learning = Learning()) -> Model:
-    """Fit to the features (hashes and densities) of each document of both kinds."""
+
+def fit(positives: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float, p: Learning = Learning(), screened: bool = False) -> Model:
+    """Fit to the features (hashes and densities) of each document of both kinds; unless they are ``screened``, the screen is made of these documents alone."""
     if not positives or not unlabelled:
         return Model(np.zeros(0, U), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -30.0)
     n_p, n_u = len(positives), len(unlabelled)
-    docs, kept = positives + unlabelled, []
-    for part in range(_PARTS):  # of the features, to bound memory
-        own = [(x & U(_PARTS - 1)) == part for x, _ in docs]
-        x = np.concatenate([d[0][o] for d, o in zip(docs, own)])
-        value = np.concatenate([d[1][o] for d, o in zip(docs, own)]).astype(np.float64)
-        who = np.repeat(np.arange(n_p + n_u, dtype=np.int32), [int(o.sum()) for o in own])
-        every, which = np.unique(x, return_inverse=True)
-        total = lambda v, k: np.bincount(which[k], v[k], len(every))
-        pos, un = who < n_p, who >= n_p
-        mean_p, mean_u = total(value, pos) / n_p, total(value, un) / n_u
-        spread = total(value * value, pos) / n_p - mean_p**2, total(value * value, un) / n_u - mean_u**2
-        z = (mean_p - mean_u) / np.sqrt(spread[0] / n_p + spread[1] / n_u + 1e-9)
-        use = (np.bincount(which, minlength=len(every)) >= p.seen) & (np.abs(z) >= p.z)
-        at = use[which]
-        kept.append((x[at], value[at], who[at]))
-    x, value, who = (np.concatenate(c) for c in zip(*kept))
+    docs = positives + unlabelled
+    x, value = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
+    value, who = value.astype(np.float64), np.repeat(np.arange(n_p + n_u, dtype=np.int32), [len(d[0]) for d in docs])
     vocabulary, place = np.unique(x, return_inverse=True)
+    if not screened:
+        in_p, in_u = (np.array([np.bincount(place[of], v, len(vocabulary)) for v in (None, value[of], value[of] ** 2)]) for of in (who < n_p, who >= n_p))
+        use = (in_p[0] + in_u[0] >= p.seen) & (np.abs(screen(n_p, in_p, n_u, in_u)) >= p.z)
+        at = use[place]
+        value, who = value[at], who[at]
+        vocabulary, place = vocabulary[use], (np.cumsum(use) - 1)[place[at]]
     first, rest = who < n_p, who >= n_p
     pw, pc, px = who[first], place[first], value[first]
     uw, uc, ux = who[rest] - n_p, place[rest], value[rest]
@@ -167,27 +216,57 @@ def _cells(col: pa.ChunkedArray, kind) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, learns, p: Learning = Learning(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit to rows of ``docs`` for which ``learns`` (a column of the id) holds. Only a 1 in ``labels`` is read as a confirmation; the prior is the share of 1 among labelled rows unless it is given."""
+    """Fit to rows of ``docs`` for which ``learns`` (a column of the id) holds. Only a 1 in ``labels`` is read as a confirmation; the prior is the share of 1 among labelled rows unless it is given.
+
+    Rows with a null id, and labels that are null or have no id, teach nothing; a null text is an empty one. An id
+    labelled both 1 and 0 is a 1. Rows that repeat an id all count in the screen; in the fit the id counts once, by the
+    row of least features. Ties of the sample's order go by id. Without confirmed documents, or without documents, the
+    model has no word, and every text scores the prior. Other columns are not read.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxic")
     order = F.xxhash64(F.col("id"), F.lit(p.seed))
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y")).withColumnRenamed("id", id_col).where(learns).withColumnRenamed(id_col, "id")
     counted = marked.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("k")).first()
     prior = p.prior if p.prior is not None else min(0.5, max(1e-4, (counted.k or 0) / counted.n)) if counted.n else 1e-4
-    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")).where(learns & F.col(id_col).isNotNull())
-    one = marked.where("y = 1").orderBy(order).limit(p.positives).select("id", F.lit(1).alias("kind"))
-    rest = base.select(F.col(id_col).alias("id")).distinct().orderBy(order).limit(p.unlabelled).select("id", F.lit(0).alias("kind"))
+    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")).where(learns & F.col(id_col).isNotNull()).withColumnRenamed(id_col, "id")
+    confirmed = scratch.put(marked.where("y = 1").orderBy(order, "id").limit(p.confirmed).select("id"), "confirmed")  # at most p.confirmed rows
+    # the screen, over all rows
+    sums = [F.sum(c).alias(c) for c in ("n", "s", "q")]
+    all_p = base.join(F.broadcast(confirmed), "id").select("text")
+    in_p = all_p.mapInArrow(_every_feature, _SUMS).groupBy("feature").agg(*sums).where(F.col("n") >= p.seen).orderBy(F.desc("n"), "feature").limit(p.candidates).toArrow()
+    words = np.sort(in_p["feature"].to_numpy().view(U))
+    in_p = _columns(in_p, words)
+    n_p, n_u = all_p.count(), base.count()
+    shared = spark.sparkContext.broadcast(words)  # features that several confirmed documents hold
+    in_u = _columns(base.select("text").mapInArrow(lambda it: _known_features(it, shared.value), _SUMS).groupBy("feature").agg(*sums).toArrow(), words) if len(words) else in_p
+    z = np.abs(screen(max(1, n_p), in_p, max(1, n_u), in_u))
+    chosen = np.sort(np.argsort(-z, kind="stable")[: p.features])
+    words = words[chosen[z[chosen] >= p.z]]
+    # the fit, on a bounded sample, a row for each id
+    one = confirmed.orderBy(order, "id").limit(p.positives).select("id", F.lit(1).alias("kind"))
+    rest = base.select("id").distinct().orderBy(order, "id").limit(p.unlabelled).select("id", F.lit(0).alias("kind"))
     picked = scratch.put(one.unionByName(rest), "picked")  # at most positives + unlabelled rows
-    sample = base.withColumnRenamed(id_col, "id").join(F.broadcast(picked), "id").select("kind", "text")
-    got = sample.mapInArrow(_features, "kind int, words binary, density binary").toArrow()
-    kind, cells = got["kind"].to_numpy(), list(zip(_cells(got["words"], U), _cells(got["density"], np.float32)))
-    pick = lambda k: [cells[i] for i in np.flatnonzero(kind == k)]
-    model = fit(pick(1), pick(0), prior, p)
+    kept = spark.sparkContext.broadcast(words)
+    sample = base.join(F.broadcast(picked), "id").select("id", "kind", "text").mapInArrow(lambda it: _known_of(it, kept.value), "id long, kind int, at binary, density binary")
+    got = sample.groupBy("id", "kind").agg(F.min(F.struct("at", "density")).alias("x")).select("id", "kind", "x.at", "x.density").toArrow().sort_by([("kind", "ascending"), ("id", "ascending")])
+    kind, cells = got["kind"].to_numpy(), list(zip(_cells(got["at"], np.int32), _cells(got["density"], np.float32)))
+    pick = lambda k: [(words[cells[i][0]], cells[i][1]) for i in np.flatnonzero(kind == k)]
+    model = fit(pick(1), pick(0), prior, p, screened=True)
     del got, cells
     pa.default_memory_pool().release_unused()  # the driver has more to do than this
     return model
 
 
+def _columns(sums: pa.Table, words: np.ndarray) -> np.ndarray:
+    """(3, features): the sums in the order of ``words``; 0 where a feature has none."""
+    out = np.zeros((3, len(words)))
+    at = np.searchsorted(words, sums["feature"].to_numpy().view(U))
+    for k, (c, unit) in enumerate((("n", 1), ("s", _UNIT), ("q", _UNIT))):
+        out[k, at] = sums[c].to_numpy() / unit
+    return out
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text"):
     """The score as a column of ``docs``: the probability that the text is toxic. A null or empty text gets the score of no words."""
     used = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of the training sample
