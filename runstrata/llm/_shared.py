@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +23,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _TEST_ROOTS:
         _TEST_ROOTS.append("file://" + tempfile.mkdtemp(prefix="runstrata-"))
@@ -37,13 +40,14 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive lost executors.
 
     ``put`` writes and rereads; ``drop`` deletes a table that nothing reads any more. What a
-    returned lazy DataFrame still reads is deleted when the Python process ends.
+    returned lazy DataFrame still reads is deleted at the end of the ``written`` block it was made in,
+    or else when the Python process ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.close)
+        _OPEN.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -63,6 +67,47 @@ class Scratch:
             pass
 
 
+_OPEN: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def written():
+    """A block whose results are written before it ends: scratch tables made in it are deleted then, so a long session does not gather them."""
+    mark = len(_OPEN)
+    try:
+        yield
+    finally:
+        for s in _OPEN[mark:]:
+            s.close()
+        del _OPEN[mark:]
+
+
+@atexit.register
+def _close_all() -> None:
+    for s in _OPEN:
+        s.close()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on, beside others, for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU C library alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run):
+    """A generator of batches that trims memory when it ends."""
+
+    @functools.wraps(run)
+    def trimmed(*args, **options):
+        try:
+            yield from run(*args, **options)
+        finally:
+            trim()
+
+    return trimmed
+
+
 def per_key(df: DataFrame, key: str, *aggs) -> DataFrame:
     """``df.groupBy(key).agg(*aggs)``, partitioned such that a join back on ``key`` deals both sides anew.
 

@@ -1,15 +1,18 @@
 """Byte-level BPE over a table of distinct words.
 
 1. Split: documents are cut into the tokenizer's pre-tokens by character classes, vectorised; a task turns its
-   documents into blocks of at most ``block`` bytes: the block's distinct words, the commonest first, and for each
-   document the positions of its words in that list.
+   documents into blocks of at most ``block`` bytes, a file each in the shared folder: the block's distinct words, the
+   commonest first, and for each document the positions of its words in that list. A block's file is read where it is
+   needed and never shuffled.
 2. Encode: the distinct words of all blocks are dealt by hash, in packets of one block and bucket (buckets grow with
-   the blocks, so no bucket does). A word meets all its occurrences, at most one for each block, hence no word is hot,
-   and is encoded once; its ids go back to (block, position).
-3. Join: a block's positions meet its words' ids; the ids of a text are taken by position.
-4. Decode: ids are joined to pieces by id (the vocabulary, of fixed size), pieces are joined by position.
-
-The tokenizer file is a parameter; texts that hold the text of an added token are split at it first, as the
+   the blocks, to a number at which a packet still holds several words). A word meets all its occurrences, at most one
+   for each block, hence no word is hot, and is encoded once; its ids go back to (block, position). Packets are
+   streamed: a task holds the distinct words of one bucket, not their occurrences.
+3. Decode: the distinct ids of each packet are joined to the id-to-piece table by id (the vocabulary, of fixed size).
+4. Join: a block's positions meet its words' ids and these ids' pieces; ids and pieces of a text are taken by position.
+
+Partitions follow the number of blocks, so no task grows with the corpus. The tokenizer file is a parameter, read once
+on the driver and sent to the workers; texts that hold the text of an added token are split at it first, as the
 library does.
 """
 
@@ -24,19 +27,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, group_bounds, runs
+from ._shared import Scratch, frugal, group_bounds, runs
 from ._text import utf8, word_hashes
+from .warc import file_system
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """``path``: a tokenizers JSON file of a byte-level BPE with the usual split pattern and no normaliser. ``block``: bytes of text a block."""
+    """``path``: a tokenizers JSON file of a byte-level BPE with the usual split pattern and no normaliser. ``block``: bytes of text a block; ``buckets``: of words, at most."""
 
     path: str
     block: int = 32 << 20
+    buckets: int = 1 << 14
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> Vocabulary:
@@ -46,37 +51,34 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> Vocabulary:
 
 
 @lru_cache(4)
-def _tokenizer(path: str):
+def _tokenizer(text: str):
+    """The tokenizer in the text of a file, and its added tokens."""
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = json.loads(text)
     pre, model = spec["pre_tokenizer"], spec["model"]
     if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model["type"] != "BPE" or (spec["post_processor"] or pre)["type"] != "ByteLevel":
-        raise ValueError(f"{path}: not a plain byte-level BPE")
-    t = Tokenizer.from_file(path)
+        raise ValueError("not a plain byte-level BPE")
+    t = Tokenizer.from_str(text)
     t.no_truncation()
     t.no_padding()
     return t, [x["content"] for x in spec["added_tokens"]]
 
 
-@lru_cache(4)
-def _pieces(path: str) -> pa.Array:
-    """Bytes of each id: the id-to-piece table."""
-    t, added = _tokenizer(path)
+def pieces(spark: SparkSession, text: str) -> DataFrame:
+    """``id, piece``: the bytes of each id of a vocabulary, as many rows as it has ids."""
+    t, added = _tokenizer(text)
     # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
-    out = [b""] * t.get_vocab_size(with_added_tokens=True)
-    for piece, i in t.get_vocab(with_added_tokens=True).items():
-        out[i] = piece.encode() if piece in added else bytes(byte[c] for c in piece)
-    return pa.array(out, pa.binary())
+    rows = [(i, piece.encode() if piece in added else bytes(byte[c] for c in piece)) for piece, i in t.get_vocab(with_added_tokens=True).items()]
+    return spark.createDataFrame(pa.table({"id": pa.array([r[0] for r in rows], pa.int32()), "piece": pa.array([r[1] for r in rows], pa.binary())}))
 
 
 @lru_cache(4)
-def _classes(path: str) -> np.ndarray:
+def _classes(text: str) -> np.ndarray:
     """Class of each code point: 0 other, 1 letter, 2 number, 3 white space; the library's own splitter decides where Unicode versions may differ."""
-    t, _ = _tokenizer(path)
+    t, _ = _tokenizer(text)
     out = np.zeros(0x110000, np.uint8)
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for kind, pattern, beside in ((1, r"\p{L}", "a"), (2, r"\p{N}", "1")):
@@ -160,10 +162,9 @@ def _added(text: str, added: list[str]) -> list[tuple[str, bool]]:
     return [x for x in [*out, (text[at:], False)] if x[0]]
 
 
-_BLOCK = ["block", "doc_ids", "counts", "codes", "words"]
-_BLOCK_DDL = "block string, doc_ids binary, counts binary, codes binary, words binary"
+_SECTIONS = ("doc_ids", "counts", "codes", "words")
 _PACKET = ["bucket", "block", "places", "words"]
-_PACKET_DDL = "bucket int, block string, places binary, words binary"
+_PACKET_DDL = "bucket int, block long, places binary, words binary"
 
 
 _ZSTD = pa.Codec("zstd", 7)
@@ -213,11 +214,24 @@ def _unpack_words(data: bytes) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(off), pa.py_buffer(raw)])
 
 
-def _blocks(batches, v: Vocabulary) -> Iterator[pa.RecordBatch]:
+def _section(folder: str, block: int, *names: str) -> list[bytes]:
+    """Sections of a block's file."""
+    system, path = file_system(folder)
+    with system.open_input_file(f"{path}/{block}") as f:
+        sizes = np.frombuffer(f.read_at(32, 0), np.int64)
+        ends = 32 + np.cumsum(sizes)
+        return [f.read_at(int(sizes[k]), int(ends[k] - sizes[k])) for k in map(_SECTIONS.index, names)]
+
+
+@frugal
+def _blocks(batches, text: str, block: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Texts -> the number of each block, once its file is written."""
     from pyspark import TaskContext
 
     task = TaskContext.get()
-    classes, (_, added) = _classes(v.path), _tokenizer(v.path)
+    system, path = file_system(folder)
+    system.create_dir(path, recursive=True)
+    classes, (_, added) = _classes(text), _tokenizer(text)
     marks = [x.encode() for x in added]
     held, ids, counts, size, made = [], [], [], 0, 0
 
@@ -232,11 +246,13 @@ def _blocks(batches, v: Vocabulary) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        # the attempt is in the name: blocks of two attempts never meet
-        name = f"{task.partitionId()}-{task.taskAttemptId()}-{made}"
+        # the attempt is in the number: blocks of two attempts never meet, and what a lost attempt left is in no table
+        name = task.taskAttemptId() << 20 | made
         doc, null = np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.int64)
-        cells = [name], [_pack(np.concatenate([doc, null]))], [_pack(np.array(counts, np.int32))], [_pack_codes(rank[codes])], [_pack_words(words.take(pa.array(order)))]
-        out = pa.record_batch([pa.array(c, t) for c, t in zip(cells, (pa.string(), *[pa.binary()] * 4))], names=_BLOCK)
+        cells = [_pack(np.concatenate([doc, null])), _pack(np.array(counts, np.int32)), _pack_codes(rank[codes]), _pack_words(words.take(pa.array(order)))]
+        with system.open_output_stream(f"{path}/{name}", compression=None) as f:
+            f.write(np.array([len(c) for c in cells], np.int64).tobytes() + b"".join(cells))
+        out = pa.record_batch([pa.array([name], pa.int64())], names=["block"])
         held, ids, counts, size, made = [], [], [], 0, made + 1
         return out
 
@@ -245,7 +261,7 @@ def _blocks(batches, v: Vocabulary) -> Iterator[pa.RecordBatch]:
         buf, off = utf8(batch.column(1))
         lo = 0
         while lo < len(names):
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + min(v.block, 2 << 20), "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + min(block, 2 << 20), "right")) - 1)
             hi = min(hi, len(names))
             part, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             raw = part.tobytes()
@@ -266,17 +282,18 @@ def _blocks(batches, v: Vocabulary) -> Iterator[pa.RecordBatch]:
             counts += list(map(int, n))
             size += len(raw)
             lo = hi
-            if size >= v.block:
+            if size >= block:
                 yield flush()
     if ids:
         yield flush()
 
 
-def _packets(batches, buckets: int):
+@frugal
+def _packets(batches, buckets: int, folder: str):
     """The words of each block by hash: a row for each block and bucket, positions as steps."""
     for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = _unpack_words(data)
+        for block in batch.column(0).to_pylist():
+            words = _unpack_words(*_section(folder, block, "words"))
             if not len(words):
                 continue
             off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
@@ -288,35 +305,65 @@ def _packets(batches, buckets: int):
             for a, b in zip(bounds[:-1], bounds[1:]):
                 own = order[a:b]
                 rows.append((int(bucket[own[0]]), block, _pack(np.diff(own, prepend=0).astype(np.int32)), _pack_words(words.take(pa.array(own)))))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=_PACKET)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=_PACKET)
 
 
-def _encode(batches, v: Vocabulary):
-    """Packets sorted by bucket -> (block, positions, how many ids, ids). Of each bucket, every distinct word is encoded once."""
-    t, _ = _tokenizer(v.path)
-    for table in runs(batches, 1):
-        bucket = table["bucket"].to_numpy()
-        blocks, places, packed = (table[c].to_pylist() for c in ("block", "places", "words"))
-        bounds = group_bounds(bucket)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            parts = [_unpack_words(x) for x in packed[a:b]]
-            coded = pa.concat_arrays(parts).dictionary_encode()
+class _Known:
+    """Distinct words of a bucket and their ids, each encoded when it is first met."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, pa.array([], pa.binary())
+        self.start, self.size, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """Places of words among the known, which these words now are."""
+        at = pa.compute.index_in(words, value_set=self.words)
+        if at.null_count:
+            new = words.filter(at.is_null()).unique()
             # alone, a word is one pre-token; an added token is itself
-            found = t.encode_batch([x.decode() for x in coded.dictionary.to_pylist()], add_special_tokens=False)
+            found = self.tokenizer.encode_batch([x.decode() for x in new.to_pylist()], add_special_tokens=False)
             size = np.array([len(e.ids) for e in found], np.int64)
-            ids = np.fromiter((i for e in found for i in e.ids), np.int32, int(size.sum()))
-            start = np.cumsum(size) - size
-            which, at, rows = coded.indices.to_numpy(), 0, []
-            for k, part in zip(range(a, b), parts):
-                own = which[at : at + len(part)]
-                at += len(part)
-                rows.append((blocks[k], places[k], _pack(size[own].astype(np.int32)), _pack(ids[_ranges(start[own], size[own])])))
-            yield pa.record_batch([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "places", "sizes", "ids"])
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.fromiter((i for e in found for i in e.ids), np.int64, int(size.sum()))])
+            self.words = pa.concat_arrays([self.words, new])
+            at = pa.compute.index_in(words, value_set=self.words)
+        return at.to_numpy()
 
 
-@lru_cache(4)
-def _id_texts(path: str) -> pa.Array:
-    return pa.array([f"{i}," for i in range(len(_pieces(path)))], pa.large_binary())
+_GROUP = 1 << 18  # words looked up at once
+_ENCODED = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("used", pa.list_(pa.int32()))])
+
+
+@frugal
+def _encode(batches, text: str):
+    """Packets sorted by bucket -> (block, positions, how many ids, ids, distinct ids). Of each bucket, every distinct word is encoded once."""
+    t, _ = _tokenizer(text)
+    bucket, known, held, n = None, _Known(t), [], 0
+
+    def flush():
+        which, at, rows = known.of(pa.concat_arrays([w for _, _, w in held])), 0, []
+        for block, places, words in held:
+            own = which[at : at + len(words)]
+            at += len(words)
+            its = known.ids[_ranges(known.start[own], known.size[own])].astype(np.int32)
+            rows.append((block, places, _pack(known.size[own].astype(np.int32)), _pack(its), np.unique(its)))
+        held.clear()
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENCODED)], schema=_ENCODED)
+
+    for batch in batches:
+        for b, block, places, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != bucket:
+                if held:
+                    yield flush()
+                bucket, known, n = b, _Known(t), 0
+            held.append((block, places, _unpack_words(packed)))
+            n += len(held[-1][2])
+            if n >= _GROUP:
+                yield flush()
+                n = 0
+    if held:
+        yield flush()
 
 
 def _join_bytes(values: pa.Array, sizes: np.ndarray) -> pa.Array:
@@ -327,9 +374,14 @@ def _join_bytes(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(off[ends].copy()), values.buffers()[2]])
 
 
-def _finish(left: list[dict], parts: pa.Table, v: Vocabulary):
-    """Rows of the documents of one block: id, number of ids, ids as text, decoded bytes."""
-    row = left[0]
+def _finish(row: dict[str, bytes], right: pa.Table):
+    """Of one block: ids and words of its documents, and for each word how many ids it has, these as text, and their pieces."""
+    # the pieces of the block's ids, as the join found them
+    have = right.filter(pa.compute.is_valid(right["id"])).combine_chunks()
+    known, first = np.unique(have["id"].to_numpy(), return_index=True)
+    piece_of = have["piece"].combine_chunks().take(pa.array(first)).cast(pa.large_binary()) if len(known) else pa.array([], pa.large_binary())
+    text_of = pa.array([b"%d," % i for i in known.tolist()], pa.large_binary())
+    parts = right.filter(pa.compute.is_valid(right["places"]))
     none = [np.zeros(0, np.int32)]
     place = np.concatenate([np.cumsum(_unpack(x, np.int32)) for x in parts["places"].to_pylist()] or none)
     size = np.concatenate([_unpack(x, np.int32) for x in parts["sizes"].to_pylist()] or none)
@@ -344,9 +396,12 @@ def _finish(left: list[dict], parts: pa.Table, v: Vocabulary):
         raise ValueError("a block lacks ids of some words")
     size = size[order].astype(np.int64)
     flat = _ranges(start[order], size)
-    ids = pa.array(ids[flat])
-    text = _join_bytes(_id_texts(v.path).take(ids), size)
-    piece = _join_bytes(_pieces(v.path).cast(pa.large_binary()).take(ids), size)
+    ids = ids[flat]
+    at = np.searchsorted(known, ids)
+    if len(ids) and (not len(known) or not (known[np.minimum(at, len(known) - 1)] == ids).all() or piece_of.null_count):
+        raise ValueError("an id is not in the vocabulary")
+    text = _join_bytes(text_of.take(pa.array(at)), size)
+    piece = _join_bytes(piece_of.take(pa.array(at)), size)
     ends = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=ends[1:])
     return doc, ends, codes, size, text, piece
@@ -370,10 +425,19 @@ def _slices(values: pa.Array, codes: np.ndarray, ends: np.ndarray, step: int):
         k = z
 
 
-def _cogroup(left: pa.Table, right: pa.Table, v: Vocabulary, full: bool) -> pa.Table:
-    if not len(left):
-        raise ValueError("ids without a block")
-    doc, ends, codes, size, text, piece = _finish(left.to_pylist(), right, v)
+@frugal
+def _decode(batches, folder: str, full: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of ids and pieces sorted by block -> rows of the documents of each block."""
+    for table in runs(batches, 1):
+        number = table["block"].to_numpy()
+        bounds = group_bounds(number)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            row = dict(zip(_SECTIONS, _section(folder, int(number[a]), *_SECTIONS[:3])))
+            yield from _documents(row, table.slice(a, b - a), full).combine_chunks().to_batches(max_chunksize=4096)
+
+
+def _documents(row: dict[str, bytes], right: pa.Table, full: bool) -> pa.Table:
+    doc, ends, codes, size, text, piece = _finish(row, right)
     n_tokens, ids_out, ids_sha, decoded, decoded_sha = [], [], [], [], []
     total = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(size[codes], out=total[1:])
@@ -398,15 +462,24 @@ def encode_decode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_c
     A null text counts as empty: no ids, the digest of nothing. A null id stays null; rows that repeat an id
     each get their own row. An empty table gives an empty result. Other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession, "bpe")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "bpe")
+    with open(v.path, encoding="utf-8") as f:
+        text = f.read()
+    shipped = spark.sparkContext.broadcast(text)  # a vocabulary file
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = scratch.put(base.mapInArrow(lambda it: _blocks(it, v), _BLOCK_DDL), "blocks")
+    folder = scratch.path("blocks")
+    blocks = scratch.put(base.mapInArrow(lambda it: _blocks(it, shipped.value, v.block, folder), "block long"), "numbers")
+    many = max(1, blocks.count())
     buckets = 64
-    while buckets < 4 * blocks.count():
+    while buckets < many / 4 and buckets < v.buckets:
         buckets *= 2
-    packets = blocks.select("block", "words").mapInArrow(lambda it: _packets(it, buckets), _PACKET_DDL)
-    ids = packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _encode(it, v), "block string, places binary, sizes binary, ids binary")
+    packets = blocks.repartition(many).mapInArrow(lambda it: _packets(it, buckets, folder), _PACKET_DDL)
+    ids = packets.repartition(min(many, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _encode(it, shipped.value), "block long, places binary, sizes binary, ids binary, used array<int>")
+    # a packet's row goes on with its first id; the other ids have rows of their own
+    first = lambda c: F.when(F.coalesce(F.col("k"), F.lit(0)) == 0, F.col(c)).alias(c)
+    used = ids.select("*", F.posexplode_outer("used").alias("k", "id")).select("block", first("places"), first("sizes"), first("ids"), "id")
+    right = used.join(F.broadcast(pieces(spark, text)), "id", "left").select("block", "places", "sizes", "ids", "id", "piece")
+    right = right.unionByName(blocks, allowMissingColumns=True)  # a block of empty texts has no word
     ddl = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    left = blocks.select("block", "doc_ids", "counts", "codes")
-    out = left.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lambda a, b: _cogroup(a, b, v, full), ddl)
-    return out.withColumnRenamed("id", id_col)
+    return right.repartition(many, "block").sortWithinPartitions("block").mapInArrow(lambda it: _decode(it, folder, full), ddl).withColumnRenamed("id", id_col)
