@@ -8,6 +8,7 @@ fitted on the part of the sample kept back.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, frugal, trim
 from ._text import chunks, mix, utf8
 
 UNDETERMINED = "und"
@@ -126,6 +127,7 @@ def grams_of(col: pa.Array, p: Learning):
         yield grams, docs, n
 
 
+@frugal
 def _frequencies(batches, p: Learning):
     """(feature, documents that hold it) summed over a task, and (-1, documents)."""
     df, total = np.zeros(1 << p.bits, np.int64), 0
@@ -143,21 +145,29 @@ def _frequencies(batches, p: Learning):
     yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], names=["feature", "n"])
 
 
-def fit(texts: list[str], langs: list[str], idf: np.ndarray, p: Learning = Learning()) -> Model:
-    """FTRL-proximal over the texts, in the order given, then the temperature on every fifth."""
-    names = tuple(sorted(set(langs)))
-    size, k = 1 << p.bits, len(names)
-    if not k:
-        return Model((), np.zeros((size, 0)), np.zeros(0), 1.0, p)
-    rows = []
-    for grams, docs, n in grams_of(pa.array(texts, pa.string()), p):
+def counted(col: pa.Array, p: Learning) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct hashed n-grams and how often each occurs."""
+    for grams, docs, n in grams_of(col, p):
         h, d = np.concatenate(grams), np.concatenate(docs)
         order = np.argsort(d, kind="stable")
         h, d = h[order], d[order]
         ends = np.searchsorted(d, np.arange(n + 1))
         for a, b in zip(ends[:-1], ends[1:]):
-            f, c = np.unique(h[a:b], return_counts=True)
-            rows.append((f, c * idf[f] / max(1, b - a)))
+            yield np.unique(h[a:b], return_counts=True)
+
+
+def fit(texts: list[str], langs: list[str], idf: np.ndarray, p: Learning = Learning()) -> Model:
+    """``fit_counts`` to texts."""
+    return fit_counts(list(counted(pa.array(texts, pa.string()), p)), langs, idf, p)
+
+
+def fit_counts(found: list[tuple[np.ndarray, np.ndarray]], langs: list[str], idf: np.ndarray, p: Learning = Learning()) -> Model:
+    """FTRL-proximal over texts given as n-grams and their counts, in the order given, then the temperature on every fifth."""
+    names = tuple(sorted(set(langs)))
+    size, k = 1 << p.bits, len(names)
+    if not k:
+        return Model((), np.zeros((size, 0)), np.zeros(0), 1.0, p)
+    rows = [(f, c * idf[f] / max(1, c.sum())) for f, c in found]
     norm = np.mean([np.sqrt((x * x).sum()) for _, x in rows if len(x)] or [1.0]) or 1.0
     rows = [(f, x / norm) for f, x in rows]
     y = np.array([names.index(x) for x in langs])
@@ -192,21 +202,46 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, p: Learning = Learn
 
 
 def train(docs: DataFrame, learns, p: Learning = Learning(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from rows for which ``learns`` holds and whose language is not null."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """Learn from rows for which ``learns`` (a column of the id) holds and whose text and language are not null.
+
+    Document frequencies come from all of these rows. The sample has a row for each id (of rows that repeat one, the
+    least by language, then n-grams); rows with a null id are counted, but not in the sample. Ties of the sample's
+    order go by id. Without any such row the model knows no language, and every text is ``und``. Other columns are not
+    read.
+    """
+    base = _base(docs, learns, id_col, text_col, lang_col)
     df = base.select("text").mapInArrow(lambda it: _frequencies(it, p), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # at most 2**bits + 1 rows
     at, n = df["feature"].to_numpy(), df["n"].to_numpy()
     count = np.zeros(1 << p.bits)
     count[at[at >= 0]] = n[at >= 0]
     total = int(n[at < 0].sum())
     idf = np.log((1 + total) / (1 + count)) + 1
-    order = F.xxhash64(F.col(id_col), F.lit(p.seed))
-    scratch = Scratch(spark, "lang")
-    ids = scratch.put(base.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64(F.col("id"), F.lit(p.seed))).limit(p.sample), "ids")
-    got = base.join(F.broadcast(ids), F.col(id_col) == F.col("id"), "left_semi").select(order.alias("o"), "text", "lang").collect()  # at most p.sample ids
-    got.sort(key=lambda r: (r.o, r.lang, r.text))
-    return fit([r.text for r in got], [r.lang for r in got], idf, p)
+    got = sampled(docs, learns, p, id_col, text_col, lang_col)
+    return fit_counts([(f, c) for _, _, f, c in got], [lang for _, lang, _, _ in got], idf, p)
+
+
+def _base(docs: DataFrame, learns, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+@frugal
+def _counts(batches, p: Learning):
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            rows = [(f.astype(np.int32).tobytes(), c.astype(np.int32).tobytes()) for f, c in counted(part.column(2), p)]
+            yield pa.record_batch([part.column(0), part.column(1), *(pa.array([r[j] for r in rows], pa.binary()) for j in (0, 1))], names=["id", "lang", "f", "c"])
+
+
+def sampled(docs: DataFrame, learns, p: Learning, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple]:
+    """(id, language, n-grams, counts) of the training sample, a row for each id, at most ``2**bits`` n-grams a row: texts stay on the executors."""
+    base = _base(docs, learns, id_col, text_col, lang_col).where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "id")
+    scratch = Scratch(docs.sparkSession, "lang")
+    order = F.xxhash64("id", F.lit(p.seed))
+    ids = scratch.put(base.select("id").distinct().orderBy(order, "id").limit(p.sample), "ids")  # at most p.sample rows
+    rows = base.join(F.broadcast(ids), "id").select("id", "lang", "text").mapInArrow(lambda it: _counts(it, p), "id long, lang string, f binary, c binary")
+    got = rows.groupBy("id").agg(F.min(F.struct("lang", "f", "c")).alias("x")).select("id", order.alias("o"), "x.*").orderBy("o", "id").collect()
+    return [(r.id, r.lang, np.frombuffer(r.f, np.int32), np.frombuffer(r.c, np.int32)) for r in got]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text"):
@@ -216,6 +251,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text"):
     @F.arrow_udf("struct<lang:string,score:double>")
     def language(text: pa.Array) -> pa.Array:
         names, scores = used.value.predict(text)
+        trim()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return language(F.col(text_col).cast("string"))

@@ -4,7 +4,8 @@ The text view sees the shape of the text: runs of lower-case, upper-case, digits
 hashed groups of one to three, and how words repeat. The metadata view sees the record and the layout: size, lines,
 language and source. Each view has a logistic classifier. In every round, each view gives the other the unlabelled
 documents it is surest of, as pseudo-labels; a round that makes a view's loss on kept-back labels worse ends the exchange.
-Each view is calibrated (Platt) on the kept-back rows and a logistic stack joins them. All documents are scored.
+Each view is calibrated (Platt) on the kept-back rows and a logistic stack joins them: seven numbers in all, hence one
+kept-back set. All documents are scored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, frugal, trim
 from ._text import LOWER, NOT_BLANK, U, chunks, mix, utf8, word_hashes, words
 
 
@@ -233,18 +234,25 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, p: Learning = Lea
     return Model(a, b, sa, sb, np.array([w[0], w[1], s.b - (w * s.mean).sum()]), p, done)
 
 
+@frugal
 def _sample_views(batches, p: Learning):
     for batch in batches:
         text, lang, source, n_chars = batch.column(2), *(batch.column(k).to_pylist() for k in (3, 4, 5))
         at = 0
         for a, b in views(text, lang, source, n_chars, p):
             n = len(a)
-            yield pa.record_batch([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array([r.tobytes() for r in a.astype(np.float32)], pa.binary()), pa.array([r.tobytes() for r in b.astype(np.float32)], pa.binary())], names=["o", "y", "a", "b"])
+            yield pa.record_batch([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array([r.tobytes() for r in a.astype(np.float32)], pa.binary()), pa.array([r.tobytes() for r in b.astype(np.float32)], pa.binary())], names=["id", "y", "a", "b"])
             at += n
 
 
 def train(docs: DataFrame, labels: DataFrame, learns, p: Learning = Learning(), id_col: str = "doc_id", label_col: str = "quality") -> Model:
-    """Learn from labelled rows and from unlabelled documents for which ``learns`` (a column of the id) holds. Ids with both labels count as 0."""
+    """Learn from labelled rows and from unlabelled documents for which ``learns`` (a column of the id) holds. Ids with both labels count as 0.
+
+    Labels that are null, neither 0 nor 1, or without an id, and documents without an id, teach nothing. Any other
+    column of a document may be null. Of rows that repeat an id one is in the sample (the least by its views). Ties of
+    the sample's order go by id. Where the labels of one class are missing, or there is no document, every document
+    scores the smoothed share of 1. Columns other than text, lang, source, n_chars are not read.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
     order = F.xxhash64(F.col("id"), F.lit(p.seed))
     marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("y")).where(learns & F.col(id_col).isNotNull() & F.col("y").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min("y").alias("y"))
@@ -252,10 +260,11 @@ def train(docs: DataFrame, labels: DataFrame, learns, p: Learning = Learning(),
     known = marked.orderBy(order).limit(p.labelled)
     rest = base.select("id").distinct().join(marked, "id", "left_anti").orderBy(order).limit(p.unlabelled).select("id", F.lit(-1).alias("y"))
     picked = scratch.put(known.unionByName(rest), "picked")  # at most labelled + unlabelled rows
-    rows = base.join(F.broadcast(picked), "id").select(order.alias("o"), "y", "text", "lang", "source", "n_chars")
-    got = rows.mapInArrow(lambda it: _sample_views(it, p), "o long, y int, a binary, b binary").toArrow()
+    rows = base.join(F.broadcast(picked), "id").select("id", "y", "text", "lang", "source", "n_chars")
+    got = rows.mapInArrow(lambda it: _sample_views(it, p), "id long, y int, a binary, b binary")
+    got = got.groupBy("id").agg(F.min(F.struct("y", "a", "b")).alias("x")).select("id", order.alias("o"), "x.*").toArrow()  # a row for each id
     o, y = got["o"].to_numpy(), got["y"].to_numpy()
-    at = np.argsort(o, kind="stable")
+    at = np.lexsort((got["id"].to_numpy(), o))
     stack = lambda c: np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(len(o), -1).astype(np.float64)[at] if len(o) else np.zeros((0, 1))
     return cotrain(stack("a"), stack("b"), y[at], p)
 
@@ -272,6 +281,8 @@ def score(docs: DataFrame, model: Model):
 
     @F.arrow_udf("double")
     def good(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
-        return pa.array(used.value.scores(text, lang.to_pylist(), source.to_pylist(), n_chars.to_pylist()))
+        out = pa.array(used.value.scores(text, lang.to_pylist(), source.to_pylist(), n_chars.to_pylist()))
+        trim()
+        return out
 
     return good(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
