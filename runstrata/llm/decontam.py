@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, fresh, group_bounds, runs
+from ._shared import Scratch, fresh, frugal, group_bounds, runs
 from ._text import ALNUM, U, chunks, mix, utf8, whole, windows, word_hashes, words
 
 #: Fixed: units that may follow a number.
@@ -165,6 +165,7 @@ def _digest(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+@frugal
 def _found(batches, p: Template, sizes: list[int] | None, table):
     """Windows of the texts of (key, mark, mark2, text): of items if ``sizes`` is None, else of documents, of those sizes, that the table may hold.
 
@@ -253,6 +254,7 @@ def consistent(item_places: np.ndarray, shift: np.ndarray, item_slots: list[byte
     return float(covered.mean()), same, int(longest), most
 
 
+@frugal
 def _judge(batches, p: Template):
     """Joined windows sorted by (mark, mark2, item_mark, item) -> text and item, where the item is in the text."""
     for table in runs(batches, 1):

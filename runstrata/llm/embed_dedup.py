@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components, forest
-from ._shared import Scratch, group_bounds, per_key, runs
+from ._shared import Scratch, frugal, group_bounds, per_key, runs
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,7 @@ def unit(raw) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+@frugal
 def _encode(batches, width: int):
     """(id, label, embedding) -> the same with the vector as bytes; null where it can link with nothing."""
     kind, mark = np.dtype(f"f{width}"), bytes([width])
@@ -67,6 +68,7 @@ def _encode(batches, width: int):
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "vec"])
 
 
+@frugal
 def _codes(batches, p: Passes):
     planes: dict[int, np.ndarray] = {}
     weight = np.uint64(1) << np.arange(p.bits - 1, -1, -1, dtype=np.uint64)
@@ -99,6 +101,7 @@ def _near(x: np.ndarray, group: np.ndarray, p: Passes):
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
 
 
+@frugal
 def _compare(batches, p: Passes):
     """Windows over one sorted partition; its first and last vectors leave as well, for the neighbours."""
     part = TaskContext.get().partitionId()
@@ -144,6 +147,7 @@ def _pairs_of(t: pa.Table, p: Passes):
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
 
 
+@frugal
 def _borders(batches, p: Passes):
     for table in runs(batches, 1):
         border = table["border"].to_numpy()
@@ -168,6 +172,7 @@ def _balls(x: np.ndarray, order: np.ndarray, block: int):
     return out
 
 
+@frugal
 def _count(batches, p: Passes):
     """Links of each vector within a tile (n), and links between groups of the passes (other)."""
     reach = np.arccos(p.cosine) + 1e-6

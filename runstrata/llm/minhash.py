@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._graph import components, forest
-from ._shared import Scratch, group_bounds, per_key, runs
+from ._shared import Scratch, frugal, group_bounds, per_key, runs
 from ._text import U, shingle_sets, utf8
 
 
@@ -117,6 +117,7 @@ def clearly_below(t: float, size_a, size_b, up, same, p: Near) -> np.ndarray:
     return best - at > p.cut
 
 
+@frugal
 def _sketches(batches, p: Near):
     odd = np.random.default_rng(p.seed).integers(1, 2**63, p.registers, dtype=U) * U(2) + U(1)
     for batch in batches:
@@ -153,6 +154,7 @@ def _pairs(bounds: np.ndarray, side: np.ndarray, most: int = 1 << 16):
         yield np.concatenate(left), np.concatenate(right)
 
 
+@frugal
 def _promising(batches, p: Near):
     """Texts of pairs that may be links, for each pair of chunks of a band."""
     t = p.percent / 100
@@ -180,6 +182,7 @@ def _promising(batches, p: Near):
             yield table.select(["id", "digest", "at", "comp"]).take(pa.array(at)).combine_chunks().to_batches()[0]
 
 
+@frugal
 def _sets(batches, p: Near):
     """The full set of each text, as sorted 64-bit shingles. Rows come by id, so what repeats an id and its text goes."""
     last, seen = None, set()
@@ -227,6 +230,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@frugal
 def _links(batches, p: Near):
     """A spanning forest of the links within each group of texts."""
     for table in runs(batches, 1):

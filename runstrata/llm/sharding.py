@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import fresh
+
 
 @dataclass(frozen=True)
 class Table:
@@ -67,11 +69,16 @@ def place(df: DataFrame, t: Table = Table(), key_col: str = "doc_id") -> DataFra
 
 
 def write_shards(df: DataFrame, path: str, t: Table = Table(), key_col: str = "doc_id", per_file: int = 1_000_000) -> None:
-    """Write all columns below ``path``, one folder a shard. Rows stay where they are: no shard is one task, files are bounded in rows."""
+    """Write all columns below ``path``, one folder a shard. Rows stay where they are: no shard is one task, files are bounded in rows.
+
+    Null keys go where the empty text goes, repeated rows all go, an empty table writes no shard. A column named
+    ``shard`` (in any case) is refused; any other name is kept.
+    """
     if "shard" in [c.lower() for c in df.columns]:
         raise ValueError("the table has a column named shard")
-    table = lookup_table(df.sparkSession, t).withColumnRenamed("slot", "_slot")
-    out = df.withColumn("_slot", slot_of(F.col(key_col), t)).join(F.broadcast(table), "_slot").drop("_slot")
+    slot = fresh("_slot", df.columns)
+    table = lookup_table(df.sparkSession, t).withColumnRenamed("slot", slot)
+    out = df.withColumn(slot, slot_of(F.col(key_col), t)).join(F.broadcast(table), slot).drop(slot)
     out.write.option("maxRecordsPerFile", per_file).partitionBy("shard").parquet(path)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, frugal, trim
 from ._text import LETTERS, LOWER, U, chunks, mix, utf8, word_hashes, words
 
 
@@ -123,6 +123,7 @@ def _sums_of(at: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.bincount(at, v, n) for v in (None, np.rint(value * _UNIT), np.rint(value * value * _UNIT))]
 
 
+@frugal
 def _every_feature(batches):
     """Texts -> for each feature in some texts how many hold it, the sum of its densities and that of their squares."""
     for batch in batches:
@@ -136,6 +137,7 @@ def _every_feature(batches):
             yield _sum_rows(every.view(np.int64), *_sums_of(which, density(count, np.diff(first)[doc]), len(every)))
 
 
+@frugal
 def _known_features(batches, words: np.ndarray):
     """The same for the known features alone, once for a whole task."""
     known, total = Vocabulary(words), np.zeros((3, len(words)))
@@ -146,6 +148,7 @@ def _known_features(batches, words: np.ndarray):
     yield _sum_rows(words[at].view(np.int64), *total[:, at])
 
 
+@frugal
 def _known_of(batches, words: np.ndarray):
     """(id, kind, text) -> (id, kind, places of its known features, their densities)."""
     known = Vocabulary(words)
@@ -273,6 +276,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text"):
 
     @F.arrow_udf("double")
     def toxic(text: pa.Array) -> pa.Array:
-        return pa.array(used.value.scores(text))
+        out = pa.array(used.value.scores(text))
+        trim()
+        return out
 
     return toxic(F.col(text_col).cast("string"))

@@ -3,8 +3,10 @@
 A rule is a site rule (host and path prefix) or a pattern (``*`` any text, ``^`` a separator or the end, ``|`` an end of the
 url). A rule's literal tokens are its runs of letters and digits that a url must hold as whole tokens. Each rule is
 filed under the one of these that the fewest urls of the table hold; a rule without any is fetched for every url.
-The index is a literal array of hash buckets, sized by the rules, so a token finds its candidates in constant time,
-and only candidates run their regular expressions. No join, no shuffle of urls: a hot host is no matter.
+The index is an array of hash buckets, sized by the rules, that goes to the workers with the plan, as any constant does
+(about 150 bytes a rule). A token finds its candidates in constant time, and only candidates run their regular
+expressions. No join, no shuffle of urls: a hot host is no matter. What is counted for the index, the urls of each token
+of a rule, is one partial aggregate over a table of as many rows as the rules have tokens.
 """
 
 from __future__ import annotations
@@ -96,8 +98,9 @@ def judge(pages: DataFrame, site_rules=SITE_RULES, patterns=PATTERNS, default: s
     wanted = sorted({t for r in rules for t in tokens_of(r)})
     count: dict[str, int] = {}
     if wanted:  # in how many urls each token of a rule is: at most as many rows as the rules have tokens
-        held = F.array_intersect("_tokens", F.array(*[F.lit(t) for t in wanted]))
-        count = {r.t: r.n for r in base.select(F.explode(held).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+        own = pages.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+        held = base.select(F.explode("_tokens").alias("t")).join(F.broadcast(own), "t", "left_semi")
+        count = {r.t: r.n for r in held.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     buckets = _file(rules, count)
     kind = "struct<token:string,regex:string,rule:string,verdict:string,site:boolean,size:int>"
     index = F.from_json(F.lit(json.dumps(buckets)), f"array<array<{kind}>>")

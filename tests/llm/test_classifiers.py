@@ -1,11 +1,14 @@
+import itertools
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runstrata.llm import langid, quality, toxicity
+from runstrata.llm import _text, langid, quality, toxicity
 from runstrata.llm._shared import held_out
 from runstrata.llm.queries import op2_toxicity, op5_language_id, op6_quality
 
@@ -49,6 +52,132 @@ def test_nonnegative_risk_on_known_words():
     assert np.mean([score(doc(True)) > 0 for _ in range(200)]) > 0.9 and np.mean([score(doc(False)) > 0 for _ in range(200)]) < 0.05
 
 
+def plain_words(text):
+    """Words and beginnings of a text as ``scores`` sees them, with their densities."""
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())
+    words = [w.lower() for w in words]
+    out = Counter((w, len(w)) for w in words) + Counter((w[:k], -k) for w in words for k in toxicity.BEGINNINGS if len(w) > k)
+    return {w: min(1.0, 25 * n / len(words)) for w, n in out.items()}
+
+
+def hash_of(word, kind):
+    buf = np.frombuffer(word, np.uint8)
+    h = _text.word_hashes(buf, np.array([0]), np.array([len(buf)]))
+    return int((_text.mix(h) if kind < 0 else h)[0])
+
+
+def test_op2_scores_are_those_of_a_plain_scorer(spark):
+    """Every document of the smallest table, word by word from the fitted model; the screen from a plain count."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, ~held_out("doc_id", 5, 0))
+    weight = dict(zip(model.words.tolist(), model.weights))
+    got = {r.doc_id: r.score for r in op2_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        z = model.bias + sum(weight.get(hash_of(*w), 0.0) * x for w, x in plain_words(r.text).items())
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    learn = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5]
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    every, bad = ([plain_words(r.text) for r in learn if which(r)] for which in (lambda r: True, lambda r: r.doc_id in toxic))
+    held = Counter(w for d in bad for w in d)
+    passed = set()
+    for w in (w for w, n in held.items() if n >= 4):
+        a, b = (np.array([d.get(w, 0.0) for d in ds]) for ds in (bad, every))
+        if abs(a.mean() - b.mean()) / np.sqrt(a.var() / len(a) + b.var() / len(b) + 1e-9) >= 3.001:
+            passed.add(hash_of(*w))
+    assert set(model.words.tolist()) <= {hash_of(*w) for w, n in held.items() if n >= 4} and passed
+
+
+def test_repeated_ids_come_once(spark):
+    """A third of all rows under one id: the sample has a row for each id, whatever its texts."""
+    rows = [(i, f"word{i % 7} other{i} thing", "en" if i % 2 else "fr", "s", 10) for i in range(60)] + [(7, f"copy {i % 3} of seven", "en", "s", 10) for i in range(30)]
+    docs = spark.createDataFrame(rows, DDL).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(60)] * 2, "doc_id long, toxic int, quality int")
+    for model in (toxicity.train(docs, labels, F.lit(True)), quality.train(docs, labels, F.lit(True)), langid.train(docs, F.lit(True))):
+        assert model is not None
+    got = langid.sampled(docs, F.lit(True), langid.Learning())
+    assert len(got) == 60 and len({g[0] for g in got}) == 60
+
+
+def plain_grams(text, bits):
+    """Hashed n-grams of one to three letters of the space-padded words of a text."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    mix = lambda x: int(_text.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    out = []
+    for w in low.split():
+        cp = [32, *map(ord, w), 32]
+        out += [mix(c + (1 << 32)) for c in cp[1:-1]]
+        out += [mix(mix(a) + b) for a, b in zip(cp, cp[1:])]
+        if len(w) > 1:
+            out += [mix(mix(mix(a + 7) + b) + c) for a, b, c in zip(cp, cp[1:], cp[2:])]
+    return [h & ((1 << bits) - 1) for h in out]
+
+
+def test_op5_is_a_plain_scorer(spark):
+    """Documents of the smallest table, n-gram by n-gram from the fitted model; document frequencies from a plain count."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs, ~held_out("doc_id", 4, 2))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op5_language_id(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:150]:
+        grams = plain_grams(r.text or "", model.p.bits)
+        if not grams:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        z = (sum(model.weights[g] for g in grams) / len(grams) + model.bias) / model.temperature
+        q = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r.doc_id][0] == model.langs[int(q.argmax())] and got[r.doc_id][1] == pytest.approx(q.max(), abs=1e-6)
+
+
+def plain_views(text, lang, source, n_chars, p):
+    """Both views of one document, in plain Python."""
+    raw = (text or "").encode()
+    mix = lambda x: int(_text.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    kind = lambda c: 1 if 97 <= c <= 122 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in b" \t\x0b\x0c" else 5 if c in b"\n\r" else c
+    shapes = [(k, len(list(g))) for k, g in itertools.groupby(map(kind, raw))]
+    symbols = [k * 8 + min(n, 4) for k, n in shapes]
+    count = np.zeros(p.buckets)
+    for order in (1, 2, 3):
+        for k in range(len(symbols) - order + 1):
+            h = mix(symbols[k] + (order << 20))
+            for x in symbols[k + 1 : k + order]:
+                h = mix(h + x)
+            count[h % p.buckets] += 1
+    words = re.findall(rb"[^ \t\n\x0b\x0c\r]+", raw)
+    same = Counter(w.lower() for w in words)
+    caps = sum(w[:2].isalpha() and w[:2].isupper() and len(w) > 1 for w in words)
+    n = max(1, len(words))
+    one = np.concatenate([np.sqrt(count / max(1, count.sum())), [len(same) / n, max(same.values(), default=0) / n, caps / n]])
+    size, lines = len(raw), raw.count(b"\n") + 1
+    blanks = sum(c in b" \t\n\x0b\x0c\r" for c in raw)
+    stated = size if n_chars is None else max(0, n_chars)
+    two = [np.log1p(stated) / 10, np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 8, blanks / max(1, size), float(size == 0), float(n_chars is None)]
+    hot = np.zeros(quality.LANGS + quality.SOURCES)
+    for value, first, many in ((lang, 0, quality.LANGS), (source, quality.LANGS, quality.SOURCES)):
+        if value is not None:
+            hot[first + hash_of(value.encode() or b"\0", 1) % many] = 1
+    return one, np.concatenate([two, hot])
+
+
+def test_op6_is_a_plain_scorer(spark):
+    """Every document of the smallest table by itself, with margins, calibration and stack written out."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(docs, labels, ~held_out("doc_id", 5, 1))
+    got = {r.doc_id: r.score for r in op6_quality(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and m.text is not None
+    margin = lambda f, x: float(((x - f.mean) / f.scale) @ f.w + f.b)
+    for r in rows:
+        a, b = plain_views(r.text, r.lang, r.source, r.n_chars, m.p)
+        one, two = (s[0] * margin(f, x) + s[1] for f, x, s in ((m.text, a, m.text_scale), (m.meta, b, m.meta_scale)))
+        z = m.stack[0] * one + m.stack[1] * two + m.stack[2]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
 def test_nothing_to_learn_from(spark):
     docs, labels = odd(spark), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     t = toxicity.train(docs, labels, F.lit(True))
