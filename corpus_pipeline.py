@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runstrata.llm import bpe, decontam, minhash, quality, toxicity
-from runstrata.llm._shared import Scratch, fresh, held_out
+from runstrata.llm._shared import Scratch, fresh, held_out, written
 
 
 def _kept(docs: DataFrame, score, keep) -> DataFrame:
@@ -27,13 +27,28 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by five-word shingles with a similarity of 0.8 or more, the document of the smallest id stays, once. Documents with a null id stay."""
-    judged = minhash.near_duplicates(docs, minhash.FIVE_WORDS)
-    gone = fresh("_gone", docs.columns)
-    judged = judged.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    left = docs.join(judged, docs["doc_id"].cast("long") == judged[gone], "left_anti")
-    named = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(left.where(F.col("doc_id").isNull()))
+    """Of every group of texts linked by five-word shingles with a similarity of 0.8 or more, the one of the smallest id stays.
+
+    Texts are judged, not ids: rows that share an id but not a text go or stay by themselves (of several texts of the
+    smallest id, that of the least hash stays). Rows equal in id and text are one row (the least by its other columns
+    as JSON). Rows with a null id stay, all of them.
+    """
+    mark, text = fresh("_mark", docs.columns), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.where("doc_id is not null").withColumn(mark, F.xxhash64(F.col("doc_id").cast("long"), text))
+    groups = minhash.near_duplicates(named.select(F.col(mark).alias("doc_id"), "text"), minhash.FIVE_WORDS)
+    groups = groups.select(F.col("doc_id").alias("m"), F.col("component_id").alias("root")).distinct()
+    ids = named.select(F.col(mark).alias("m"), F.col("doc_id").cast("long").alias("id")).groupBy("m", "id").agg(F.count(F.lit(1)).alias("rows"))
+    best = groups.join(ids, "m").groupBy("root").agg(F.min(F.struct("id", "m")).alias("best")).select("best.m")
+    scratch = Scratch(spark, "near_copies")
+    stay = scratch.put(ids.join(best, "m").select(F.col("m").alias(mark), "rows"), "stay")  # grows with the corpus: never broadcast
+    again = scratch.put(stay.where("rows > 1").select(mark), "again")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    once = named.join(stay.where("rows = 1").select(mark).hint("merge"), mark, "left_semi").select(*cols)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    several = named.join(again, mark, "left_semi")
+    several = several.groupBy(mark).agg(F.min_by(F.struct(*cols), F.to_json(F.struct(*rest)) if rest else F.lit(0)).alias("x"))
+    several = several.select(*[F.col(f"x.`{c}`").alias(c) for c in docs.columns])
+    return once.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        with written():
+            docs = scratch.put(stage(spark, docs, sf_dir), name)
     return docs
