@@ -40,7 +40,7 @@ class Vocabulary:
     """``path``: a tokenizers JSON file of a byte-level BPE with the usual split pattern and no normaliser. ``block``: bytes of text a block; ``buckets``: of words, at most."""
 
     path: str
-    block: int = 32 << 20
+    block: int = 16 << 20
     buckets: int = 1 << 14
 
 
@@ -50,24 +50,29 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> Vocabulary:
     return Vocabulary(public_tokenizers.path(name))
 
 
-@lru_cache(4)
-def _tokenizer(text: str):
-    """The tokenizer in the text of a file, and its added tokens."""
-    from tokenizers import Tokenizer
-
+def _added_tokens(text: str) -> list[str]:
+    """The added tokens of the text of a tokenizer file, which must be of the kind that ``Vocabulary`` says."""
     spec = json.loads(text)
     pre, model = spec["pre_tokenizer"], spec["model"]
     if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model["type"] != "BPE" or (spec["post_processor"] or pre)["type"] != "ByteLevel":
         raise ValueError("not a plain byte-level BPE")
+    return [x["content"] for x in spec["added_tokens"]]
+
+
+@lru_cache(1)
+def _tokenizer(text: str):
+    """The tokenizer in the text of a file."""
+    from tokenizers import Tokenizer
+
     t = Tokenizer.from_str(text)
     t.no_truncation()
     t.no_padding()
-    return t, [x["content"] for x in spec["added_tokens"]]
+    return t
 
 
-def pieces(spark: SparkSession, text: str) -> DataFrame:
+def pieces(spark: SparkSession, text: str, added: list[str]) -> DataFrame:
     """``id, piece``: the bytes of each id of a vocabulary, as many rows as it has ids."""
-    t, added = _tokenizer(text)
+    t = _tokenizer(text)
     # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
@@ -75,10 +80,10 @@ def pieces(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array([r[0] for r in rows], pa.int32()), "piece": pa.array([r[1] for r in rows], pa.binary())}))
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _classes(text: str) -> np.ndarray:
     """Class of each code point: 0 other, 1 letter, 2 number, 3 white space; the library's own splitter decides where Unicode versions may differ."""
-    t, _ = _tokenizer(text)
+    t = _tokenizer(text)
     out = np.zeros(0x110000, np.uint8)
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for kind, pattern, beside in ((1, r"\p{L}", "a"), (2, r"\p{N}", "1")):
@@ -224,14 +229,14 @@ def _section(folder: str, block: int, *names: str) -> list[bytes]:
 
 
 @frugal
-def _blocks(batches, text: str, block: int, folder: str) -> Iterator[pa.RecordBatch]:
+def _blocks(batches, classes: bytes, added: list[str], block: int, folder: str) -> Iterator[pa.RecordBatch]:
     """Texts -> the number of each block, once its file is written."""
     from pyspark import TaskContext
 
     task = TaskContext.get()
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
-    classes, (_, added) = _classes(text), _tokenizer(text)
+    classes = np.frombuffer(classes, np.uint8)
     marks = [x.encode() for x in added]
     held, ids, counts, size, made = [], [], [], 0, 0
 
@@ -261,7 +266,7 @@ def _blocks(batches, text: str, block: int, folder: str) -> Iterator[pa.RecordBa
         buf, off = utf8(batch.column(1))
         lo = 0
         while lo < len(names):
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + min(block, 2 << 20), "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + min(block, 1 << 19), "right")) - 1)
             hi = min(hi, len(names))
             part, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             raw = part.tobytes()
@@ -338,7 +343,7 @@ _ENCODED = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes",
 @frugal
 def _encode(batches, text: str):
     """Packets sorted by bucket -> (block, positions, how many ids, ids, distinct ids). Of each bucket, every distinct word is encoded once."""
-    t, _ = _tokenizer(text)
+    t = _tokenizer(text)
     bucket, known, held, n = None, _Known(t), [], 0
 
     def flush():
@@ -439,10 +444,9 @@ def _decode(batches, folder: str, full: bool) -> Iterator[pa.RecordBatch]:
 def _documents(row: dict[str, bytes], right: pa.Table, full: bool) -> pa.Table:
     doc, ends, codes, size, text, piece = _finish(row, right)
     n_tokens, ids_out, ids_sha, decoded, decoded_sha = [], [], [], [], []
-    total = np.zeros(len(codes) + 1, np.int64)
-    np.cumsum(size[codes], out=total[1:])
+    small = size.astype(np.int32)
     for d, (i, p) in enumerate(zip(_slices(text, codes, ends, 1 << 18), _slices(piece, codes, ends, 1 << 18))):
-        n_tokens.append(int(total[ends[d + 1]] - total[ends[d]]))
+        n_tokens.append(int(small[codes[ends[d] : ends[d + 1]]].sum()))
         out = bytes(p).decode("utf-8", "replace")
         ids_sha.append(hashlib.sha256(i[:-1]).hexdigest())
         decoded_sha.append(hashlib.sha256(out.encode()).hexdigest())
@@ -466,10 +470,11 @@ def encode_decode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_c
     scratch = Scratch(spark, "bpe")
     with open(v.path, encoding="utf-8") as f:
         text = f.read()
-    shipped = spark.sparkContext.broadcast(text)  # a vocabulary file
+    added = _added_tokens(text)
+    shipped, kinds = spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(_classes(text).tobytes())  # a vocabulary file, and a byte for each code point
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     folder = scratch.path("blocks")
-    blocks = scratch.put(base.mapInArrow(lambda it: _blocks(it, shipped.value, v.block, folder), "block long"), "numbers")
+    blocks = scratch.put(base.mapInArrow(lambda it: _blocks(it, kinds.value, added, v.block, folder), "block long"), "numbers")
     many = max(1, blocks.count())
     buckets = 64
     while buckets < many / 4 and buckets < v.buckets:
@@ -479,7 +484,7 @@ def encode_decode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_c
     # a packet's row goes on with its first id; the other ids have rows of their own
     first = lambda c: F.when(F.coalesce(F.col("k"), F.lit(0)) == 0, F.col(c)).alias(c)
     used = ids.select("*", F.posexplode_outer("used").alias("k", "id")).select("block", first("places"), first("sizes"), first("ids"), "id")
-    right = used.join(F.broadcast(pieces(spark, text)), "id", "left").select("block", "places", "sizes", "ids", "id", "piece")
+    right = used.join(F.broadcast(pieces(spark, text, added)), "id", "left").select("block", "places", "sizes", "ids", "id", "piece")
     right = right.unionByName(blocks, allowMissingColumns=True)  # a block of empty texts has no word
     ddl = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
     return right.repartition(many, "block").sortWithinPartitions("block").mapInArrow(lambda it: _decode(it, folder, full), ddl).withColumnRenamed("id", id_col)

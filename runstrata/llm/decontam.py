@@ -174,7 +174,7 @@ def _found(batches, p: Template, sizes: list[int] | None, table):
     for batch in batches:
         keys, marks, marks2 = (batch.column(k).to_pylist() for k in range(3))
         buf, off = utf8(batch.column(3))
-        for lo, hi in chunks(off):
+        for lo, hi in chunks(off, 1 << 18):
             h, kind, opens, first = canonical(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             rows = []
             n = np.diff(first)
