@@ -123,9 +123,13 @@ def _sums_of(at: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.bincount(at, v, n) for v in (None, np.rint(value * _UNIT), np.rint(value * value * _UNIT))]
 
 
+_MOST = 1 << 20  # features that a task gathers before it sends their sums on
+
+
 @frugal
 def _every_feature(batches):
-    """Texts -> for each feature in some texts how many hold it, the sum of its densities and that of their squares."""
+    """Texts -> for each feature how many hold it, the sum of its densities and that of their squares, summed over many texts."""
+    held, sums = np.zeros(0, U), np.zeros((3, 0))
     for batch in batches:
         buf, off = utf8(batch.column(0))
         for lo, hi, h, first in _hashed(buf, off):
@@ -134,18 +138,56 @@ def _every_feature(batches):
             every, which = np.unique(x, return_inverse=True)
             pair, count = np.unique(doc * len(every) + which, return_counts=True)
             doc, which = np.divmod(pair, max(1, len(every)))
-            yield _sum_rows(every.view(np.int64), *_sums_of(which, density(count, np.diff(first)[doc]), len(every)))
+            own = _sums_of(which, density(count, np.diff(first)[doc]), len(every))
+            both, at = np.unique(np.concatenate([held, every]), return_inverse=True)
+            held, sums = both, np.stack([np.bincount(at, np.concatenate([a, b]), len(both)) for a, b in zip(sums, own)])
+            if len(held) > _MOST:
+                yield _sum_rows(held.view(np.int64), *sums)
+                held, sums = np.zeros(0, U), np.zeros((3, 0))
+    yield _sum_rows(held.view(np.int64), *sums)
+
+
+_SLICES = 64
+_SLICED = "slice int, sums binary"
+
+
+def _sliced(total: np.ndarray) -> pa.RecordBatch:
+    """(3, features) of whole numbers as a compressed row for each slice of the features."""
+    cuts = np.linspace(0, total.shape[1], _SLICES + 1).astype(np.int64)
+    return pa.record_batch([pa.array(range(_SLICES), pa.int32()), pa.array([pa.compress(total[:, a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["slice", "sums"])
+
+
+def _slice(k: int, data: bytes, n: int) -> np.ndarray:
+    cuts = np.linspace(0, n, _SLICES + 1).astype(np.int64)
+    size = int(cuts[k + 1] - cuts[k])
+    return np.frombuffer(pa.decompress(data, decompressed_size=24 * size, codec="zstd", asbytes=True), np.int64).reshape(3, size)
 
 
 @frugal
 def _known_features(batches, words: np.ndarray):
-    """The same for the known features alone, once for a whole task."""
-    known, total = Vocabulary(words), np.zeros((3, len(words)))
+    """The same for the known features alone, a row for each slice of them once for a whole task."""
+    known, total = Vocabulary(words), np.zeros((3, len(words)), np.int64)
     for batch in batches:
         for _, _, _, at, value in known.found(batch.column(0)):
-            total += _sums_of(at, value, len(words))
-    at = np.flatnonzero(total[0])
-    yield _sum_rows(words[at].view(np.int64), *total[:, at])
+            total += np.array(_sums_of(at, value, len(words))).astype(np.int64)
+    if total[0].any():
+        yield _sliced(total)
+
+
+@frugal
+def _add_slices(batches, n: int):
+    """Rows sorted by slice -> one row a slice: (slice, sums) of all tasks."""
+    last, total = None, None
+    out = lambda: pa.record_batch([pa.array([last], pa.int32()), pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["slice", "sums"])
+    for batch in batches:
+        for k, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != last:
+                if last is not None:
+                    yield out()
+                last, total = k, np.zeros_like(_slice(k, data, n))
+            total = total + _slice(k, data, n)
+    if last is not None:
+        yield out()
 
 
 @frugal
@@ -242,7 +284,12 @@ def train(docs: DataFrame, labels: DataFrame, learns, p: Learning = Learning(),
     in_p = _columns(in_p, words)
     n_p, n_u = all_p.count(), base.count()
     shared = spark.sparkContext.broadcast(words)  # features that several confirmed documents hold
-    in_u = _columns(base.select("text").mapInArrow(lambda it: _known_features(it, shared.value), _SUMS).groupBy("feature").agg(*sums).toArrow(), words) if len(words) else in_p
+    in_u = np.zeros((3, len(words)))
+    if len(words):
+        parts = base.select("text").mapInArrow(lambda it: _known_features(it, shared.value), _SLICED)
+        parts = parts.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(lambda it: _add_slices(it, len(shared.value)), _SLICED).toArrow()  # a row a slice
+        parts = dict(zip(parts["slice"].to_pylist(), parts["sums"].to_pylist()))
+        in_u = np.concatenate([_slice(k, parts[k], len(words)) for k in sorted(parts)], axis=1) / [[1], [_UNIT], [_UNIT]] if parts else in_u
     z = np.abs(screen(max(1, n_p), in_p, max(1, n_u), in_u))
     chosen = np.sort(np.argsort(-z, kind="stable")[: p.features])
     words = words[chosen[z[chosen] >= p.z]]
