@@ -202,4 +202,5 @@ def _write_links(batches, target: str):
 
 def difference(old: str, new: str, name: str) -> str:
     """What an edit of a stored text would change: a unified difference with three lines around; the store stays as it is."""
-    return "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{name}", f"b/{name}", n=3))
+    lines = difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{name}", f"b/{name}", n=3)
+    return "".join(x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n" for x in lines)

@@ -39,11 +39,10 @@ F_COLS = "path, dir, name, kind::SMALLINT AS kind, size, sha, batch"
 # catalog: scans, paths, listings ---------------------------------------------------------------
 
 
-@query(f"WITH {V.FILES} SELECT lang, count(*) AS paths, count(DISTINCT sha) AS contents, sum(size)::BIGINT AS bytes FROM files GROUP BY lang")
+@query("SELECT lang, count(*) AS paths, count(DISTINCT text) AS contents, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang")
 def attr_summary(s, d):
-    """Paths, distinct contents and bytes for each value of an attribute."""
-    f = V.files(s, d)
-    return f.groupBy(F.col("attrs")["lang"].alias("lang")).agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("sha").alias("contents"), F.sum("size").alias("bytes"))
+    """Paths, distinct contents and bytes for each value of an attribute, over the first batch of a written store."""
+    return S.sql(s, [T.store(s, d)], "SELECT attrs['lang'] AS lang, count(*) AS paths, count(DISTINCT sha) AS contents, sum(size) AS bytes FROM files WHERE batch = 1 GROUP BY 1")
 
 
 @query(f"WITH {V.FILES} SELECT path, array_to_string(string_split(path, '/')[1:-2], '/') AS parent, string_split(path, '/')[-1] AS base, (len(string_split(path, '/')) - 1)::INTEGER AS depth, regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1) AS ext FROM files")
@@ -253,7 +252,7 @@ def blob_lookup_unknown_null(s, d):
     return content.lookup(rows, [V.blobs(s, d)]).select("kind", "text", F.col("blob").isNull().alias("missing"))
 
 
-@query("SELECT store, sum(n)::BIGINT AS n FROM (SELECT unnest(['tables', 'again']) AS store, n FROM (SELECT (SELECT count(*) FROM documents) + (SELECT count(DISTINCT conv_id) FROM conversations) + (SELECT count(*) FROM benchmark) AS n)) GROUP BY store")
+@query("SELECT store, sum(n)::BIGINT AS n FROM (SELECT unnest(['tables', 'again']) AS store, n FROM (SELECT (SELECT count(*) FROM documents) + (SELECT count(DISTINCT conv_id) FROM conversations) + (SELECT count(DISTINCT user_id) FROM events) + (SELECT count(*) FROM benchmark) AS n)) GROUP BY store")
 def union_stores(s, d):
     """The history of two stores in one view, each row marked with its store."""
     one = T.store(s, d)
@@ -313,7 +312,7 @@ def store_stat(s, d):
 
 @query("SELECT type, actor, count(*) AS n, count(DISTINCT conv_id) AS logs FROM (SELECT 'turn' AS type, role AS actor, conv_id FROM conversations) GROUP BY type, actor")
 def store_events(s, d):
-    return T.store(s, d).events.groupBy("type", "actor").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trajectory").alias("logs"))
+    return T.store(s, d).events.where("trajectory like 'talk/%'").groupBy("type", "actor").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trajectory").alias("logs"))
 
 
 @query('SELECT NULL::VARCHAR AS "check", NULL::VARCHAR AS subject FROM range(0)')
@@ -406,9 +405,10 @@ def exact_parser(s, d):
     return parsed.select("trajectory", "seq", "type", "id", "actor", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.length(F.get_json_object("payload_json", "$.text")).cast("long").alias("n"))
 
 
-@query(f"WITH {V.EVENTS} SELECT type, count(*) AS n, count(DISTINCT trajectory) AS trajectories, min(ts) AS first_ts, max(ts) AS last_ts FROM log GROUP BY type")
+@query("SELECT event_type AS type, count(*) AS n, count(DISTINCT user_id) AS trajectories FROM events GROUP BY 1")
 def events_by_type(s, d):
-    return V.event_log(s, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trajectory").alias("trajectories"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """Counts over the events of a written store: the users' logs."""
+    return S.sql(s, [T.store(s, d)], "SELECT type, count(*) AS n, count(DISTINCT trajectory) AS trajectories FROM events WHERE trajectory LIKE 'users/%' GROUP BY type")
 
 
 @query(f"WITH {V.EVENTS} SELECT trajectory, count(*) AS n, sum(CASE WHEN exit_code > 50 THEN 1 ELSE 0 END)::BIGINT AS failed FROM log WHERE type IN ('click', 'error') GROUP BY trajectory")

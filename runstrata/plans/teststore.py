@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -14,6 +15,15 @@ from pyspark.sql import functions as F
 from ..store import Store
 from . import testviews as V
 
+ADAPTER = r"""
+name = "tables"
+[[attrs]]
+pattern = '^(?P<source>src\d+)/(?P<lang>[a-z]+)/'
+[trajectories]
+globs = ["**/*.jsonl"]
+format = "jsonl"
+"""
+
 _BUILT: dict[tuple[str, str], str] = {}
 
 
@@ -41,14 +51,18 @@ def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
-    """Batch 1: all documents; batch 2: all conversations as logs; batch 3: all benchmark items, each in place of a document's path or beside them."""
+    """Batch 1: all documents; batch 2: all conversations and all users' events as logs; batch 3: all benchmark items, each in place of a document's path or beside them."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _BUILT:
-        s = Store.create(spark, _folder(spark), "tables", adapter="jsonl:**/*.jsonl")
+        root = _folder(spark)
+        os.makedirs(os.path.dirname(root), exist_ok=True)
+        with open(f"{root}.toml", "w", encoding="utf-8") as f:
+            f.write(ADAPTER)
+        s = Store.create(spark, root, "tables", adapter=f"{root}.toml")
         d = V.table(spark, sf_dir, "documents")
         s.append(_entries(d, F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")), F.coalesce(F.col("text"), F.lit(""))), "documents")
-        logs = conversation_logs(spark, sf_dir)
-        s.append(_entries(logs, F.col("path"), F.col("content")), "conversations")
+        logs = conversation_logs(spark, sf_dir).unionByName(V.event_lines(spark, sf_dir, "jsonl"))
+        s.append(_entries(logs, F.col("path"), F.col("content")), "logs")
         b = V.table(spark, sf_dir, "benchmark").join(d.select("doc_id", "source", "lang"), F.col("item_id") == F.col("doc_id"), "left")
         place = F.when(F.col("doc_id").isNotNull(), F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.lpad(F.col("item_id").cast("string"), 8, "0"), F.lit(".txt"))).otherwise(F.concat(F.lit("items/"), F.col("item_id").cast("string")))
         s.append(_entries(b, place, F.col("text")), "benchmark")
@@ -61,10 +75,12 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
 def _remove() -> None:
     for root in _BUILT.values():
         shutil.rmtree(root, ignore_errors=True)
+        with contextlib.suppress(OSError):
+            os.unlink(f"{root}.toml")
 
 
 #: The visible files of that store as CTEs of DuckDB: path, text, size, batch, sha.
 STORED = """docs AS (SELECT doc_id, source || '/' || lang || '/doc-' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS path, coalesce(text, '') AS text, 1 AS batch FROM documents),
-talk AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id),
+talk AS (SELECT conv_id AS id, count(*) AS lines FROM conversations GROUP BY conv_id UNION ALL SELECT user_id, count(*) FROM events GROUP BY user_id),
 items AS (SELECT coalesce(path, 'items/' || item_id) AS path, b.text, 3 AS batch FROM benchmark b LEFT JOIN docs ON item_id = doc_id),
 stored AS (SELECT path, text, batch, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha FROM (SELECT path, text, batch FROM docs WHERE path NOT IN (SELECT path FROM items) UNION ALL SELECT * FROM items))"""

@@ -95,6 +95,12 @@ class Manifest:
         os.replace(beside, target)
 
 
+def manifest_identity(root: str) -> tuple[int, int, int]:
+    """What changes whenever a manifest is published."""
+    s = os.stat(os.path.join(root, NAME))
+    return s.st_ino, s.st_mtime_ns, s.st_size
+
+
 class Lease:
     """A reader's hold on the files of a store: while any is held, nothing is removed. It ends with ``release`` or with the object."""
 

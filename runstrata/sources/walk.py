@@ -31,8 +31,13 @@ def _below(root: str, level: list[str], prune) -> list[tuple[str, bool]]:
     """Directories right below some others, and whether each is pruned; links are not followed, names that are not UTF-8 are left to ``read_tree``."""
     out = []
     for rel in level:
-        with os.scandir(os.path.join(root, rel)) as entries:
-            names = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
+        try:
+            with os.scandir(os.path.join(root, rel)) as entries:
+                names = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
+        except OSError:  # told by ``read_tree``
+            if not rel:
+                raise
+            continue
         for name in names:
             try:
                 name.encode()
@@ -100,7 +105,12 @@ def read_tree(spark: SparkSession, root: str, prune=lambda rel: False, scratch:
         for batch in batches:
             for rel in batch.column(0).to_pylist():
                 rows, held = [], 0
-                for entry in sorted(os.scandir(os.path.join(root, rel)), key=lambda e: os.fsencode(e.name)):
+                try:
+                    entries = sorted(os.scandir(os.path.join(root, rel)), key=lambda e: os.fsencode(e.name))
+                except OSError as e:
+                    entries = []
+                    rows.append(dict.fromkeys(_SCHEMA.names) | {"path": rel, "problem": str(e)})
+                for entry in entries:
                     if entry.is_dir(follow_symlinks=False):
                         continue
                     row = dict.fromkeys(_SCHEMA.names)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .functions import paths as P
 from .operators import content, events, ingest, maintenance, namespace, retention
 from .sources import walk
-from .sources.manifest import Batch, Lease, Manifest, locked, sweep
+from .sources.manifest import Batch, Lease, Manifest, locked, manifest_identity, sweep
 
 FILES = "path string, dir string, name string, kind short, mode int, size long, sha binary, mtime_ns long, batch long, attrs map<string,string>"
 SCHEMAS = {
@@ -47,17 +47,33 @@ class Store:
         self._bind()
 
     def _bind(self) -> None:
-        lease = Lease(self.root)
+        lease, identity = Lease(self.root), manifest_identity(self.root)
         manifest = Manifest.load(self.root)
         missing = [p for p in manifest.every() if not os.path.isdir(os.path.join(self.root, p))]
         if missing:
             lease.release()
             raise FileNotFoundError(f"declared but absent: {sorted(missing)[:20]}")
-        self._lease, self.manifest = lease, manifest
+        self._lease, self._identity, self.manifest = lease, identity, manifest
 
     def close(self) -> None:
         self._lease.release()
 
+    def stale(self) -> bool:
+        """Whether a writer has published since this handle was bound."""
+        return manifest_identity(self.root) != self._identity
+
+    def follow(self) -> bool:
+        """Bind to the newest manifest if there is a newer one; a store that cannot be opened just now leaves the handle as it was."""
+        if not self.stale():
+            return False
+        lease = self._lease
+        try:
+            self._bind()
+        except (OSError, ValueError):
+            return False
+        lease.release()
+        return True
+
     def __enter__(self) -> Store:
         return self
 

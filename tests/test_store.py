@@ -228,7 +228,7 @@ def test_command_line(spark, store, tmp_path):
     assert call("ls", "-l", "rounds/round-001") == "d---------        40 B       3 files  builder/\n-rw-r--r--         0 B  empty\n" + f"-rw-r--r--  {len(LOG):>8} B  events.jsonl\n"
     assert call("ls", "-R", "rounds/round-001") == "rounds/round-001:\nbuilder/\nempty\nevents.jsonl\n\nrounds/round-001/builder:\ncopy.stdout\nlink\nout.stdout\n\n"
     assert call("sql", "SELECT 1 AS n") == "+---+\n| n |\n+---+\n| 1 |\n+---+\n"
-    assert call("edit", "rounds/round-002/ü file.json", "--editor", "sed -i s/1/2/").splitlines()[2:] == ["@@ -1 +1 @@", '-{"a":1}', '+{"a":2}']
+    assert call("edit", "rounds/round-002/ü file.json", "--editor", "sed -i s/1/2/").splitlines()[2:] == ["@@ -1 +1 @@", '-{"a":1}', "\\ No newline at end of file", '+{"a":2}', "\\ No newline at end of file"]
     assert call("find", "--name", "*.stdout", "--kind", "f").count("\n") == 2
     assert call("grep", "-e", "^Trace", "-c") == "rounds/round-001/builder/copy.stdout:1\nrounds/round-001/builder/out.stdout:1\n"
     assert call("grep", "-e", "nowhere", code=1) == ""

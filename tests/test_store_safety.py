@@ -85,6 +85,21 @@ def test_readers_keep_their_files(spark, tmp_path):
     assert not any(os.path.isdir(os.path.join(root, p)) for p in before) and writer.find("a").count() == 0 and sound(writer)
 
 
+def test_a_handle_follows(spark, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "s")
+    plant(src, {"a": "1"})
+    writer = Store.create(spark, root, "x")
+    reader = Store(spark, root)
+    assert not reader.stale() and not reader.follow()
+    writer.pack(src)
+    assert reader.stale() and reader.history.count() == 0 and reader.follow() and reader.history.count() == 1 and not reader.stale()
+    os.rename(os.path.join(root, "catalog"), os.path.join(root, "aside"))
+    Manifest.load(root).publish(root)
+    assert reader.stale() and not reader.follow() and len(reader.manifest.batches) == 1
+    os.rename(os.path.join(root, "aside"), os.path.join(root, "catalog"))
+    assert reader.follow()
+
+
 def test_a_failed_rewrite_changes_nothing(spark, tmp_path, monkeypatch):
     src, root = str(tmp_path / "src"), str(tmp_path / "s")
     plant(src, {"a": "1", "b/c": "2"})
