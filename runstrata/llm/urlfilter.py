@@ -98,7 +98,7 @@ def judge(pages: DataFrame, site_rules=SITE_RULES, patterns=PATTERNS, default: s
     wanted = sorted({t for r in rules for t in tokens_of(r)})
     count: dict[str, int] = {}
     if wanted:  # in how many urls each token of a rule is: at most as many rows as the rules have tokens
-        own = pages.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+        own = pages.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(wanted)), "array<string>")).alias("t"))
         held = base.select(F.explode("_tokens").alias("t")).join(F.broadcast(own), "t", "left_semi")
         count = {r.t: r.n for r in held.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     buckets = _file(rules, count)
