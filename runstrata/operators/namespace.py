@@ -44,6 +44,16 @@ def deciding(directory: str) -> Column:
     return inside | F.col("path").isin(above) if above else inside
 
 
+def point(history: DataFrame, path: str) -> DataFrame:
+    """The visible row of one path, or none: one aggregate over the rows that decide it, without a shuffle of any of them."""
+    parts = path.split("/")
+    own, above = F.col("path") == path, F.col("path").isin(["/".join(parts[:k]) for k in range(1, len(parts))]) if len(parts) > 1 else F.lit(False)
+    newest = lambda test: F.coalesce(F.max(F.when(test, F.col("batch"))), F.lit(0))
+    row = F.max_by(F.when(own, F.struct(*history.columns)), F.when(own, F.col("batch")))
+    found = history.where(deciding(path)).agg(row.alias("r"), newest(own).alias("at"), newest(above).alias("file"), newest(F.col("path").startswith(path + "/")).alias("below"))
+    return found.where("r is not null and file <= at and below <= at").select("r.*")
+
+
 def shadowed(history: DataFrame) -> DataFrame:
     """Rows of the history that are not visible."""
     return history.join(visible(history).select("path", "batch"), ["path", "batch"], "left_anti").select(*history.columns)

@@ -185,9 +185,16 @@ class Store:
         directory = P.normalise(directory)
         return namespace.du(self.visible_under(directory), directory)
 
+    def points(self, *names: str) -> DataFrame:
+        """Visible rows of some paths, as many at most: few are looked up one by one and collected, so what follows starts from them."""
+        if len(names) > 16:
+            return self.visible_under(*names).where(F.col("path").isin(list(names)))
+        one = [namespace.point(self.history, p) for p in dict.fromkeys(names)]
+        return self.spark.createDataFrame(reduce(DataFrame.unionByName, one).collect(), FILES)
+
     def stat(self, path: str) -> DataFrame:
         path = P.normalise(path)
-        return namespace.stat(self.visible_under(path), path, self.blobs)
+        return namespace.stat(self.points(path), path, self.blobs)
 
     def dir_info(self, directory: str = "") -> DataFrame:
         directory = P.normalise(directory)
@@ -198,7 +205,7 @@ class Store:
 
     def cat(self, *names: str) -> DataFrame:
         names = [P.normalise(p) for p in names]
-        return content.cat(self.visible_under(*names), self.blobs, names)
+        return content.cat(self.points(*names), self.blobs, names)
 
     def grep(self, patterns: list[str], directory: str = "", **options) -> DataFrame:
         directory = P.normalise(directory)

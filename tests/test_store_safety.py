@@ -247,6 +247,10 @@ def test_prefixes_below_the_shadowing(spark, tmp_path):
     for d in names:
         got = {r.path: r.batch for r in s.visible_under(d).where(P.is_under(F.col("path"), d)).collect()}
         assert got == {p: n for p, n in every.items() if p == d or p.startswith(d + "/")}, d
+    assert {r.path: r.batch for r in s.points(*names, "none", "a").collect()} == every
+    assert {r.path: r.batch for r in s.points(*names, *[f"no{k}" for k in range(20)]).collect()} == every
+    assert [(r.path, r.batch) for d in names for r in s.stat(d).collect()] == [(d, every[d]) for d in names if d in every]
+    assert [r.path for r in s.cat(*names).collect()] == [d for d in names if d in every]
     assert sound(s)
 
 
