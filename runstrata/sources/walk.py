@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import stat as S
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,16 +91,28 @@ def snapshot(path: str) -> bytes:
         return data
 
 
+def _shared_scratch(spark: SparkSession) -> str:
+    """A new folder below the one in ``spark.checkpoint.dir``, if executors and the driver mount it; only a session of one machine may go without."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if shared.startswith(("/", "file:")):
+        return os.path.join("/" + shared.removeprefix("file:").lstrip("/"), f"walk-{uuid.uuid4().hex[:12]}")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("name a folder that the driver and all executors mount")
+    out = tempfile.mkdtemp(prefix="runstrata-walk-")
+    atexit.register(shutil.rmtree, out, ignore_errors=True)
+    return out
+
+
 def read_tree(spark: SparkSession, root: str, prune=lambda rel: False, scratch: str | None = None) -> DataFrame:
     """One row for each file, link and empty file below a folder that all executors see, and one for each pruned directory.
 
     kind: 0 file, 1 link (content: its target), 2 empty. Modes are 0755 or 0644, links 0777. Sockets, devices and the
     like have the problem ``special-file``; names that are not UTF-8 and unreadable files say why. A pruned directory is
     a path that ends in ``/.``. A file of more than ``PIECE`` bytes has a row without content and rows with ``piece``,
-    the hash and the bytes of each piece: no cell holds a large file. ``scratch``: a folder that executors share, for
-    the levels of wide trees (a local session may go without).
+    the hash and the bytes of each piece: no cell holds a large file. ``scratch``: a folder that executors mount, for
+    the levels of wide trees.
     """
-    found = directories(spark, root, prune, scratch or tempfile.mkdtemp(prefix="runstrata-walk-"))
+    found = directories(spark, root, prune, scratch or _shared_scratch(spark))
     names = found.where("not pruned").select("dir").repartition(max(1, min(4096, spark.sparkContext.defaultParallelism * 4)))
     marks = found.where("pruned").select(F.concat("dir", F.lit("/.")).alias("path"), F.lit(0).alias("kind"), F.lit(0o644).alias("mode"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"))
 

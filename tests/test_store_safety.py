@@ -204,7 +204,7 @@ def test_wide_trees_are_listed_by_tasks(spark, tmp_path):
     want = {os.path.relpath(os.path.join(b, d), src) for b, ds, _ in os.walk(src) for d in ds} - {"skip/x", "link"} | {""}
     assert sorted(r.dir for r in got) == sorted(want) and {r.dir for r in got if r.pruned} == {"skip", "d000/skip"}
     assert os.listdir(tmp_path / "levels")
-    entries = walk.read_tree(spark, src, prune, str(tmp_path / "again")).collect()
+    entries = walk.read_tree(spark, src, prune).collect()
     assert len(entries) == 2 * (walk.WIDE + 40) + 2 + 2 and sorted(r.path for r in entries if r.path.endswith("/.")) == ["d000/skip/.", "skip/."]
 
 
