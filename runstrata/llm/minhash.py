@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", t
             rows = (shared if lot == 1 else shared.where(~early)).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
             # a band whose texts are all in one component has nothing left to compare
             open_ = per_key(rows, "key", F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            rows = rows.join(open_, "key")
+            rows = scratch.put(rows.join(open_, "key"), f"rows-{lot}")  # read several times below: as a table it is planned once
         if lot == 0:
             met = _star(shared.where(early & (F.col("parts") > 1)).withColumn("comp", F.col("id")))
         elif lot == 1:
@@ -329,6 +329,8 @@ def near_duplicates(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", t
         sets = promising.join(full.withColumnRenamed("digest", "own"), "id").where(F.col("own") == F.col("digest")).select("at", "id", "comp", "shingles")
         found = sets.repartition(F.col("at")).sortWithinPartitions("at", "id").mapInArrow(lambda it: _links(it, p), "u long, v long")
         edges = edges.unionByName(scratch.put(found, f"links-{lot}"))
+        if lot:
+            scratch.drop(f"rows-{lot}")
         comps = components(edges, scratch, f"comps-{lot}")
     scratch.drop("full", "shared")
 

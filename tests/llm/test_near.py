@@ -112,6 +112,23 @@ def test_estimate_by_likelihood():
         assert (minhash.merge(a, b) == union).all()
 
 
+def test_plans_stay_small(spark, monkeypatch):
+    """No table's plan reads other tables a dozen times: what a later step reads often is written first, so the driver never holds a large plan."""
+    leaves, put = {}, Scratch.put
+
+    def counted(self, df, name):
+        leaves[name] = df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+        return put(self, df, name)
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    rows = [(k, " ".join(f"w{(k // 4) * 97 + j}" for j in range(30)) + f" end{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, minhash.Near(block=4)).collect()}
+    assert got == brute(rows, 3, 85)[0]
+    assert {"links-0", "links-1", "links-2"} <= set(leaves)
+    assert max(leaves.values()) <= 12, leaves
+
+
 def test_query_op8(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
@@ -129,6 +146,18 @@ def test_components(spark):
     assert least(want, list(zip(u.tolist(), v.tolist()))) == want
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars already, as the forests of tasks mostly are, are not dealt out again; others still take rounds."""
+    made, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name: made.append(name) or put(self, df, name))
+    stars = [(7 * k, 7 * k + j) for k in range(20) for j in range(1, 7)]
+    for edges, rounds in ((stars, 0), ([], 0), ([(3, 3)], 0), ([(1, 3), (2, 3)], 1), ([(1, 2), (2, 3)], 1)):
+        made.clear()
+        got = {r.node: r.component for r in _graph.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "c").collect()}
+        assert got == {k: v for k, v in least({x for e in edges for x in e}, edges).items() if (k, k) not in edges}
+        assert len(made) - 1 == rounds, (edges, made)
+
+
 @pytest.mark.parametrize("p", [embed_dedup.Passes(), embed_dedup.Passes(window=4, block=8)])
 def test_vectors(spark, p):
     rng = np.random.default_rng(4)
