@@ -266,6 +266,11 @@ def resolve_threads(records: DataFrame) -> DataFrame:
     return records.withColumn("parent_id", F.coalesce("parent_id", F.when(F.col("follows"), F.last("opens", ignorenulls=True).over(so_far)["id"])))
 
 
+def stands_alone(fmt: str) -> bool:
+    """Whether each event of a format is told from its own line: no calls and no threads to resolve."""
+    return not any(x.call or x.blocks or x.thread for x in (LAYOUTS.values() if fmt == AUTOMATIC else [LAYOUTS[fmt]]))
+
+
 def parse_events(logs: DataFrame, fmt: str, version: int = 1, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """(path, content) of whole logs -> events. Records are dealt by trajectory once, where the format has anything to resolve."""
     out, layouts = scan_logs(logs, fmt, version, path_col, content_col), list(LAYOUTS.values()) if fmt == AUTOMATIC else [LAYOUTS[fmt]]

@@ -17,8 +17,7 @@ def attrs_key(attrs: Column) -> Column:
 
 
 def as_rows(entries: DataFrame, attrs, batch: int) -> DataFrame:
-    """Kept entries with content -> file rows (and the content; null where the hash is given and the bytes come in pieces)."""
-    digest = F.unhex(F.sha2(F.coalesce("content", F.lit(b"")), 256))
+    """Kept entries with their hash -> file rows."""
     return entries.select(
         "path",
         P.parent(F.col("path")).alias("dir"),
@@ -26,11 +25,10 @@ def as_rows(entries: DataFrame, attrs, batch: int) -> DataFrame:
         F.col("kind").cast("short").alias("kind"),
         F.col("mode").cast("int").alias("mode"),
         F.col("size").cast("long").alias("size"),
-        (F.coalesce("sha", digest) if "sha" in entries.columns else digest).alias("sha"),
+        "sha",
         F.col("mtime_ns").cast("long").alias("mtime_ns"),
         F.lit(batch).cast("long").alias("batch"),
         attrs.alias("attrs"),
-        "content",
     )
 
 
@@ -49,6 +47,17 @@ def new_blobs(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.where("size > 0 and content is not null").select("sha", "content").dropDuplicates(["sha"]).join(known.select("sha").distinct(), "sha", "left_anti")
 
 
+def wanted(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``sha, size`` of contents that rows name, that are not empty and not known, each once."""
+    return rows.where("size > 0").groupBy("sha").agg(F.max("size").alias("size")).join(known.distinct(), "sha", "left_anti")
+
+
+def new_contents(entries: DataFrame, some: DataFrame | None = None) -> DataFrame:
+    """``sha, content`` of the entries that have one with them (``_here``), each once; ``some``: only of these hashes. Copies within a task go before the one shuffle of contents."""
+    once = entries.where("size > 0 and _here").select("sha", "content").dropDuplicates(["sha"])
+    return once if some is None else once.join(some.select("sha"), "sha", "left_semi")
+
+
 def as_parts(blobs: DataFrame, part: int = PART) -> DataFrame:
     """``sha, part, n_parts, size, content``."""
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("content") / part)).cast("int")
@@ -59,7 +68,7 @@ def as_parts(blobs: DataFrame, part: int = PART) -> DataFrame:
 
 def pieces_as_parts(pieces: DataFrame, rows: DataFrame, known: DataFrame, piece: int, part: int = PART) -> DataFrame:
     """Pieces of ``piece`` bytes (``sha, piece, content``) of large contents that ``rows`` name and that are not known -> their parts, each once."""
-    new = rows.where("size > 0 and content is null").groupBy("sha").agg(F.max("size").alias("_whole")).join(known.select("sha").distinct(), "sha", "left_anti")
+    new = rows.where("size > 0").groupBy("sha").agg(F.max("size").alias("_whole")).join(known.select("sha").distinct(), "sha", "left_anti")
     once = pieces.groupBy("sha", "piece").agg(F.first("content").alias("content")).join(new, "sha")
     cut = once.withColumn("k", F.explode(F.expr(f"sequence(0, cast(ceil(octet_length(content) / {part}) as int) - 1)")))
     content = F.expr(f"substring(content, k * {part} + 1, {part})")

@@ -32,6 +32,10 @@ SCHEMAS = {
 
 #: Bytes that a written file has at most; a table is cut by ranges until each has.
 SEGMENT_BYTES = 256 << 20
+#: Bytes of logs that a task parses.
+LOG_BYTES = 16 << 20
+#: Bytes of a row group of contents: what a lookup reads for one hash.
+GROUP_BYTES = 16 << 20
 
 
 class Store:
@@ -242,7 +246,8 @@ class Store:
         path, n = os.path.join(self.root, rel), expect // (SEGMENT_BYTES // 2) + 1
         while True:
             cut = df.repartitionByRange(*([n] if n > 1 else []), *by).sortWithinPartitions(*by) if by else df
-            cut.write.option("compression", "zstd").parquet(path)
+            out = cut.write.option("compression", "zstd")
+            (out.option("parquet.block.size", GROUP_BYTES) if "content" in df.columns else out).parquet(path)
             largest = max((os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet")), default=0)
             if largest <= SEGMENT_BYTES or not by:
                 return rel
@@ -252,6 +257,21 @@ class Store:
             n = max(2 * n, n * -(-largest // SEGMENT_BYTES) * 2)
             shutil.rmtree(path)
 
+    def _write_events(self, logs: DataFrame, sizes: DataFrame, rel: str, fmt: str, version: int, batch: int) -> str:
+        """Parse ``logs(path, content)`` once and write their events by (trajectory, seq). Where no record needs another, logs dealt by ranges of paths give them in that order, and no event is shuffled."""
+        size, staged = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], f"{rel}.tmp"
+        n = max(size // LOG_BYTES, min(size >> 20, self.spark.sparkContext.defaultParallelism)) + 1
+        dealt = logs.select("path", "content").repartitionByRange(n, "path").sortWithinPartitions("path")
+        self._write(events.parse_events(dealt, fmt, version).withColumn("batch", F.lit(batch).cast("long")), staged)
+        path = os.path.join(self.root, staged)
+        largest = max((os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet")), default=0)
+        if events.stands_alone(fmt) and largest <= SEGMENT_BYTES:
+            os.rename(path, os.path.join(self.root, rel))
+            return rel
+        self._write(self._read(path, SCHEMAS["events"]), rel, ("trajectory", "seq"))
+        shutil.rmtree(path)
+        return rel
+
     def append(self, entries: DataFrame, label: str | None = None) -> Batch:
         """Store ``entries(path, kind, mode, size, mtime_ns, content[, head, problem])`` as the next batch.
 
@@ -271,8 +291,9 @@ class Store:
             for name, kind in (("problem", "string"), ("piece", "int"), ("sha", "binary")):
                 if name not in entries.columns:
                     entries = entries.withColumn(name, F.lit(None).cast(kind))
-            # the source is read once: what it gave is written, and all that follows reads it back
-            entries.write.parquet(f"{staged}/source")
+            # the source is read once: what it gave is written with its hashes, and all that follows reads it back
+            entries = entries.withColumn("sha", F.coalesce("sha", F.unhex(F.sha2(F.coalesce("content", F.lit(b"")), 256)))).withColumn("_here", F.col("content").isNotNull())
+            entries.write.option("compression", "zstd").parquet(f"{staged}/source")
             entries = self._read(f"{staged}/source", entries.schema)
             pieces = entries.where("piece is not null").select("sha", "piece", "content")
             decided = retention.decide(entries.where("piece is null"), profile, deleted if manifest.deleted else None)
@@ -281,14 +302,16 @@ class Store:
             decided = decided.where("problem is null")
             out = retention.excluded(decided).select("path", F.col("size").cast("long"), "rule").unionByName(special)
             rows = ingest.as_rows(decided.where("rule is null"), adapter.attributes(F.col("path")), number)
-            before = self.visible if manifest.batches else self.spark.createDataFrame([], FILES)
-            ingest.changed(rows, before).write.parquet(f"{staged}/rows")
-            new = self._read(f"{staged}/rows")
-            files, known = new.drop("content"), self.table("blobs").select("sha")
-            blobs = ingest.as_parts(ingest.new_blobs(new, known)).unionByName(ingest.pieces_as_parts(pieces, new, known, walk.PIECE))
-            blobs.write.parquet(f"{staged}/blobs")
-            blobs = self._read(f"{staged}/blobs").withColumn("batch", F.lit(number).cast("long"))
-            size = blobs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+            # rows are compared without their contents; these are shuffled once to be told apart, and once to be cut by ranges
+            (ingest.changed(rows, self.visible) if manifest.batches else rows).write.option("compression", "zstd").parquet(f"{staged}/rows")
+            files, known = self._read(f"{staged}/rows"), self.table("blobs").select("sha")
+            source = (entries.where("piece is null") if manifest.batches else decided.where("rule is null")).where("problem is null")
+            wanted = ingest.wanted(files, known)
+            wanted.write.option("compression", "zstd").parquet(f"{staged}/wanted")
+            wanted = self._read(f"{staged}/wanted")
+            size = wanted.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+            blobs = ingest.as_parts(ingest.new_contents(source, wanted if manifest.batches else None)).unionByName(ingest.pieces_as_parts(pieces, files.join(source.where("not _here").select("sha"), "sha", "left_semi"), known, walk.PIECE))
+            blobs = blobs.withColumn("batch", F.lit(number).cast("long"))
             segments = {
                 "files": [self._write(files, f"{base}/files", ("path",))],
                 "dirs": [self._write(namespace.rollup(files, per_batch=True), f"{base}/dirs", ("dir",))],
@@ -297,9 +320,11 @@ class Store:
             }
             derived = []
             if adapter.format:
-                logs = self._logs(new, pieces, adapter)
-                found = events.parse_events(logs, adapter.format, adapter.version).withColumn("batch", F.lit(number).cast("long"))
-                derived.append(self._write(found, f"derived/{adapter.name.replace('/', '_')}/events-{number:06d}-{base[-8:]}", ("trajectory", "seq")))
+                named = files.where(adapter.is_trajectory(F.col("path"), F.col("kind"))).select("path", "sha", "size")
+                logs = source.where(adapter.is_trajectory(F.col("path"), F.col("kind"))).select("path", "sha", "_here", "content")
+                logs = self._logs(logs.join(named, ["path", "sha"], "left_semi") if manifest.batches else logs, pieces)
+                rel = f"derived/{adapter.name.replace('/', '_')}/events-{number:06d}-{base[-8:]}"
+                derived.append(self._write_events(logs, named, rel, adapter.format, adapter.version, number))
             read_ = lambda t: self._read(os.path.join(self.root, segments[t][0]), SCHEMAS[t])
             counts = ingest.summary(read_("files"), read_("blobs"), read_("excluded"))
             shutil.rmtree(staged)
@@ -307,13 +332,12 @@ class Store:
             manifest.batches.append(batch)
         return batch
 
-    def _logs(self, new: DataFrame, pieces: DataFrame, adapter: events.Adapter) -> DataFrame:
-        """``path, content`` of the logs among new rows. A log is one cell of a task: those in pieces are joined again."""
-        logs = new.where(adapter.is_trajectory(F.col("path"), F.col("kind"))).select("path", "sha", "content")
-        large = logs.where("content is null").select("path", "sha")
+    def _logs(self, logs: DataFrame, pieces: DataFrame) -> DataFrame:
+        """``path, content`` of logs. A log is one cell of a task: those in pieces are joined again."""
+        large = logs.where("not _here").select("path", "sha")
         whole = pieces.dropDuplicates(["sha", "piece"]).join(large, "sha").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("piece", "content"))).alias("p"))
         whole = whole.select("path", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.content))").alias("content"))
-        return logs.where("content is not null").select("path", "content").unionByName(whole)
+        return logs.where("_here").select("path", "content").unionByName(whole)
 
     def pack(self, source: str, label: str | None = None) -> Batch:
         """Append a source tree."""
@@ -329,9 +353,9 @@ class Store:
         """Parse the visible logs anew: one generation of events takes the place of all."""
         with self._writing() as manifest:
             adapter, last = self.adapter, manifest.batches[-1]
-            logs = content.with_content(self.visible.where(adapter.is_trajectory(F.col("path"), F.col("kind"))), self.blobs).select("path", "content")
+            logs = content.with_content(self.visible.where(adapter.is_trajectory(F.col("path"), F.col("kind"))), self.blobs).select("path", "size", "content")
             rel = f"derived/{adapter.name.replace('/', '_')}/events-{last.id:06d}-{uuid.uuid4().hex[:8]}"
-            self._write(events.parse_events(logs, adapter.format or "auto", adapter.version).withColumn("batch", F.lit(last.id).cast("long")), rel, ("trajectory", "seq"))
+            self._write_events(logs, logs.select("size"), rel, adapter.format or "auto", adapter.version, last.id)
             for b in manifest.batches:
                 b.derived = []
             last.derived = [rel]
