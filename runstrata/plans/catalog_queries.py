@@ -606,6 +606,18 @@ relational("asof_join", ("events",), "SELECT event_id, last(CASE WHEN event_type
 relational("map_unnest", ("documents",), "SELECT k, v, count(*) AS n FROM (SELECT explode(map('lang', lang, 'source', source)) AS (k, v) FROM documents) GROUP BY k, v", "SELECT k, v, count(*) AS n FROM (SELECT unnest(['lang', 'source']) AS k, unnest([lang, source]) AS v FROM documents) GROUP BY k, v")
 relational("tumbling_counts", ("events",), "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts)")
 relational("approx_distinct", ("lineitem",), "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.2 * count(DISTINCT l_partkey) AS close FROM lineitem GROUP BY l_returnflag")
+
+
+def approx_distinct(s, d):
+    """That SQL as two aggregates: in one, each distinct key of a group would carry the registers of the estimate."""
+    rows = V.table(s, d, "lineitem").select("l_returnflag", "l_partkey")
+    exact = rows.where("l_partkey is not null").distinct().groupBy(F.col("l_returnflag").alias("f")).agg(F.count(F.lit(1)).alias("exact"))
+    near = rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("near"))
+    both = near.join(exact, F.col("l_returnflag").eqNullSafe(F.col("f")), "left").withColumn("exact", F.coalesce("exact", F.lit(0).cast("long")))
+    return both.select("l_returnflag", "exact", (F.abs(F.col("near") - F.col("exact")) <= 0.2 * F.col("exact")).alias("close"))
+
+
+QUERIES["approx_distinct"] = approx_distinct
 relational("window_nth_range", ("orders",), "SELECT o_orderkey, last_value(o_orderkey) OVER f AS last_key, nth_value(o_orderkey, 2) OVER f AS second_key, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS near FROM orders WINDOW f AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 relational("join_hints", ("customer", "nation", "region"), "SELECT /*+ MERGE(nation), BROADCAST(region) */ r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 relational("text_functions", ("part",), "SELECT p_partkey, upper(p_name) AS up, substr(p_type, 2, 5) AS mid, length(p_name) AS n, replace(p_brand, '#', '-') AS brand, p_name LIKE '%a%' AS has_a, concat(p_brand, '/', p_type) AS both, md5(p_name) AS digest, trim(lpad(p_brand, 20, ' ')) AS padded FROM part", "SELECT p_partkey, upper(p_name) AS up, substr(p_type, 2, 5) AS mid, length(p_name)::INTEGER AS n, replace(p_brand, '#', '-') AS brand, p_name LIKE '%a%' AS has_a, concat(p_brand, '/', p_type) AS both, md5(p_name) AS digest, trim(lpad(p_brand, 20, ' ')) AS padded FROM part")

@@ -6,9 +6,19 @@ from pyspark.sql import functions as F
 
 from runstrata import store as store_module
 from runstrata.operators import ingest
+from runstrata.plans import catalog_queries
 from runstrata.store import Store
 
 
+def test_distinct_keys_carry_no_registers(spark, tmp_path):
+    rows = [(f, k) for f, n in (("A", 50), (None, 30)) for k in range(n)] + [("B", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalog_queries.QUERIES["approx_distinct"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=str) == [("A", 50, True), ("B", 0, True), (None, 30, True)]
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "keys=[l_returnflag" in x and "l_partkey" in x.split("functions=")[0] and "approx_count_distinct" in x]
+
+
 def test_appends_compare_rows_without_contents(spark, tmp_path, monkeypatch):
     seen, changed = [], ingest.changed
     monkeypatch.setattr(ingest, "changed", lambda rows, before: seen.append(rows.columns) or changed(rows, before))
