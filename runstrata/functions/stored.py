@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,16 +28,32 @@ def _folder(path: str):
     return ds.dataset(path, format="parquet")
 
 
+@lru_cache(16)
+def _groups(path: str) -> list[tuple]:
+    """The row groups of a folder, each with its least and greatest hash (``None``: not told)."""
+    out = []
+    for file in _folder(path).get_fragments():
+        for group in file.split_by_row_group():
+            told = (group.row_groups[0].statistics or {}).get("sha")
+            out.append((told["min"], told["max"], group) if told else (b"", None, group))
+    return out
+
+
 def contents(folders: list[list[str]], wanted: set[bytes]) -> dict[bytes, bytes]:
-    """Contents of some hashes, each from the first store that has it. Row groups whose range of hashes holds none of them are not read."""
+    """Contents of some hashes, each from the first store that has it. A row group is read once, and only if its range of hashes holds one of them."""
     out, left = ({EMPTY: b""} if EMPTY in wanted else {}), set(wanted) - {EMPTY}
     for store in folders:
         parts: dict[bytes, dict[int, tuple[int, bytes]]] = {}
+        keys = sorted(left)
         for path in store if left else ():
-            test = ds.field("sha").isin(pa.array(sorted(left), pa.binary())) & (ds.field("sha") >= pa.scalar(min(left), pa.binary())) & (ds.field("sha") <= pa.scalar(max(left), pa.binary()))
-            for batch in _folder(path).to_batches(columns=["sha", "part", "n_parts", "content"], filter=test, batch_size=64):
-                for sha, part, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                    parts.setdefault(sha, {})[part] = (n, data)
+            for least, greatest, group in _groups(path):
+                some = keys[bisect_left(keys, least) : len(keys) if greatest is None else bisect_right(keys, greatest)]
+                test = ds.field("sha").isin(pa.array(some, pa.binary()))
+                if not some or not group.count_rows(filter=test):
+                    continue
+                for batch in group.to_batches(columns=["sha", "part", "n_parts", "content"], filter=test, batch_size=64):
+                    for sha, part, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                        parts.setdefault(sha, {})[part] = (n, data)
         for sha, found in parts.items():
             data = b"".join(found[k][1] for k in sorted(found))
             if len(found) != max(n for n, _ in found.values()) or hashlib.sha256(data).digest() != sha:
@@ -52,9 +69,7 @@ def lookup_udf(folders: list[list[str]], as_text: bool):
     @F.arrow_udf("string" if as_text else "binary")
     def look(sha: pa.Array) -> pa.Array:
         keys = [parse(x) for x in sha.to_pylist()]
-        distinct, out, found = sorted({k for k in keys if k is not None}), [], {}
-        for k in range(0, len(distinct), 256):
-            found |= contents(folders, set(distinct[k : k + 256]))
+        found = contents(folders, {k for k in keys if k is not None})
         out = [found.get(k) for k in keys]
         return pa.array([x.decode(errors="replace") if x is not None else None for x in out], pa.string()) if as_text else pa.array(out, pa.binary())
 

@@ -335,8 +335,9 @@ def text_fn(s, d):
 
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n, md5(text) AS digest FROM documents")
 def blob_fn(s, d):
-    """``blob(sha)`` of every document."""
-    V.table(s, d, "documents").createOrReplaceTempView("all_documents")
+    """``blob(sha)`` of every document: these are dealt by hash, so that a batch of them asks for neighbours in the files."""
+    docs = V.table(s, d, "documents").select("doc_id", "text")
+    docs.repartitionByRange(F.sha2("text", 256)).sortWithinPartitions(F.sha2("text", 256)).createOrReplaceTempView("all_documents")
     return S.sql(s, [T.store(s, d)], "SELECT doc_id, cast(octet_length(b) AS bigint) AS n, md5(b) AS digest FROM (SELECT doc_id, blob(sha2(text, 256)) AS b FROM all_documents)")
 
 

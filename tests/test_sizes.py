@@ -1,9 +1,13 @@
 """What must not grow faster than its input."""
 
+import hashlib
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from runstrata.functions import stored
 from runstrata import store as store_module
 from runstrata.operators import ingest
 from runstrata.plans import catalog_queries
@@ -55,3 +59,28 @@ def test_events_beyond_a_segment_are_cut_again(spark, tmp_path, monkeypatch):
     s.append(spark.range(6).select(F.concat(F.lit("l"), "id", F.lit(".jsonl")).alias("path"), F.lit(0).alias("kind"), F.lit(0o644).alias("mode"), F.octet_length(content).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"), content.cast("binary").alias("content")))
     assert s.events.count() == 6 * 61
     s.close()
+
+
+def test_a_lookup_reads_a_row_group_once(tmp_path, monkeypatch):
+    data = {hashlib.sha256(x).digest(): x for x in (b"content %d" % i for i in range(1000))}
+    rows = sorted(data.items())
+    table = pa.table({"sha": pa.array([k for k, _ in rows], pa.binary()), "part": pa.array([0] * 1000, pa.int32()), "n_parts": pa.array([1] * 1000, pa.int32()), "content": pa.array([v for _, v in rows], pa.binary())})
+    pq.write_table(table, f"{tmp_path}/a.parquet", row_group_size=50)
+    reads, groups = [], stored._groups(str(tmp_path))
+
+    class Counted:
+        def __init__(self, at, group):
+            self.at, self.group = at, group
+
+        def count_rows(self, **k):
+            return self.group.count_rows(**k)
+
+        def to_batches(self, **k):
+            reads.append(self.at)
+            return self.group.to_batches(**k)
+
+    monkeypatch.setattr(stored, "_groups", lambda path: [(lo, hi, Counted(i, g)) for i, (lo, hi, g) in enumerate(groups)])
+    assert len(groups) == 20 and stored.contents([[str(tmp_path)]], set(data) | {b"x" * 32}) == data and sorted(reads) == list(range(20))
+    reads.clear()
+    near = dict(rows[110:140])
+    assert stored.contents([[str(tmp_path)]], set(near)) == near and reads == [2]
